@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,32 +46,53 @@ def texts(batches: Iterator, column: str = "text", most: int = 16 << 20) -> Iter
             yield piece, [t or "" for t in piece.column(column).to_pylist()]
 
 
+def local_forest(batches: Iterator) -> Iterator[pa.RecordBatch]:
+    """Links (u, v) of a run of rows replaced by links of each node to the smallest one it reaches in the run."""
+    for batch in batches:
+        parent: dict[int, int] = {}
+
+        def find(x):
+            while (p := parent.get(x, x)) != x:
+                parent[x] = x = parent.get(p, p)
+            return x
+
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+            a, b = find(u), find(v)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+        nodes = list(parent)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], ["u", "v"])
+
+
 def connected_components(edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (src, dst: long); component is the smallest node reachable.
 
-    Alternating large-star and small-star rounds over Spark joins and minimum aggregates. Each round is written
-    to the shared folder, so lineage stays short and nothing passes through the driver but three numbers a round.
-    Null ends and self-links are ignored. Hub nodes only meet partial minima and splittable joins.
+    Links are first thinned to forests inside each task, then alternating large-star and small-star rounds run as
+    joins and minimum aggregates. Each round is written to the shared folder, so lineage stays short and nothing
+    passes through the driver but two numbers a round. Null ends and self-links are ignored. Hub nodes only meet
+    partial minima and joins that Spark can split.
     """
-    edges = edges.where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").select(
-        F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
-    edges = materialize(edges, name)
-    before = None
+    edges = edges.where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
+    edges = materialize(edges.mapInArrow(local_forest, "u long, v long").distinct(), name)
+    before = state(edges)
     for _ in range(most_rounds):
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        if not before[0]:
+            break
+        both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(
-            F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(
+        small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(
             F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct()
         edges = materialize(small, name)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
+        if (now := state(edges)) == before:
             break
         before = now
     else:
         raise RuntimeError(f"{name}: components not settled after {most_rounds} rounds")
-    return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).union(
-        edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    return edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), "v"), F.struct(F.col("v").alias("node"), "v"))).alias("e")).groupBy("e.node").agg(F.min("e.v").alias("component"))
+
+
+def state(edges: DataFrame) -> tuple:
+    """What tells one set of links from another."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import combinations, repeat
 from math import comb
 
@@ -70,34 +69,13 @@ def fingerprints(docs: DataFrame, words: int, doc_id: str, text: str) -> DataFra
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def bit_counts(fps: DataFrame) -> tuple[np.ndarray, int]:
-    """How often each pair of bits is set together over all fingerprints (a 64 by 64 table), and their number."""
-
-    def run(batches):
-        total, n = np.zeros((BITS, BITS)), 0
-        for batch in batches:
-            if batch.num_rows:
-                bits = as_bits(batch.column("fp").to_numpy(zero_copy_only=False)).astype(np.float32)
-                total += bits.T @ bits
-                n += len(bits)
-        yield pa.RecordBatch.from_pydict({"n": [n], "both": [total.ravel().tolist()]})
-
-    rows = fps.select("fp").mapInArrow(run, "n long, both array<double>")
-    row = rows.agg(F.sum("n"), F.array(*[F.sum(F.col("both")[i]) for i in range(0, BITS * BITS, BITS + 1)])).first()
-    whole = rows.select(F.posexplode("both")).groupBy("pos").agg(F.sum("col").alias("c")).collect()
-    table = np.zeros(BITS * BITS)
-    for x in whole:  # 4096 numbers, whatever the input
-        table[x["pos"]] = x["c"]
-    return table.reshape(BITS, BITS), int(row[0] or 0)
-
-
 def as_bits(fps: np.ndarray) -> np.ndarray:
     return np.unpackbits(fps.astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
 
 
-def group_bits(both: np.ndarray, n: int, parts: int) -> list[list[int]]:
+def group_bits(bits: np.ndarray, parts: int) -> list[list[int]]:
     """Bits dealt to ``parts`` equal partitions so that correlated bits stand together."""
-    p = both / max(n, 1)
+    p = bits.T @ bits / max(len(bits), 1)
     one = np.diag(p)
     sd = np.sqrt(np.maximum(one * (1 - one), 1e-12))
     corr = np.abs((p - np.outer(one, one)) / np.outer(sd, sd))
@@ -144,12 +122,12 @@ def thresholds(sample: np.ndarray, n: int, groups: list[list[int]], most: int) -
 
 
 def plan(fps: DataFrame, most: int) -> list[tuple[list[int], int]]:
-    """The partitions of the bits with their thresholds."""
-    both, n = bit_counts(fps)
+    """The partitions of the bits with their thresholds, from a sample of fingerprints and the number of all."""
+    n = fps.count()
     sample = np.array([r[0] for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(PLAN_SAMPLE).select("fp").collect()], dtype=np.int64)
-    found = []
+    bits, found = as_bits(sample).astype(float), []
     for parts in range(1, most + 2):
-        groups = group_bits(both, n, parts)
+        groups = group_bits(bits, parts)
         found.append((*thresholds(sample, n, groups, most), groups))
     _, chosen, groups = min(found, key=lambda x: x[0])
     return [(g, t) for g, t in zip(groups, chosen, strict=True) if t >= 0]
@@ -163,32 +141,29 @@ def mask_of(bits) -> int:
     return signed(sum(1 << b for b in bits))
 
 
-def near_links(groups: DataFrame, most: int) -> DataFrame:
-    """Spanning links (src, dst) over distinct fingerprints ``groups`` (fp, n) within ``most`` differing bits.
+def near_components(groups: DataFrame, most: int) -> DataFrame:
+    """(fp, low, c, component) over distinct fingerprints ``groups`` (fp, low, n), linked within ``most`` bits.
 
-    First each bucket of equal bits links to its most copied fingerprint, which leaves linear work for a bucket
-    of near copies; the probe join then looks only for links between fingerprints not yet in one component.
+    First each fingerprint that is near the most copied one of a bucket of equal bits takes it as its centre, which
+    leaves linear work for a bucket of near copies; the probe join then looks only for links between fingerprints of
+    different centres, and components are formed over centres.
     """
     parts = plan(groups, most)
     differ = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
-    entries = lambda df: df.select("*", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(mask_of(g)).cast("long")).alias("key")) for i, (g, _) in enumerate(parts)])).alias("e")).select("*", "e.*").drop("e")
-    stars = []
-    at = groups
-    for k in range(2):
-        rows = entries(at)
-        order = F.struct("n", "fp") if k == 0 else F.struct(F.xxhash64("fp"), "fp")
-        top = rows.groupBy("part", "key").agg(F.max(order)["fp"].alias("top"), F.count("*").alias("size")).where("size > 1").drop("size")
-        stars.append(rows.join(top, ["part", "key"]).where((F.col("fp") != F.col("top")) & (differ("fp", "top") <= most)).select(F.col("fp").alias("src"), F.col("top").alias("dst")))
-    first = materialize(reduce(DataFrame.union, stars).distinct(), "simhash-stars")
-    comps = connected_components(first, "simhash-cc")
-    known = materialize(groups.join(comps, groups["fp"] == comps["node"], "left").select("fp", F.coalesce("component", "fp").alias("c")), "simhash-known")
-    data = entries(known).select("part", "key", F.col("fp").alias("b"), F.col("c").alias("cb"))
-    flips = F.array(*[F.struct(F.lit(i).alias("part"), F.lit(mask_of(g)).cast("long").alias("mask"), F.array(*[F.lit(mask_of(c)).cast("long") for k in range(t + 1) for c in combinations(g, k)]).alias("flips")) for i, (g, t) in enumerate(parts)])
-    probes = known.select("fp", "c", F.explode(flips).alias("p")).select("fp", "c", "p.part", "p.mask", F.explode("p.flips").alias("flip")).select(
-        "part", F.col("fp").bitwiseAND(F.col("mask")).bitwiseXOR(F.col("flip")).alias("key"), F.col("fp").alias("a"), F.col("c").alias("ca"))
+    masks = F.array(*[F.struct(F.lit(i).alias("part"), F.lit(mask_of(g)).cast("long").alias("mask"), F.array(*[F.lit(mask_of(c)).cast("long") for k in range(t + 1) for c in combinations(g, k)]).alias("flips")) for i, (g, t) in enumerate(parts)])
+    key = F.col("fp").bitwiseAND(F.col("p.mask"))
+    rows = groups.select("fp", "n", F.explode(masks).alias("p")).select("fp", "n", F.col("p.part").alias("part"), key.alias("key"))
+    top = rows.groupBy("part", "key").agg(F.max(F.struct("n", "fp"))["fp"].alias("top"), F.count("*").alias("size")).where("size > 1")
+    centres = rows.join(top, ["part", "key"]).where((F.col("fp") != F.col("top")) & (differ("fp", "top") <= most)).groupBy("fp").agg(F.min("top").alias("top"))
+    known = materialize(groups.join(centres, "fp", "left").select("fp", "low", F.least("fp", "top").alias("c")), "simhash-centres")
+    data = known.select(F.col("fp").alias("b"), F.col("c").alias("cb"), F.explode(masks).alias("p")).select("b", "cb", F.col("p.part").alias("part"), F.col("b").bitwiseAND(F.col("p.mask")).alias("key"))
+    probes = known.select(F.col("fp").alias("a"), F.col("c").alias("ca"), F.explode(masks).alias("p")).select("a", "ca", F.col("p.part").alias("part"), F.explode("p.flips").alias("flip"), F.col("a").bitwiseAND(F.col("p.mask")).alias("key"))
+    probes = probes.select("a", "ca", "part", F.col("key").bitwiseXOR(F.col("flip")).alias("key"))
     across = probes.join(data, ["part", "key"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (differ("a", "b") <= most))
-    return first.union(across.select(F.col("ca").alias("src"), F.col("cb").alias("dst")).distinct())
+    comps = connected_components(across.select(F.col("ca").alias("src"), F.col("cb").alias("dst")), "simhash-components")
+    lows = known.groupBy("c").agg(F.min("low").alias("low")).join(comps, F.col("c") == F.col("node"), "left").select("c", "low", F.coalesce("component", "c").alias("component"))
+    named = lows.groupBy("component").agg(F.min("low").alias("component_id")).join(lows.select("c", "component"), "component")
+    return known.select("fp", "c").join(named.select("c", "component_id"), "c").select("fp", "component_id")
 
 
 def simhash_components(docs: DataFrame, words: int = 5, max_bits: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -205,11 +180,7 @@ def simhash_components(docs: DataFrame, words: int = 5, max_bits: int = 4, doc_i
     """
     fps = materialize(fingerprints(docs, words, doc_id, text), "simhash-fp")
     groups = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "simhash-groups")
-    comps = connected_components(near_links(groups.select("fp", "n"), max_bits), "simhash-all")
-    named = groups.join(comps, groups["fp"] == comps["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("c"))
-    lows = named.groupBy("c").agg(F.min("low").alias("component_id"))
-    of = named.join(lows, "c").select("fp", "component_id")
-    return fps.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return fps.join(near_components(groups, max_bits), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, max_bits: int = 4) -> DataFrame:

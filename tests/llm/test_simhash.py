@@ -54,9 +54,9 @@ def test_edge_cases(spark):
 def test_thresholds_cover_all_pairs():
     rng = np.random.default_rng(0)
     fps = rng.integers(-2**63, 2**63 - 1, 300)
-    both = np.zeros((64, 64))
+    bits = simhash.as_bits(fps).astype(float)
     for parts in range(1, 6):
-        groups = simhash.group_bits(both, 1, parts)
+        groups = simhash.group_bits(bits, parts)
         assert sorted(b for g in groups for b in g) == list(range(64))
         _, chosen = simhash.thresholds(fps, 10_000, groups, 4)
         assert sum(chosen) == 4 - parts + 1
