@@ -135,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> CoTrained:
     columns = docs.select("doc_id", "text", "source", "lang", F.col("n_chars").cast("long").alias("n_chars"))
     kind = columns.schema["doc_id"].dataType.simpleString()
     got = columns.join(F.broadcast(sample), "doc_id").mapInArrow(run, f"doc_id {kind}, quality int, x array<float>").toArrow().sort_by("doc_id")
-    x = np.array(got["x"].to_pylist(), dtype=float).reshape(len(got), -1)
+    x = np.array(got["x"].to_pylist(), dtype=float)
     y = np.array([np.nan if v is None else v for v in got["quality"].to_pylist()], dtype=float)
     has = ~np.isnan(y)
     x = x if x.size else np.zeros((0, n + SOURCE_SLOTS + LANG_SLOTS + LENGTH_SLOTS))
