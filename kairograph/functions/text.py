@@ -108,7 +108,7 @@ def redact_contacts(c: Column) -> Column:
 
 def strip_tags(c: Column) -> Column:
     lines = F.split(F.regexp_replace(clean_entities(F.regexp_replace(c, r"(?s)<[^>]*>", " ")), r"[ \t ]+", " "), "\n")
-    return F.array_join(F.filter(F.transform(lines, F.trim), lambda x: x != ""), "\n")
+    return F.array_join(F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != ""), "\n")
 
 
 def clean_entities(c: Column) -> Column:
