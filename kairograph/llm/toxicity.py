@@ -16,8 +16,8 @@ BUCKETS = 1 << 20
 #: Bound of the labelled rows that the model is fitted on, taken by hash order.
 TRAIN_ROWS = 20_000
 #: Hashed terms that enter the model: those most tied to the label in the training rows.
-MODEL_TERMS, LEAST_CHI2 = 4096, 10.0
-FACTORS, STEPS, RATE, DECAY = 4, 300, 0.2, 3e-4
+MODEL_TERMS, LEAST_CHI2 = 4096, 15.0
+FACTORS, STEPS, RATE, DECAY = 4, 400, 0.3, 1e-5
 
 
 def hashed_terms(text: str) -> list[int]:
