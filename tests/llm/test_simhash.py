@@ -60,3 +60,25 @@ def test_thresholds_cover_all_pairs():
         assert sorted(b for g in groups for b in g) == list(range(64))
         _, chosen = simhash.thresholds(fps, 10_000, groups, 4)
         assert sum(chosen) == 4 - parts + 1
+
+
+def jaccard_pairs(rows, words, least):
+    sets = {k: frozenset(simhash.shingle_hashes(t or "", words)) for k, t in rows}
+    holders = {}
+    for k, s in sets.items():
+        for h in s:
+            holders.setdefault(h, []).append(k)
+    pairs = {(a, b) for ids in holders.values() if len(ids) < 400 for i, a in enumerate(ids) for b in ids[i + 1:]}
+    return {p for p in pairs if len(sets[p[0]] & sets[p[1]]) >= least * len(sets[p[0]] | sets[p[1]])}, sets
+
+
+def test_similar_pairs_are_found_and_others_left(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    of = {r["doc_id"]: r["component_id"] for r in simhash.similar_components(docs).collect()}
+    want, sets = jaccard_pairs(rows, 5, 0.8)
+    found = [of[a] == of[b] for a, b in want]
+    assert want and np.mean(found) >= 0.9
+    near, _ = jaccard_pairs(rows, 5, 0.4)
+    linked = {x for p in near for x in p}
+    assert all(of[k] == k for k, s in sets.items() if s and k not in linked)
