@@ -88,7 +88,9 @@ class CoTrained:
             models = [Logistic().fit(np.concatenate(r), np.concatenate(t)) for r, t in zip(rows, targets, strict=True)]
             if not free.any():
                 break
-            probs = [m.prob(p) for m, p in zip(models, pools, strict=True)]
+            #: a view teaches with probabilities that hold on rows it never saw, so a weak view is never sure
+            checks = [Logistic().fit(m.logit(v[held])[:, None], y[held]) for m, v in zip(models, views, strict=True)]
+            probs = [c.prob(m.logit(p)[:, None]) for c, m, p in zip(checks, models, pools, strict=True)]
             for teacher, pupil in ((0, 1), (1, 0)):
                 p = probs[teacher]
                 sure = free & ((p >= SURE) | (p <= 1 - SURE))
