@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from kairograph.llm import html_extract, queries, warc
 
-PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var x="<p>no</p>";</script></head><body><div class="cookie-notice">We use cookies</div>
-<nav><ul><li><a href=/a>Home {0}</a></li><li>About</li></ul></nav><div class=ad>Buy {0}</div><div id="wrap"><article><h1>Title {0} &amp; more</h1><p>First   <b>bold</b> text&nbsp;{0}.<p>Same passage everywhere.
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var x="<p>no</p>";</script></head><body><header><h2>Site {0}</h2></header><div class="cookie-notice">We use cookies</div>
+<nav><ul><li><a href=/a>Home {0}</a></li><li>About</li></ul></nav><div class=ad>Buy {0}</div><div id="wrap"><article><header><h1>Title {0} &amp; more</h1></header><p>First   <b>bold</b> text&nbsp;{0}.<p>Same passage everywhere.
 <ul><li>one<li>two</ul><form><input>Sign up</form><aside>Side</aside><pre>a  b
 c</pre><div class="comments"><p>reader says</p></div></article></div><footer>&copy; site</footer></body></html>"""
 
