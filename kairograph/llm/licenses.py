@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from .common import materialize
+
 #: Short public notices by SPDX identifier.
 TEMPLATES = {
     "Apache-2.0": [
@@ -70,7 +72,7 @@ def scan_licenses(files: DataFrame, least: float = LEAST, file_id: str = "doc_id
     rows = files.select(F.col(file_id).alias("id"), F.col(path).cast("string").alias("path"), F.col(text).alias("text"))
     names = [(name, k, t) for name, own in TEMPLATES.items() for k, t in enumerate(own)]
     shapes = spark.createDataFrame(names, "license string, k int, t string").select("license", "k", F.explode(tokens(F.col("t"))).alias("term")).groupBy("license", "k", "term").agg(F.count("*").alias("tf"))
-    pieces = notices(rows)
+    pieces = materialize(notices(rows), "license-pieces")
     known = shapes.select("term").distinct()
     held = pieces.join(F.broadcast(known), "term")
     df = held.groupBy("term").agg(F.count("*").alias("df"))
