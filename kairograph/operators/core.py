@@ -22,10 +22,12 @@ def top_per(df: DataFrame, keys: list, order: list, n: int = 1, rank: str | None
 
 
 def coauthor_pairs(t: Tables) -> DataFrame:
-    """(publication_id, a, b) with a < b for authors of one publication; both sides share one partitioning."""
-    a = t.authors.select("publication_id", F.col("person_id").alias("a"))
-    b = t.authors.select("publication_id", F.col("person_id").alias("b"))
-    return a.join(b, "publication_id").where("a < b")
+    """(publication_id, a, b) with a < b for authors of one publication.
+
+    Rows are dealt by publication once; both the de-duplication and the self-join run on that partitioning.
+    """
+    own = t.raw("lineitem").select(F.col("l_orderkey").alias("publication_id"), F.col("l_partkey").alias("a")).repartition("publication_id").distinct()
+    return own.join(own.toDF("publication_id", "b"), "publication_id").where("a < b")
 
 
 def coauthor_edges(t: Tables) -> DataFrame:
