@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import map_batches, texts
 
 #: Words of up to so many bytes are merged over contiguous rank arrays, longer ones with a heap of ranks.
 SHORT = 160
@@ -157,7 +157,27 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*piece.columns, ids], [*piece.schema.names, "token_ids"])
 
     rest = docs.drop("token_ids")
-    return rest.mapInArrow(run, rest.withColumn("token_ids", F.lit(None).cast("binary")).schema)
+    return map_batches(rest, run, rest.withColumn("token_ids", F.lit(None).cast("binary")).schema)
+
+
+def encode_and_check(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, round_trip, token_ids) per row of ``docs`` (doc_id, text).
+
+    One pass encodes and decodes; round_trip tells whether the whole text came back. Cases as for ``encode``.
+    """
+    source = broadcast_vocabulary(docs.sparkSession, path)
+
+    def run(batches):
+        codec = codec_of(source)
+        for piece, rows in texts(batches):
+            ids = [codec.encode(t) for t in rows]
+            yield pa.RecordBatch.from_arrays([
+                piece.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
+                pa.array([codec.decode(x) == t for x, t in zip(ids, rows, strict=True)]), pa.array(ids, pa.binary())],
+                ["doc_id", "n_tokens", "ids_sha256", "round_trip", "token_ids"])
+
+    rows = docs.select("doc_id", "text")
+    return map_batches(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, round_trip boolean, token_ids binary")
 
 
 def decode(encoded: DataFrame, path: str, to: str = "decoded") -> DataFrame:
@@ -172,7 +192,7 @@ def decode(encoded: DataFrame, path: str, to: str = "decoded") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*batch.columns, out], [*batch.schema.names, to])
 
     rest = encoded.drop(to)
-    return rest.mapInArrow(run, rest.withColumn(to, F.lit(None).cast("string")).schema)
+    return map_batches(rest, run, rest.withColumn(to, F.lit(None).cast("string")).schema)
 
 
 def round_trip_digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -188,4 +208,4 @@ def round_trip_digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text:
                 pa.array([hashlib.sha256(codec.decode(x).encode()).hexdigest() for x in ids])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_batches(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

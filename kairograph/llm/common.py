@@ -10,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of an Arrow batch of texts, at most.
+BATCH_ROWS = 1000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see (``spark.checkpoint.dir``); a temporary one only where it is unset."""
@@ -31,7 +34,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def texts(batches: Iterator, column: str = "text", most: int = 16 << 20) -> Iterator[tuple]:
+def map_batches(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` with batches of at most BATCH_ROWS rows, which bounds what a worker holds."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return df.mapInArrow(run, schema)
+
+
+def texts(batches: Iterator, column: str = "text", most: int = 4 << 20) -> Iterator[tuple]:
     """Arrow batches as (batch, list of str) pairs cut so that a piece holds about ``most`` bytes of text.
 
     Null texts become the empty string.

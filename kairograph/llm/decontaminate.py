@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, texts
+from .common import map_batches, materialize, texts
 
 #: Unused positions after each document, so that no phrase or near match runs into the next one.
 GAP = 64
@@ -58,7 +58,7 @@ def build_index(docs: DataFrame, vocabulary, doc_id: str = "doc_id", text: str =
 
     def run(batches):
         known = vocabulary.value.get
-        for piece, rows in texts(batches, most=8 << 20):
+        for piece, rows in texts(batches):
             ids = piece.column("doc_id")
             each = [words_of(t) for t in rows]
             n = np.fromiter(map(len, each), np.int64, len(each))
@@ -76,7 +76,7 @@ def build_index(docs: DataFrame, vocabulary, doc_id: str = "doc_id", text: str =
                 "doc_starts": [begin.astype("<u4").tobytes()], "n_words": [n.astype("<u4").tobytes()], "terms": [unique.astype("<i4").tobytes()],
                 "term_starts": [first.astype("<u4").tobytes()], "positions": [at.astype("<u4").tobytes()]})
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, INDEX_SCHEMA)
+    return map_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), run, INDEX_SCHEMA)
 
 
 class Shard:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import map_batches, texts
 
 #: Bounds of the labelled and the unlabelled rows that the classifiers are fitted on, taken by hash order.
 LABELLED_ROWS, UNLABELLED_ROWS = 16_000, 16_000
@@ -136,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> CoTrained:
 
     columns = docs.select("doc_id", "text", "source", "lang", F.col("n_chars").cast("long").alias("n_chars"))
     kind = columns.schema["doc_id"].dataType.simpleString()
-    got = columns.join(F.broadcast(sample), "doc_id").mapInArrow(run, f"doc_id {kind}, quality int, x array<float>").toArrow().sort_by("doc_id")
+    got = map_batches(columns.join(F.broadcast(sample), "doc_id"), run, f"doc_id {kind}, quality int, x array<float>").toArrow().sort_by("doc_id")
     x = np.array(got["x"].to_pylist(), dtype=float)
     y = np.array([np.nan if v is None else v for v in got["quality"].to_pylist()], dtype=float)
     has = ~np.isnan(y)
@@ -163,7 +163,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) ->
             yield pa.RecordBatch.from_arrays([*piece.columns, *map(pa.array, p), pa.array(p[2] >= threshold)], [*piece.schema.names, *names])
 
     schema = rest.selectExpr("*", "0D AS p_text", "0D AS p_meta", "0D AS quality_score", "true AS quality_keep").schema
-    return rest.mapInArrow(run, schema)
+    return map_batches(rest, run, schema)
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import map_batches, texts
 
 #: The patterns of known kinds with the fewest characters that count.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -99,7 +99,7 @@ def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                 ["doc_id", "n_assign", "n_access", "n_hex", "n_novel", "base_sha256", "spans"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string")
+    return map_batches(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string")
 
 
 def redact_secrets(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
@@ -121,4 +121,4 @@ def redact_secrets(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
             k = piece.schema.get_field_index("text")
             yield piece.set_column(k, piece.schema.field(k), pa.array(out, piece.schema.field(k).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

@@ -11,29 +11,33 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, texts
+from .common import connected_components, map_batches, materialize, texts
 
 BITS, SEED = 64, 42
 #: Fingerprints that are looked at to choose partitions and thresholds; they decide the speed, never the result.
 PLAN_SAMPLE = 2000
 
+#: Runs of up to 255 hashes that are counted at once; a run takes 16 KB.
+STEP = 256
+
 #: SPREAD[b] holds the bits of byte b as eight counters of one byte each.
 SPREAD = np.zeros(256, dtype="<u8")
 for _b in range(8):
     SPREAD |= np.where(np.arange(256) >> _b & 1, np.uint64(1 << (8 * _b)), np.uint64(0))
 
 
-def shingle_hashes(text: str, words: int) -> list[int]:
+def shingle_hashes(text: str, words: int) -> np.ndarray:
     """XXH64 of every word shingle of the whole text; fewer words: the whole sequence; none: nothing."""
     data = b" ".join(text.encode("utf-8", "replace").lower().split())
     if not data:
-        return []
+        return np.zeros(0, np.uint64)
     gaps = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
     if len(gaps) < words:
-        return [xxhash.xxh64_intdigest(data, SEED)]
+        return np.array([xxhash.xxh64_intdigest(data, SEED)], np.uint64)
     first = [0, *(gaps + 1).tolist()]
     last = [*gaps.tolist(), len(data)]
-    return list(map(xxhash.xxh64_intdigest, map(data.__getitem__, map(slice, first, last[words - 1:])), repeat(SEED)))
+    found = map(xxhash.xxh64_intdigest, map(data.__getitem__, map(slice, first, last[words - 1:])), repeat(SEED))
+    return np.fromiter(found, np.uint64, len(last) - words + 1)
 
 
 def majority_bits(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -45,11 +49,11 @@ def majority_bits(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     begin = np.concatenate(([0], np.cumsum(sizes[full])[:-1]))
     cuts = np.concatenate([np.arange(b, b + s, 255) for b, s in zip(begin.tolist(), sizes[full].tolist(), strict=True)])
     parts = np.empty((len(cuts), BITS), dtype=np.uint8)
-    for at in range(0, len(cuts), 4096):
-        own = cuts[at:at + 4096]
-        end = cuts[at + 4096] if at + 4096 < len(cuts) else len(hashes)
+    for at in range(0, len(cuts), STEP):
+        own = cuts[at:at + STEP]
+        end = cuts[at + STEP] if at + STEP < len(cuts) else len(hashes)
         spread = SPREAD[hashes[own[0]:end].view(np.uint8).reshape(-1, 8)]
-        parts[at:at + 4096] = np.add.reduceat(spread, own - own[0], axis=0).view(np.uint8).reshape(-1, BITS)
+        parts[at:at + STEP] = np.add.reduceat(spread, own - own[0], axis=0).view(np.uint8).reshape(-1, BITS)
     counts = np.add.reduceat(parts, np.searchsorted(cuts, begin), axis=0, dtype=np.int64)
     set_ = counts * 2 > sizes[full][:, None]
     out[full] = np.packbits(set_, axis=1, bitorder="little").view("<u8").ravel()
@@ -60,13 +64,13 @@ def fingerprints(docs: DataFrame, words: int, doc_id: str, text: str) -> DataFra
     """(doc_id, fp: long) per row."""
 
     def run(batches):
-        for piece, rows in texts(batches, most=4 << 20):
+        for piece, rows in texts(batches, most=2 << 20):
             each = [shingle_hashes(t, words) for t in rows]
             sizes = np.fromiter(map(len, each), np.int64, len(each))
-            flat = np.fromiter((h for x in each for h in x), np.uint64, int(sizes.sum()))
+            flat = np.concatenate(each)
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(majority_bits(flat, sizes).view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return map_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), run, "doc_id long, fp long")
 
 
 def as_bits(fps: np.ndarray) -> np.ndarray:
@@ -193,10 +197,10 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, s0 to s3) per row: four fingerprints of the same shingles under four mixings of their hashes."""
 
     def run(batches):
-        for piece, rows in texts(batches, most=4 << 20):
+        for piece, rows in texts(batches, most=2 << 20):
             each = [shingle_hashes(t, words) for t in rows]
             sizes = np.fromiter(map(len, each), np.int64, len(each))
-            flat = np.fromiter((h for x in each for h in x), np.uint64, int(sizes.sum()))
+            flat = np.concatenate(each)
             out = []
             for k in range(WORDS):
                 mixed = flat + np.uint64(0x9E3779B97F4A7C15 * k % 2**64)
@@ -206,7 +210,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *out], ["doc_id", *[f"s{k}" for k in range(WORDS)]])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"s{k} long" for k in range(WORDS)))
+    return map_batches(rows, run, "doc_id long, " + ", ".join(f"s{k} long" for k in range(WORDS)))
 
 
 def bands(prefix: str = "s") -> list:

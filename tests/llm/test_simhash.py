@@ -63,7 +63,7 @@ def test_thresholds_cover_all_pairs():
 
 
 def jaccard_pairs(rows, words, least):
-    sets = {k: frozenset(simhash.shingle_hashes(t or "", words)) for k, t in rows}
+    sets = {k: frozenset(simhash.shingle_hashes(t or "", words).tolist()) for k, t in rows}
     holders = {}
     for k, s in sets.items():
         for h in s:
