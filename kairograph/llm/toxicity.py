@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import map_batches, materialize, texts
 from .decontaminate import words_of
 
 BUCKETS = 1 << 20
@@ -17,7 +17,9 @@ BUCKETS = 1 << 20
 TRAIN_ROWS = 20_000
 #: Hashed terms that enter the model: those most tied to the label in the training rows.
 MODEL_TERMS, LEAST_CHI2 = 4096, 15.0
-FACTORS, STEPS, RATE, DECAY = 4, 400, 0.3, 1e-5
+FACTORS, STEPS = 4, 400
+#: Learning rates and ridge of the term weights and of the factors: pairs only explain what single terms leave open.
+RATES, DECAYS = (0.3, 0.05), (1e-5, 1e-3)
 
 
 def hashed_terms(text: str) -> list[int]:
@@ -33,19 +35,12 @@ class FactorizationMachine:
         self.place = {int(t): k for k, t in enumerate(terms)}
 
     @classmethod
-    def fit(cls, rows: list[list[int]], labels: np.ndarray) -> FactorizationMachine:
+    def fit(cls, terms: np.ndarray, rows: list[list[int]], labels: np.ndarray) -> FactorizationMachine:
+        """A machine over ``terms`` (sorted) from the hashed terms of labelled rows; other terms are ignored."""
         n, n_pos = len(labels), int(labels.sum())
         prior = float(np.log((n_pos + 0.5) / (n - n_pos + 0.5)))
         flat = np.fromiter((t for r in rows for t in r), np.int64, sum(map(len, rows)))
         of = np.repeat(np.arange(n), [len(r) for r in rows])
-        pos = np.bincount(flat[labels[of] == 1], minlength=BUCKETS).astype(float) if n else np.zeros(BUCKETS)
-        df = np.bincount(flat, minlength=BUCKETS).astype(float)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            expected = df * n_pos / max(n, 1)
-            chi2 = np.where((df >= 3) & (df < n), (pos - expected) ** 2 * n / (expected * (n - n_pos) * (1 - df / n)), 0.0)
-        chi2 = np.nan_to_num(chi2, posinf=0.0)
-        terms = np.sort(np.argsort(-chi2, kind="stable")[:MODEL_TERMS])
-        terms = terms[chi2[terms] >= LEAST_CHI2]
         place = np.full(BUCKETS, -1)
         place[terms] = np.arange(len(terms))
         keep = place[flat] >= 0
@@ -61,14 +56,14 @@ class FactorizationMachine:
             s2 = np.bincount(own, (v[cols] ** 2).sum(1), n)
             z = bias + np.bincount(own, w[cols], n) + 0.5 * ((s**2).sum(1) - s2)
             g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) * weight
-            gw = np.bincount(cols, g[own], len(terms)) + DECAY * w
-            gv = np.stack([np.bincount(cols, g[own] * (s[own, f] - v[cols, f]), len(terms)) for f in range(FACTORS)], 1) + DECAY * v
+            gw = np.bincount(cols, g[own], len(terms)) + DECAYS[0] * w
+            gv = np.stack([np.bincount(cols, g[own] * (s[own, f] - v[cols, f]), len(terms)) for f in range(FACTORS)], 1) + DECAYS[1] * v
             gb = float(g.sum())
             for k, (x, grad) in enumerate(((w, gw), (v, gv))):
                 sums[k + 1] += grad**2
-                x -= RATE * grad / np.sqrt(sums[k + 1])
+                x -= RATES[k] * grad / np.sqrt(sums[k + 1])
             sums[0] += gb**2
-            bias -= RATE * gb / np.sqrt(sums[0])
+            bias -= RATES[0] * gb / np.sqrt(sums[0])
         return cls(terms, bias, w, v)
 
     def score(self, rows: list[str]) -> np.ndarray:
@@ -84,8 +79,21 @@ class FactorizationMachine:
         return out
 
 
+def telling_terms(rows: DataFrame) -> np.ndarray:
+    """The hashed terms of ``rows`` (toxic, terms) with the largest chi-square against the label, in order."""
+    n = rows.agg(F.count("*").alias("n"), F.sum("toxic").cast("double").alias("p"))
+    counts = rows.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").cast("double").alias("df"), F.sum("toxic").cast("double").alias("pos"))
+    expected = F.col("df") * F.col("p") / F.col("n")
+    chi2 = F.pow(F.col("pos") - expected, 2) * F.col("n") / (expected * (F.col("n") - F.col("p")) * (1 - F.col("df") / F.col("n")))
+    told = counts.where("df >= 3").join(F.broadcast(n)).where("df < n AND p > 0 AND p < n").select("term", chi2.alias("chi2")).where(F.col("chi2") >= LEAST_CHI2)
+    return np.sort(np.array([r[0] for r in told.orderBy(F.desc("chi2"), "term").limit(MODEL_TERMS).select("term").collect()], dtype=np.int64))
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> FactorizationMachine:
-    """A machine fitted on at most TRAIN_ROWS rows of ``labels`` (doc_id, toxic) with their whole texts."""
+    """A machine fitted on at most TRAIN_ROWS rows of ``labels`` (doc_id, toxic) with their whole texts.
+
+    Terms are counted and chosen by Spark; the driver gets the chosen terms of the training rows alone.
+    """
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
 
@@ -93,8 +101,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> FactorizationMachine:
         for piece, rows in texts(batches):
             yield pa.RecordBatch.from_arrays([piece.column("toxic"), pa.array([hashed_terms(t) for t in rows], pa.list_(pa.int32()))], ["toxic", "terms"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("toxic", "text").mapInArrow(run, "toxic int, terms array<int>").toArrow()
-    return FactorizationMachine.fit(rows["terms"].to_pylist(), np.array(rows["toxic"].to_numpy(), dtype=float))
+    rows = materialize(map_batches(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("toxic", "text"), run, "toxic int, terms array<int>"), "toxic-terms")
+    terms = telling_terms(rows)
+    chosen = F.filter("terms", lambda t: t.isin(terms.tolist())) if len(terms) else F.array().cast("array<int>")
+    own = rows.select("toxic", chosen.alias("terms")).toArrow()
+    order = sorted(zip(own["terms"].to_pylist(), own["toxic"].to_pylist(), strict=True))
+    return FactorizationMachine.fit(terms, [r for r, _ in order], np.array([y for _, y in order], dtype=float))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -117,4 +129,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -
 
     rows = docs.select("doc_id", F.coalesce(fold() == 1, F.lit(False)).alias("held_out"), "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double").withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
+    return map_batches(rows, run, f"doc_id {kind}, held_out boolean, score double").withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))

@@ -32,7 +32,7 @@ def test_pairs_beyond_linear_weights():
         a, b = rng.integers(0, 2, 2)
         rows.append([*([5] * a), *([9] * b), 100 + int(rng.integers(0, 5))])
         y.append(float(a and b))
-    machine = toxicity.FactorizationMachine.fit(rows, np.array(y))
+    machine = toxicity.FactorizationMachine.fit(np.array([5, 9]), rows, np.array(y))
     a, b = machine.place[5], machine.place[9]
     assert machine.factors[a] @ machine.factors[b] > 0.5
 
