@@ -189,66 +189,132 @@ def simhash_components(docs: DataFrame, words: int = 5, max_bits: int = 4, doc_i
 
 #: Words of the long signature that similarity search works on, and its bits.
 WORDS, LONG_BITS = 4, 256
-#: Bits that may differ at a Jaccard similarity of s: the share acos(2s / (1 + s)) / pi of all, with room for its spread.
-ROOM = 2
+#: Bits that may differ at a Jaccard similarity of s: the share acos(2s / (1 + s)) / pi of all, and so many standard
+#: deviations. Sets of fewer than SMALL shingles are too uneven for that and go to the exact check in any case.
+ROOM, SMALL = 5, 64
+#: Keys of KEY_ROWS minima each: a pair of similarity s shares one with a probability of 1 - (1 - s^KEY_ROWS)^KEYS.
+KEYS, KEY_ROWS = 24, 5
+FACTORS = np.random.default_rng(SEED).integers(0, 2**63, (KEYS, KEY_ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def name_of(shingles: np.ndarray) -> int:
+    return signed(xxhash.xxh64_intdigest(shingles.tobytes(), SEED))
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, s0 to s3) per row: four fingerprints of the same shingles under four mixings of their hashes."""
+    """(doc_id, node, size, s0 to s3, keys) per row, all of the set of its distinct shingle hashes.
+
+    ``node`` names the set, s0 to s3 are fingerprints under four mixings of the hashes, ``keys`` hash minima under
+    KEYS x KEY_ROWS multipliers (none for an empty set).
+    """
 
     def run(batches):
-        for piece, rows in texts(batches, most=2 << 20):
-            each = [shingle_hashes(t, words) for t in rows]
+        for piece, rows in texts(batches, most=1 << 20):
+            each = [np.unique(shingle_hashes(t, words)) for t in rows]
             sizes = np.fromiter(map(len, each), np.int64, len(each))
             flat = np.concatenate(each)
-            out = []
-            for k in range(WORDS):
-                mixed = flat + np.uint64(0x9E3779B97F4A7C15 * k % 2**64)
-                mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-                mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-                out.append(pa.array(majority_bits(mixed ^ (mixed >> np.uint64(31)), sizes).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *out], ["doc_id", *[f"s{k}" for k in range(WORDS)]])
+            node = pa.array([name_of(x) for x in each], pa.int64())
+            long = [pa.array(majority_bits(mixed(flat + np.uint64(0x9E3779B97F4A7C15 * k % 2**64)), sizes).view(np.int64)) for k in range(WORDS)]
+            full = np.flatnonzero(sizes)
+            begin = np.concatenate(([0], np.cumsum(sizes[full])[:-1]))
+            keys = np.zeros((len(full), KEYS), np.uint64)
+            for k in range(KEYS if len(full) else 0):
+                keys[:, k] = k
+                for factor in FACTORS[k]:
+                    keys[:, k] = mixed(keys[:, k] + np.minimum.reduceat(flat * factor, begin))
+            ends = lambda n: pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32())
+            yield pa.RecordBatch.from_arrays([
+                piece.column("doc_id"), node, pa.array(sizes), *long,
+                pa.ListArray.from_arrays(ends((sizes > 0) * KEYS), pa.array(keys.ravel().view(np.int64)))],
+                ["doc_id", "node", "size", *[f"s{k}" for k in range(WORDS)], "keys"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return map_batches(rows, run, "doc_id long, " + ", ".join(f"s{k} long" for k in range(WORDS)))
+    return map_batches(rows, run, "doc_id long, node long, size long, " + ", ".join(f"s{k} long" for k in range(WORDS)) + ", keys array<long>")
+
 
+def bands() -> list:
+    """16 keys of 16 bits of the long signature."""
+    return [F.xxhash64(F.lit(4 * w + j), F.shiftrightunsigned(f"s{w}", 16 * j).bitwiseAND(F.lit(0xFFFF).cast("long"))) for w in range(WORDS) for j in range(4)]
 
-def bands(prefix: str = "s") -> list:
-    """32 keys of 16 bits of the long signature: runs of bits, then combs of bits; each bit is in two keys."""
-    runs = [F.xxhash64(F.lit(4 * w + j), F.shiftrightunsigned(f"{prefix}{w}", 16 * j).bitwiseAND(F.lit(0xFFFF).cast("long"))) for w in range(WORDS) for j in range(4)]
-    comb = [mask_of(range(j, 64, 4)) for j in range(4)]
-    return runs + [F.xxhash64(F.lit(16 + 4 * w + j), F.col(f"{prefix}{w}").bitwiseAND(F.lit(comb[j]).cast("long"))) for w in range(WORDS) for j in range(4)]
+
+def may_link(a: str, b: str, similarity: float):
+    """Whether two structs (size, s0 to s3) can be of this similarity by their sizes and, if not small, signatures."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    most = int(LONG_BITS * share + ROOM * np.sqrt(LONG_BITS * share * (1 - share)))
+    differ = sum((F.bit_count(F.col(f"{a}.s{k}").bitwiseXOR(F.col(f"{b}.s{k}"))) for k in range(1, WORDS)), F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))))
+    low, high = F.least(f"{a}.size", f"{b}.size"), F.greatest(f"{a}.size", f"{b}.size")
+    return (low >= similarity * high - 1e-9) & ((low < SMALL) | (differ <= most))
+
+
+def verified(pairs: DataFrame, groups: DataFrame, docs: DataFrame, words: int, similarity: float, name: str) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets of shingles have this Jaccard similarity or more, by their whole texts.
+
+    A node's text is that of its doc_id in ``groups``; where rows repeat a doc_id, the text must give the node.
+    """
+    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
+    used = groups.select("node", "doc_id").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
+    own = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(used, "doc_id").select("node", "text"), name + "-texts")
+
+    def run(batches):
+        for batch in batches:
+            keep, last = [], {}
+            for k, (a, b, x, y) in enumerate(zip(*(batch.column(c) for c in ("a", "b", "x", "y")), strict=True)):
+                sets = {}
+                for node, text in ((a.as_py(), x), (b.as_py(), y)):
+                    if (found := last.get(node)) is None:
+                        found = np.unique(shingle_hashes(text.as_py() or "", words))
+                        found = found if name_of(found) == node else np.zeros(0, np.uint64)
+                    sets[node] = found
+                last = {n: f for n, f in sets.items() if len(f)}
+                one, two = sets.values()
+                common = len(np.intersect1d(one, two, assume_unique=True))
+                if common and common >= similarity * (len(one) + len(two) - common) - 1e-9:
+                    keep.append(k)
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in ("a", "b")], ["a", "b"])
+
+    return map_batches(pairs.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b"), run, "a long, b long")
 
 
 def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, component_id): components of documents whose shingles have about this Jaccard similarity or more.
+    """(doc_id, component_id): components of documents whose sets of word shingles have this Jaccard similarity or more.
 
-    At such distances (39 of 256 bits for 0.8) no allocation of pigeonhole thresholds stays selective, so all
-    partitions get threshold 0 and two partitionings are probed; a pair is verified on all 256 bits. A similar pair
-    shares a partition with a probability of 0.9 at 0.8 and 0.99 at 0.9. As in the exact search, each bucket first
-    links to its most copied signature, and the probe join looks only across centres; a pair counts in its first
-    common partition alone.
+    Two steps propose pairs, and every pair is checked on its whole sets. First the most copied set of each bucket of
+    equal signature bits or equal minima is paired with the others of the bucket, which leaves linear work for near
+    copies. Then all pairs with a common key of minima are taken that these links left in different components. Only
+    pairs that share none of KEYS keys (1 in 14,000 at 0.8) or differ by ROOM standard deviations can be missed.
 
-    Defined cases: as for simhash_components; rows with a null doc_id are left out.
+    Defined cases: documents of equal sets (empty ones too) are of similarity 1; rows with a null doc_id are left out.
     """
-    most = round(LONG_BITS * np.arccos(2 * similarity / (1 + similarity)) / np.pi) + ROOM
-    own = [f"s{k}" for k in range(WORDS)]
-    sigs = materialize(signatures(docs.where("doc_id IS NOT NULL"), words), "simhash-sig").withColumn("node", F.xxhash64(*own))
-    groups = materialize(sigs.groupBy("node", *own).agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "simhash-sig-groups")
-    differ = lambda a, b: sum((F.bit_count(F.col(f"{a}{k}").bitwiseXOR(F.col(f"{b}{k}"))) for k in range(1, WORDS)), F.bit_count(F.col(f"{a}0").bitwiseXOR(F.col(f"{b}0"))))
-    rows = groups.select("n", "node", *own, F.explode(F.array(*bands()[:16])).alias("key"))
-    top = rows.groupBy("key").agg(F.max(F.struct("n", "node", *own)).alias("t"), F.count("*").alias("size")).where("size > 1").select("key", F.col("t.node").alias("top"), *[F.col(f"t.s{k}").alias(f"t{k}") for k in range(WORDS)])
-    centres = rows.join(top, "key").where((F.col("node") != F.col("top")) & (differ("s", "t") <= most)).groupBy("node").agg(F.min("top").alias("top"))
-    known = materialize(groups.join(centres, "node", "left").select("node", "low", *own, F.least("node", "top").alias("c")), "simhash-sig-centres")
-    left = known.select(F.col("node").alias("a"), F.col("c").alias("ca"), *own, F.posexplode(F.array(*bands())).alias("band", "key"))
-    right = known.select(F.col("node").alias("b"), F.col("c").alias("cb"), *[F.col(f"s{k}").alias(f"t{k}") for k in range(WORDS)], F.explode(F.array(*bands())).alias("key"))
-    first = F.array_position(F.array(*[x == y for x, y in zip(bands("s"), bands("t"), strict=True)]), True)
-    across = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (differ("s", "t") <= most) & (first == F.col("band") + 1))
-    comps = connected_components(across.select(F.col("ca").alias("src"), F.col("cb").alias("dst")), "simhash-similar")
-    lows = known.groupBy("c").agg(F.min("low").alias("low")).join(comps, F.col("c") == F.col("node"), "left").select("c", "low", F.coalesce("component", "c").alias("component"))
+    sigs = materialize(signatures(docs.where("doc_id IS NOT NULL"), words), "simhash-sig")
+    own = F.struct("node", "size", *[f"s{k}" for k in range(WORDS)]).alias("x")
+    rest = ["size", *[f"s{k}" for k in range(WORDS)], "keys"]
+    groups = materialize(sigs.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), *[F.any_value(c).alias(c) for c in rest]), "simhash-sig-groups")
+    rows = groups.where("size > 0").select(own, "n", F.explode(F.concat(F.array(*bands()), "keys")).alias("key"))
+    top = rows.groupBy("key").agg(F.min(F.struct(-F.col("n"), "x"))["x"].alias("t"), F.count("*").alias("size")).where("size > 1").select("key", "t")
+    stars = rows.join(top, "key").where((F.col("x.node") != F.col("t.node")) & may_link("x", "t", similarity)).select(F.col("x.node").alias("a"), F.col("t.node").alias("b"))
+    links = materialize(verified(stars, groups, docs, words, similarity, "simhash-star-pairs"), "simhash-star-links")
+    centres = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")), "simhash-stars")
+    known = materialize(groups.join(centres, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component"), "simhash-sig-centres")
+
+    rows = known.select("node", "c", F.explode("keys").alias("key"))
+    open_ = rows.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
+    rows = materialize(rows.join(open_, "key", "left_semi").join(groups.select("node", own), "node").select("x", "c", "key"), "simhash-open-keys")
+    across = rows.join(rows.toDF("y", "d", "key"), "key")
+    across = across.where((F.col("c") < F.col("d")) & may_link("x", "y", similarity)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    found = verified(across, groups, docs, words, similarity, "simhash-cross-pairs")
+    of = known.select("node", "c")
+    ends = found.join(of.toDF("a", "src"), "a").join(of.toDF("b", "dst"), "b").select("src", "dst")
+    comps = connected_components(ends, "simhash-similar")
+    lows = known.groupBy("c").agg(F.min("doc_id").alias("low")).join(comps, F.col("c") == F.col("node"), "left").select("c", "low", F.coalesce("component", "c").alias("component"))
     named = lows.groupBy("component").agg(F.min("low").alias("component_id")).join(lows.select("c", "component"), "component").select("c", "component_id")
-    of = known.select("node", "c").join(named, "c").select("node", "component_id")
-    return sigs.select("doc_id", "node").join(of, "node").select("doc_id", "component_id")
+    named = of.join(named, "c").select("node", "component_id")
+    return sigs.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

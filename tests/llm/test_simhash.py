@@ -82,3 +82,27 @@ def test_similar_pairs_are_found_and_others_left(spark):
     near, _ = jaccard_pairs(rows, 5, 0.4)
     linked = {x for p in near for x in p}
     assert all(of[k] == k for k, s in sets.items() if s and k not in linked)
+
+
+def test_links_by_similarity_are_exact(spark):
+    """Pairs of two random texts: ``common`` shingles of both, ``own`` ones of each; exactly those from 0.8 on link."""
+    cases = [(80, 10), (320, 40), (82, 9), (85, 7), (79, 10), (75, 12), (300, 50), (70, 15)]
+    rng, rows, pairs = np.random.default_rng(1), [], []
+    for common, own in cases:
+        for _ in range(150):
+            head = rng.integers(10**12, size=common + 4).tolist()
+            for _ in range(2):
+                rows.append((len(rows), " ".join(map(str, head + rng.integers(10**12, size=own).tolist()))))
+            pairs.append((len(rows) - 2, common / (common + 2 * own) >= 0.8))
+    of = {r["doc_id"]: r["component_id"] for r in simhash.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    linked = [of[k] == of[k + 1] for k, _ in pairs]
+    assert np.mean([x for x, (_, near) in zip(linked, pairs, strict=True) if near]) > 0.995
+    assert not any(x for x, (_, near) in zip(linked, pairs, strict=True) if not near)
+
+
+def test_repeats_inside_a_text_do_not_hide_a_link(spark):
+    base = [f"w{k}" for k in range(200)]
+    rows = [(1, " ".join(base)), (2, " ".join(base + base[-50:] * 20))]
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for _, t in rows]
+    assert len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1])
+    assert {r["component_id"] for r in simhash.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {1}
