@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -22,7 +24,7 @@ KINDS = ("assign", "access", "hex", "novel")
 #: Words that make their surroundings sensitive, and what may be a secret near them.
 SENSITIVE = re.compile(r"passw(?:or)?d|passphrase|secret|token|api[_-]?key|private[_-]?key|credential|bearer|authorization", re.IGNORECASE | re.ASCII)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
-REACH, CONTEXT = 64, 256
+LEAST, REACH, CONTEXT = 16, 64, 256
 #: Marginal compressed bytes for each character from which a candidate counts as incompressible.
 NOVEL = 0.55
 
@@ -57,20 +59,30 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def candidates(text: str) -> set[tuple[int, int]]:
+    """(start, end) of runs of 16 or more characters that end within REACH before a sensitive word or begin within
+    REACH after it; of a run that holds the word, what stands on either side of it."""
+    words = [m.span() for m in SENSITIVE.finditer(text)]
+    if not words:
+        return set()
+    runs = [m.span() for m in CANDIDATE.finditer(text)]
+    starts, ends, out = [s for s, _ in runs], [e for _, e in runs], set()
+    for a, b in words:
+        for s, e in runs[bisect_left(ends, a - REACH):bisect_right(starts, b + REACH)]:
+            out.update([(s, e)] if e <= a or s >= b else [(s, a), (b, e)])
+    return {(s, e) for s, e in out if e - s >= LEAST}
+
+
 def novel_spans(text: str, base: list[tuple[int, int, str]], novelty: Novelty) -> list[tuple[int, int, str]]:
-    """Incompressible candidates after a sensitive word that no base span covers."""
-    out, seen = [], set()
-    for m in SENSITIVE.finditer(text):
-        for c in CANDIDATE.finditer(text, m.end(), min(len(text), m.end() + REACH)):
-            start, end = c.start(), CANDIDATE.match(text, c.start()).end()
-            if start in seen or any(s < end and start < e for s, e, _ in base):
-                continue
-            seen.add(start)
-            token = text[start:end]
-            if not (re.search(r"[0-9]", token) and re.search(r"[A-Za-z]", token)):
-                continue
-            if novelty.rate(text[max(0, start - CONTEXT):start], token, text[end:end + CONTEXT]) >= NOVEL:
-                out.append((start, end, "novel"))
+    """Incompressible candidates near a sensitive word that no base span covers; the longest of nested ones."""
+    out: list[tuple[int, int, str]] = []
+    last = [0, *accumulate((e for _, e, _ in base), max)]
+    begins = [s for s, *_ in base]
+    for start, end in sorted(candidates(text), key=lambda c: (c[0], -c[1])):
+        if last[bisect_left(begins, end)] > start or out and end <= out[-1][1]:
+            continue
+        if novelty.rate(text[max(0, start - CONTEXT):start], text[start:end], text[end:end + CONTEXT]) >= NOVEL:
+            out.append((start, end, "novel"))
     return out
 
 

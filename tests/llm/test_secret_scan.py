@@ -43,6 +43,19 @@ def test_novel_spans():
     assert secret_scan.novel_spans(text.replace("bearer credential", "quiet morning").replace("authorization", "x"), [], novelty) == []
 
 
+def test_compressed_bytes_alone_decide():
+    novelty = secret_scan.Novelty()
+    found = lambda text: [text[a:b] for a, b, _ in secret_scan.novel_spans(text, secret_scan.base_spans(text), novelty)]
+    letters, digits, mixed = "ZqvTnKxPwRyLmBdHcJfGsWeUaQiOtXrM", "83120574961738205946", "Zq8vT3nKx0PwR7yLm2Bd5Hc9"
+    for value in (letters, digits, mixed):
+        assert found(f"the bearer {value} was used") == [value]
+        assert found(f"{value}: bearer") == [value]
+        assert found("bearer " + "it is " * 9 + f"was {value} then") == [value]
+    assert found(f"bearer-{mixed}") == [f"-{mixed}"] and found("bearer " + letters + mixed + letters[::-1]) == [letters + mixed + letters[::-1]]
+    assert found(f"{mixed} " + "it is " * 12 + "bearer " + "it is " * 12 + mixed) == []
+    assert found("the bearer aaaaaaaaaaaaaaaaaaaaaaaa and 11111111111111111111111111111111 too") == []
+
+
 def test_edge_cases(spark):
     docs = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "token=abcdef", "x"), (3, "token=abcdef", "x"), (None, "a " * 100_000 + "secret: abcdefgh", "x")], "doc_id long, text string, spans string")
     got = secret_scan.scan_secrets(docs).collect()
