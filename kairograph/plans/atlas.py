@@ -120,11 +120,12 @@ def n07(t):
 @query("n08_classical_mds")
 def n08(t):
     """Clusters placed by the distances of their mean profiles."""
-    means = t.raw("embeddings").groupBy("label").agg(*[F.avg(F.col("embedding")[k]).alias(f"m{k}") for k in range(8)])
+    cells = t.raw("embeddings").select("label", F.posexplode("embedding").alias("k", "x")).groupBy("label", "k").agg(F.avg("x").alias("x"))
+    means = cells.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("k", "x")))["x"].alias("m"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("label")
-        x = pdf[[f"m{k}" for k in range(8)]].to_numpy(float)
+        x = np.array(pdf["m"].tolist(), float)
         xy = layout.classical_mds(np.sqrt(((x[:, None] - x[None, :]) ** 2).sum(-1)))
         return pd.DataFrame({"cluster": pdf["label"], "x": xy[:, 0], "y": xy[:, 1]})
 
@@ -146,11 +147,11 @@ def normalised(p):
 def n10(t):
     """People by dominant field; a field over the threshold is split by least rise of squares."""
     field = dominant_field(t)
-    profiles = t.raw("embeddings").select(F.col("vec_id").alias("person_id"), F.slice("embedding", 1, 8).alias("v")).join(field, "person_id")
+    profiles = t.raw("embeddings").select(F.col("vec_id").alias("person_id"), F.col("embedding").alias("v")).join(field, "person_id")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("person_id")
-        parts = max(2, -(-len(pdf) // 40)) if len(pdf) > 20 else 1
+        parts = max(2, -(-len(pdf) // 40)) if len(pdf) > 60 else 1
         labels = layout.ward_labels(np.array(pdf["v"].tolist(), float), parts) if parts > 1 else np.zeros(len(pdf), int)
         return pd.DataFrame({"person_id": pdf["person_id"], "field": pdf["field"], "part": labels})
 

@@ -94,3 +94,28 @@ def test_layouts():
 
 def test_oracle_names_its_views():
     assert oracle("SELECT * FROM edges").count(" AS (") == 4 and oracle("SELECT 1") == "SELECT 1" and "edges" in VIEWS
+
+
+def test_profiles_count_in_all_components(spark, tmp_path):
+    """Zeros before every vector change neither topic clusters nor map positions; fields of up to 60 stay whole."""
+    from pathlib import Path
+
+    from kairograph.plans.registry import QUERIES
+
+    sf = Path("/root/testdata/sf0.01")
+    for f in sf.iterdir():
+        if f.name != "embeddings.parquet":
+            (tmp_path / f.name).symlink_to(f)
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
+    kind = vectors.schema["embedding"].dataType
+    zeros = F.array_repeat(F.lit(0.0), 8).cast(kind)
+    vectors.withColumn("embedding", F.concat(zeros, "embedding").cast(kind)).write.parquet(str(tmp_path / "embeddings.parquet"))
+    parts = [{r["person_id"]: (r["field"], r["part"]) for r in QUERIES["n10_topic_clusters"](spark, d).collect()} for d in (str(sf), str(tmp_path))]
+    assert parts[0] == parts[1]
+    sizes = {}
+    for field, part in parts[0].values():
+        sizes.setdefault(field, []).append(part)
+    assert all((len(set(p)) > 1) == (len(p) > 60) for p in sizes.values())
+    at = [{r["cluster"]: (abs(r["x"]), abs(r["y"])) for r in QUERIES["n08_classical_mds"](spark, d).collect()} for d in (str(sf), str(tmp_path))]
+    assert at[0].keys() == at[1].keys() and all(np.allclose(at[0][k], at[1][k], atol=1e-6) for k in at[0])
+    assert len({tuple(np.round(v, 9)) for v in at[1].values()}) > 1
