@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,19 +11,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch of texts, at most.
-BATCH_ROWS = 1000
+#: Folders that stand in for a shared one on local masters, by application.
+_LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see (``spark.checkpoint.dir``); a temporary one only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors see: ``spark.checkpoint.dir``, else the checkpoint folder of the context.
+
+    Where neither is set, a temporary folder serves on a local master, which has one disk; on a cluster that is an error.
+    """
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = _LOCAL.setdefault(context.applicationId, "")
+        if not found:
+            found = _LOCAL[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-")
     return found.rstrip("/")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/kairograph/{name}-{uuid.uuid4().hex}"
 
@@ -35,10 +51,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def map_batches(df: DataFrame, run, schema) -> DataFrame:
-    """``df.mapInArrow(run, schema)`` with batches of at most BATCH_ROWS rows, which bounds what a worker holds."""
-    conf = df.sparkSession.conf
-    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """``df.mapInArrow(run, schema)``; Spark bounds a batch by rows and by bytes, ``texts`` cuts it further."""
     return df.mapInArrow(run, schema)
 
 

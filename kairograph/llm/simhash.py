@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, map_batches, materialize, texts
+from .common import connected_components, free_name, map_batches, materialize, texts
 
 BITS, SEED = 64, 42
 #: Fingerprints that are looked at to choose partitions and thresholds; they decide the speed, never the result.
@@ -195,6 +195,9 @@ ROOM, SMALL = 5, 64
 #: Keys of KEY_ROWS minima each: a pair of similarity s shares one with a probability of 1 - (1 - s^KEY_ROWS)^KEYS.
 KEYS, KEY_ROWS = 24, 5
 FACTORS = np.random.default_rng(SEED).integers(0, 2**63, (KEYS, KEY_ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: From this similarity to its hub on a set is described by what it has beyond the hub's.
+BESIDE = 0.4
+SLIP = 1e-9
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -203,15 +206,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def name_of(shingles: np.ndarray) -> int:
-    return signed(xxhash.xxh64_intdigest(shingles.tobytes(), SEED))
-
-
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, node, size, s0 to s3, keys) per row, all of the set of its distinct shingle hashes.
+    """(doc_id, text_key, name, size, s0 to s3, keys) per row, from the set of its distinct shingle hashes.
 
-    ``node`` names the set, s0 to s3 are fingerprints under four mixings of the hashes, ``keys`` hash minima under
-    KEYS x KEY_ROWS multipliers (none for an empty set).
+    ``name`` is a 128-bit digest of the set, s0 to s3 are fingerprints under four mixings of the hashes, ``keys`` hash
+    minima under KEYS x KEY_ROWS multipliers (none for an empty set).
     """
 
     def run(batches):
@@ -219,7 +218,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
             each = [np.unique(shingle_hashes(t, words)) for t in rows]
             sizes = np.fromiter(map(len, each), np.int64, len(each))
             flat = np.concatenate(each)
-            node = pa.array([name_of(x) for x in each], pa.int64())
+            name = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in each], pa.binary())
             long = [pa.array(majority_bits(mixed(flat + np.uint64(0x9E3779B97F4A7C15 * k % 2**64)), sizes).view(np.int64)) for k in range(WORDS)]
             full = np.flatnonzero(sizes)
             begin = np.concatenate(([0], np.cumsum(sizes[full])[:-1]))
@@ -230,17 +229,12 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                     keys[:, k] = mixed(keys[:, k] + np.minimum.reduceat(flat * factor, begin))
             ends = lambda n: pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32())
             yield pa.RecordBatch.from_arrays([
-                piece.column("doc_id"), node, pa.array(sizes), *long,
+                piece.column("doc_id"), piece.column("text_key"), name, pa.array(sizes), *long,
                 pa.ListArray.from_arrays(ends((sizes > 0) * KEYS), pa.array(keys.ravel().view(np.int64)))],
-                ["doc_id", "node", "size", *[f"s{k}" for k in range(WORDS)], "keys"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return map_batches(rows, run, "doc_id long, node long, size long, " + ", ".join(f"s{k} long" for k in range(WORDS)) + ", keys array<long>")
-
+                ["doc_id", "text_key", "name", "size", *[f"s{k}" for k in range(WORDS)], "keys"])
 
-def bands() -> list:
-    """16 keys of 16 bits of the long signature."""
-    return [F.xxhash64(F.lit(4 * w + j), F.shiftrightunsigned(f"s{w}", 16 * j).bitwiseAND(F.lit(0xFFFF).cast("long"))) for w in range(WORDS) for j in range(4)]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("text_key"), "text")
+    return map_batches(rows, run, "doc_id long, text_key string, name binary, size long, " + ", ".join(f"s{k} long" for k in range(WORDS)) + ", keys array<long>")
 
 
 def may_link(a: str, b: str, similarity: float):
@@ -249,81 +243,141 @@ def may_link(a: str, b: str, similarity: float):
     most = int(LONG_BITS * share + ROOM * np.sqrt(LONG_BITS * share * (1 - share)))
     differ = sum((F.bit_count(F.col(f"{a}.s{k}").bitwiseXOR(F.col(f"{b}.s{k}"))) for k in range(1, WORDS)), F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))))
     low, high = F.least(f"{a}.size", f"{b}.size"), F.greatest(f"{a}.size", f"{b}.size")
-    return (low >= similarity * high - 1e-9) & ((low < SMALL) | (differ <= most))
+    return (low >= similarity * high - SLIP) & ((low < SMALL) | (differ <= most))
 
 
-def verified(pairs: DataFrame, groups: DataFrame, docs: DataFrame, words: int, similarity: float, name: str) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets of shingles have this Jaccard similarity or more, by their whole texts.
+def compared(pairs: DataFrame, groups: DataFrame, docs: DataFrame, words: int, least: float, name: str) -> DataFrame:
+    """(a, b, sim, gone, new) of the pairs (a, b) of sets whose Jaccard similarity, by whole texts, is ``least`` or more.
 
-    A node's text is that of its doc_id in ``groups``; where rows repeat a doc_id, the text must give the node.
+    ``gone`` counts shingles of b that a lacks, ``new`` lists those of a that b lacks. The text of a set is that of
+    its row (doc_id, text_key) in ``groups``.
     """
-    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
-    used = groups.select("node", "doc_id").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
-    own = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(used, "doc_id").select("node", "text"), name + "-texts")
+    pairs = materialize(pairs, name)
+    used = groups.select("node", "doc_id", "text_key").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("text_key"), "text")
+    own = rows.join(used, (rows["doc_id"] == used["doc_id"]) & rows["text_key"].eqNullSafe(used["text_key"])).groupBy("node").agg(F.any_value("text").alias("text"))
+    own = materialize(own, name + "-texts")
 
     def run(batches):
         for batch in batches:
-            keep, last = [], {}
+            found, last = [], {}
             for k, (a, b, x, y) in enumerate(zip(*(batch.column(c) for c in ("a", "b", "x", "y")), strict=True)):
-                sets = {}
-                for node, text in ((a.as_py(), x), (b.as_py(), y)):
-                    if (found := last.get(node)) is None:
-                        found = np.unique(shingle_hashes(text.as_py() or "", words))
-                        found = found if name_of(found) == node else np.zeros(0, np.uint64)
-                    sets[node] = found
-                last = {n: f for n, f in sets.items() if len(f)}
-                one, two = sets.values()
+                last = {n: last[n] if n in last else np.unique(shingle_hashes(t.as_py() or "", words)) for n, t in ((a.as_py(), x), (b.as_py(), y))}
+                one, two = last[a.as_py()], last[b.as_py()]
                 common = len(np.intersect1d(one, two, assume_unique=True))
-                if common and common >= similarity * (len(one) + len(two) - common) - 1e-9:
-                    keep.append(k)
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in ("a", "b")], ["a", "b"])
+                sim = common / max(1, len(one) + len(two) - common)
+                if sim >= least - SLIP:
+                    found.append((k, sim, len(two) - common, np.setdiff1d(one, two, assume_unique=True).view(np.int64)))
+            at = pa.array([f[0] for f in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([
+                batch.column("a").take(at), batch.column("b").take(at), pa.array([f[1] for f in found], pa.float64()),
+                pa.array([f[2] for f in found], pa.int64()), pa.array([f[3] for f in found], pa.list_(pa.int64()))], ["a", "b", "sim", "gone", "new"])
+
+    return map_batches(pairs.join(own.toDF("b", "y"), "b").join(own.toDF("a", "x"), "a").select("a", "b", "x", "y"), run, "a long, b long, sim double, gone long, new array<long>")
 
-    return map_batches(pairs.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b"), run, "a long, b long")
+
+def hubs_of(rows: DataFrame) -> DataFrame:
+    """(node, hub): for each node of ``rows`` (node, n, key) the most central one within two steps over shared keys.
+
+    Central is what has the most company in its keys, then the most copies; two rounds of maxima over keys spread it.
+    """
+    company = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    shared = materialize(rows.join(company, "key"), "simhash-shared-keys")
+    central = shared.groupBy("node").agg(F.struct(F.sum("size").alias("size"), F.max("n").alias("n"), F.col("node").alias("hub")).alias("h"))
+    for _ in range(2):
+        of_key = shared.join(central, "node").groupBy("key").agg(F.max("h").alias("h"))
+        central = materialize(shared.select("node", "key").join(of_key, "key").groupBy("node").agg(F.max("h").alias("h")), "simhash-hubs")
+    return central.select("node", F.col("h.hub").alias("hub"))
+
+
+def open_pairs(state: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes in different components that can still be of this similarity.
+
+    ``state`` has (node, c, hub, sim, over, less, new, x) for every node: its component, its hub with the similarity
+    to it (null if under BESIDE), what it exceeds the link bound to the hub by, how many shingles more it lacks than
+    it adds, those it adds, and its signature. Pairs of the same hub link only if they are about as far from it, and
+    if one of them does not link to the hub itself, only if they add a common shingle or the other one is the smaller
+    by what the first exceeds the bound; so the many texts around one hub are joined on what they add, not pairwise.
+    """
+    fields = ["node", "c", "hub", "sim", "over", "less"]
+    left, right = (F.struct(*fields, "x.*").alias(k) for k in ("p", "q"))
+    apart = (F.col("p.node") < F.col("q.node")) & (F.col("p.c") != F.col("q.c")) & may_link("p", "q", similarity)
+    same = F.col("p.hub").eqNullSafe(F.col("q.hub")) & F.col("p.hub").isNotNull()
+    level = F.abs(F.col("p.sim") - F.col("q.sim")) <= 1 - similarity + SLIP
+    smaller = lambda a, b: similarity * F.col(f"{b}.less") + 1e-6 >= F.col(f"{a}.over")
+    held = rows.join(state, "node")
+    mixed_keys = held.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
+    held = materialize(rows.join(mixed_keys, "key", "left_semi").join(state.drop("new"), "node"), "simhash-open-keys")
+    by_key = held.select("key", left).join(held.select("key", right), "key").where(apart & (~same | level & smaller("p", "q") & smaller("q", "p")))
+    loose = state.where(F.col("sim").isNotNull()).groupBy("hub").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("hub")
+    added = state.where(F.col("sim").isNotNull()).join(loose, "hub", "left_semi").withColumn("element", F.explode("new")).drop("new")
+    common = added.groupBy("hub", "element").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select(F.col("hub").alias("h"), "element")
+    added = materialize(added.withColumn("h", F.col("hub")).join(common, ["h", "element"], "left_semi"), "simhash-open-elements")
+    by_element = added.select("h", "element", left).join(added.select("h", "element", right), ["h", "element"]).where(apart & level)
+    return by_key.select("p.node", "q.node").union(by_element.select("p.node", "q.node")).toDF("a", "b").distinct()
+
+
+def similar_rows(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Signature rows with their set's node, and (node, component_id) of every set; docs have no null doc_id."""
+    sigs = materialize(signatures(docs, words).withColumn("row", F.monotonically_increasing_id()), "simhash-sig")
+    own = F.struct("size", *[f"s{k}" for k in range(WORDS)]).alias("x")
+    first = F.min(F.struct("doc_id", "text_key"))
+    rest = ["size", *[f"s{k}" for k in range(WORDS)], "keys"]
+    groups = sigs.groupBy("name").agg(F.min("row").alias("node"), first.alias("first"), F.count("*").alias("n"), *[F.any_value(c).alias(c) for c in rest])
+    groups = materialize(groups.select("name", "node", "first.*", "n", own, "keys"), "simhash-sets")
+    rows = groups.where("x.size > 0").select("node", "n", F.explode("keys").alias("key"))
+    hubs = hubs_of(rows)
+    beside = compared(hubs.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")), groups, docs, words, BESIDE, "simhash-hub-pairs")
+    beside = materialize(beside, "simhash-beside")
+    stars = connected_components(beside.where(F.col("sim") >= similarity - SLIP).select(F.col("a").alias("src"), F.col("b").alias("dst")), "simhash-stars")
+    size = F.col("x.size")
+    hub_size = size - F.size("new") + F.col("gone")
+    over = F.col("gone") + similarity * F.size("new") - (1 - similarity) * hub_size
+    state = groups.select("node", "x").join(beside.withColumnRenamed("a", "node"), "node", "left").join(stars, "node", "left").join(hubs, "node", "left")
+    is_hub = F.col("hub") == F.col("node")
+    state = state.select(
+        "node", "x", F.coalesce("component", "node").alias("c"), F.when(is_hub | F.col("sim").isNotNull(), F.col("hub")).alias("hub"), F.when(is_hub, 1.0).otherwise(F.col("sim")).alias("sim"),
+        F.when(is_hub, -(1 - similarity) * size).otherwise(over).alias("over"), F.when(is_hub, 0).otherwise(F.col("gone") - F.size("new")).alias("less"), F.coalesce("new", F.array().cast("array<long>")).alias("new"))
+    state = materialize(state, "simhash-state")
+    pairs = open_pairs(state, rows.select("node", "key"), similarity)
+    found = compared(pairs, groups, docs, words, similarity, "simhash-cross-pairs").select("a", "b")
+    of = state.select("node", "c")
+    ends = found.join(of.toDF("a", "src"), "a").join(of.toDF("b", "dst"), "b").select("src", "dst")
+    comps = connected_components(ends, "simhash-similar").withColumnRenamed("node", "c")
+    named = of.join(comps, "c", "left").select("node", F.coalesce("component", "c").alias("component"))
+    lows = named.join(groups.select("node", "doc_id", "text_key"), "node").groupBy("component").agg(first.alias("low"))
+    named = materialize(named.join(lows, "component").select("node", "low"), "simhash-named")
+    return sigs.select("doc_id", "text_key", "name").join(groups.select("name", "node"), "name").drop("name"), named
 
 
 def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id): components of documents whose sets of word shingles have this Jaccard similarity or more.
 
-    Two steps propose pairs, and every pair is checked on its whole sets. First the most copied set of each bucket of
-    equal signature bits or equal minima is paired with the others of the bucket, which leaves linear work for near
-    copies. Then all pairs with a common key of minima are taken that these links left in different components. Only
-    pairs that share none of KEYS keys (1 in 14,000 at 0.8) or differ by ROOM standard deviations can be missed.
+    Sets that share a key of minima first meet the most central of them, their hub, which is linear work for a group of
+    near copies; what can still link across the components so far is proposed by ``open_pairs``. All similarities are
+    exact, on whole texts. Only pairs that share none of KEYS keys (1 in 14,000 at 0.8) or differ by ROOM standard
+    deviations of the signature can be missed.
 
-    Defined cases: documents of equal sets (empty ones too) are of similarity 1; rows with a null doc_id are left out.
+    Defined cases: documents of equal sets (empty ones too) are of similarity 1; rows with a null doc_id are left out;
+    different texts under one doc_id are different documents.
     """
-    sigs = materialize(signatures(docs.where("doc_id IS NOT NULL"), words), "simhash-sig")
-    own = F.struct("node", "size", *[f"s{k}" for k in range(WORDS)]).alias("x")
-    rest = ["size", *[f"s{k}" for k in range(WORDS)], "keys"]
-    groups = materialize(sigs.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), *[F.any_value(c).alias(c) for c in rest]), "simhash-sig-groups")
-    rows = groups.where("size > 0").select(own, "n", F.explode(F.concat(F.array(*bands()), "keys")).alias("key"))
-    top = rows.groupBy("key").agg(F.min(F.struct(-F.col("n"), "x"))["x"].alias("t"), F.count("*").alias("size")).where("size > 1").select("key", "t")
-    stars = rows.join(top, "key").where((F.col("x.node") != F.col("t.node")) & may_link("x", "t", similarity)).select(F.col("x.node").alias("a"), F.col("t.node").alias("b"))
-    links = materialize(verified(stars, groups, docs, words, similarity, "simhash-star-pairs"), "simhash-star-links")
-    centres = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")), "simhash-stars")
-    known = materialize(groups.join(centres, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component"), "simhash-sig-centres")
-
-    rows = known.select("node", "c", F.explode("keys").alias("key"))
-    open_ = rows.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    rows = materialize(rows.join(open_, "key", "left_semi").join(groups.select("node", own), "node").select("x", "c", "key"), "simhash-open-keys")
-    across = rows.join(rows.toDF("y", "d", "key"), "key")
-    across = across.where((F.col("c") < F.col("d")) & may_link("x", "y", similarity)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    found = verified(across, groups, docs, words, similarity, "simhash-cross-pairs")
-    of = known.select("node", "c")
-    ends = found.join(of.toDF("a", "src"), "a").join(of.toDF("b", "dst"), "b").select("src", "dst")
-    comps = connected_components(ends, "simhash-similar")
-    lows = known.groupBy("c").agg(F.min("doc_id").alias("low")).join(comps, F.col("c") == F.col("node"), "left").select("c", "low", F.coalesce("component", "c").alias("component"))
-    named = lows.groupBy("component").agg(F.min("low").alias("component_id")).join(lows.select("c", "component"), "component").select("c", "component_id")
-    named = of.join(named, "c").select("node", "component_id")
-    return sigs.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
+    rows, named = similar_rows(docs.where("doc_id IS NOT NULL"), words, similarity)
+    return rows.join(named, "node").select("doc_id", F.col("low.doc_id").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text, ...) whose doc_id is the smallest of its component; all columns stay.
+    """The first row of each component of ``docs`` (doc_id, text, ...) by doc_id, then text digest; all columns stay.
+
+    Components hold exact copies and documents of the given Jaccard similarity of word shingles or more.
 
-    Components hold exact copies and documents of the given Jaccard similarity of word shingles or more. Rows that
-    repeat a kept doc_id collapse to one; rows without a doc_id stay.
+    Defined cases: equal rows of a kept document collapse to one; different texts under one doc_id are different
+    documents; rows without a doc_id stay; null and empty texts are copies of each other; an empty table stays empty.
     """
-    keep = similar_components(docs, words, similarity).where("doc_id = component_id").select("doc_id").distinct()
-    once = Window.partitionBy("doc_id").orderBy("doc_id", F.xxhash64("text"))
-    kept = docs.join(keep, "doc_id", "left_semi").withColumn("__row", F.row_number().over(once)).where("__row = 1").drop("__row")
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    rows, named = similar_rows(docs.where("doc_id IS NOT NULL"), words, similarity)
+    kept = named.select("low.*").distinct()
+    key, place = free_name(docs, "text_key"), free_name(docs, "place")
+    marked = docs.withColumn(key, F.coalesce(F.md5("text"), F.lit("")))
+    kept = kept.select("doc_id", F.coalesce("text_key", F.lit("")).alias(key))
+    once = Window.partitionBy("doc_id", key).orderBy(key)
+    first = marked.join(kept, ["doc_id", key], "left_semi").withColumn(place, F.row_number().over(once)).where(F.col(place) == 1)
+    return first.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
