@@ -6,14 +6,15 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, texts
+from .common import map_batches, materialize, texts
 
-#: Bounds of the labelled and the unlabelled rows that the classifiers are fitted on, taken by hash order.
-LABELLED_ROWS, UNLABELLED_ROWS = 16_000, 16_000
-ROUNDS, SURE, RIDGE = 4, 0.97, 1e-2
+#: Default bound of the labelled rows that the classifiers are fitted on, taken by hash order; no other bound on rows.
+LABELLED_ROWS = 16_000
+#: Rounds of exchange; rows that each view teaches the other in a round, as a share of the labelled rows; ridge.
+ROUNDS, TAUGHT, RIDGE = 4, 1 / 8, 1e-2
 SOURCE_SLOTS, LANG_SLOTS, LENGTH_SLOTS = 64, 16, 12
 
 MARKS = b"|!*#$%&@~^_<>{}[]()/\\=+;:.,?-'\""
@@ -72,38 +73,37 @@ class Logistic:
 
 
 class CoTrained:
-    """Two views that teach each other, and a calibrated combination of both."""
+    """A text view and a metadata view that teach each other, and a calibrated combination of both."""
 
-    def __init__(self, text: np.ndarray, meta: np.ndarray, y: np.ndarray, text_u: np.ndarray, meta_u: np.ndarray):
+    def __init__(self, text: np.ndarray, meta: np.ndarray, y: np.ndarray):
         self.constant = None
+        #: (rows taught to the text view, rows taught to the metadata view) of each round
+        self.taught: list[tuple[int, int]] = []
         if len(y) < 10 or y.min() == y.max():
             self.constant = float(y.mean()) if len(y) else 1.0
             return
-        held = np.arange(len(y)) % 4 == 3
-        views, pools = (text, meta), (text_u, meta_u)
-        rows = [[v[~held]] for v in views]
-        targets = [[y[~held]], [y[~held]]]
-        free = np.ones(len(text_u), bool)
-        for _ in range(ROUNDS):
-            models = [Logistic().fit(np.concatenate(r), np.concatenate(t)) for r, t in zip(rows, targets, strict=True)]
-            if not free.any():
-                break
-            #: a view teaches with probabilities that hold on rows it never saw, so a weak view is never sure
-            checks = [Logistic().fit(m.logit(v[held])[:, None], y[held]) for m, v in zip(models, views, strict=True)]
-            probs = [c.prob(m.logit(p)[:, None]) for c, m, p in zip(checks, models, pools, strict=True)]
-            for teacher, pupil in ((0, 1), (1, 0)):
-                p = probs[teacher]
-                sure = free & ((p >= SURE) | (p <= 1 - SURE))
-                chosen = np.flatnonzero(sure)[np.argsort(-np.abs(p[sure] - 0.5), kind="stable")][: max(50, len(y) // 8)]
-                rows[pupil].append(pools[pupil][chosen])
-                targets[pupil].append((p[chosen] >= 0.5).astype(float))
-                free[chosen] = False
-        self.models = [Logistic().fit(np.concatenate(r), np.concatenate(t)) for r, t in zip(rows, targets, strict=True)]
-        logits = lambda a, b: np.column_stack([self.models[0].logit(a), self.models[1].logit(b)])
-        z = logits(text[held], meta[held])
-        self.platt = [Logistic().fit(z[:, k:k + 1], y[held]) for k in (0, 1)]
-        both = np.column_stack([p.logit(z[:, k:k + 1]) for k, p in enumerate(self.platt)])
-        self.joint = Logistic().fit(both, y[held])
+        self.held = np.arange(len(y)) % 4 == 3
+        self.labelled = (text, meta), y
+        self.rows = [[v[~self.held]] for v in (text, meta)]
+        self.targets = [[y[~self.held]], [y[~self.held]]]
+        self.refit()
+
+    def refit(self) -> None:
+        """Fit both views on what they were taught; calibrate each, then both together, on labelled rows held back."""
+        views, y = self.labelled
+        self.models = [Logistic().fit(np.concatenate(r), np.concatenate(t)) for r, t in zip(self.rows, self.targets, strict=True)]
+        z = [m.logit(v[self.held])[:, None] for m, v in zip(self.models, views, strict=True)]
+        self.platt = [Logistic().fit(k, y[self.held]) for k in z]
+        self.joint = Logistic().fit(np.column_stack([p.logit(k) for p, k in zip(self.platt, z, strict=True)]), y[self.held])
+
+    def learn(self, text: np.ndarray, meta: np.ndarray, teacher: np.ndarray, p: np.ndarray) -> None:
+        """Rows with pseudo-labels ``p`` (calibrated, so a weak view teaches softly) of the view ``teacher`` (0 or 1)."""
+        for view, own in enumerate((text, meta)):
+            told = teacher == 1 - view
+            self.rows[view].append(own[told])
+            self.targets[view].append(p[told])
+        self.taught.append((int((teacher == 1).sum()), int((teacher == 0).sum())))
+        self.refit()
 
     def score(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Probabilities of good quality: text view, metadata view, both."""
@@ -116,37 +116,103 @@ class CoTrained:
 
 def views(batch, rows: list[str]) -> tuple[np.ndarray, np.ndarray]:
     meta = zip(*(batch.column(c).to_pylist() for c in ("source", "lang", "n_chars")), strict=True)
-    return np.array([text_view(t) for t in rows], dtype=float), one_hot(np.array([meta_view(*m) for m in meta]))
+    return np.array([text_view(t) for t in rows], dtype=float), np.array([meta_view(*m) for m in meta]).reshape(-1, 3)
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> CoTrained:
-    """Co-trained classifiers from bounded samples of labelled and unlabelled rows; whole texts are used."""
-    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
-    order = (F.xxhash64("doc_id"), "doc_id")
-    labelled = known.orderBy(*order).limit(LABELLED_ROWS)
-    free = docs.select("doc_id").distinct().join(known, "doc_id", "left_anti").orderBy(*order).limit(UNLABELLED_ROWS)
-    sample = labelled.unionByName(free.select("doc_id", F.lit(None).cast("int").alias("quality")))
-    n = len(text_view(""))
+def stacked(lists, kind) -> np.ndarray:
+    """A list column as a matrix."""
+    return np.array(lists.to_pylist(), dtype=kind).reshape(len(lists), -1)
+
+
+def described(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """(doc_id, quality, known, x, slots) of every row: both views of whole texts, with the labels ``marks`` has."""
 
     def run(batches):
         for piece, rows in texts(batches):
             a, b = views(piece, rows)
-            both = np.hstack([a, b])
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("quality"), pa.array(list(both.astype(np.float32)), pa.list_(pa.float32()))], ["doc_id", "quality", "x"])
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(list(a.astype(np.float32)), pa.list_(pa.float32())), pa.array(list(b.astype(np.int32)), pa.list_(pa.int32()))], ["doc_id", "x", "slots"])
 
     columns = docs.select("doc_id", "text", "source", "lang", F.col("n_chars").cast("long").alias("n_chars"))
     kind = columns.schema["doc_id"].dataType.simpleString()
-    got = map_batches(columns.join(F.broadcast(sample), "doc_id"), run, f"doc_id {kind}, quality int, x array<float>").toArrow().sort_by("doc_id")
-    x = np.array(got["x"].to_pylist(), dtype=float)
-    y = np.array([np.nan if v is None else v for v in got["quality"].to_pylist()], dtype=float)
-    has = ~np.isnan(y)
-    x = x if x.size else np.zeros((0, n + SOURCE_SLOTS + LANG_SLOTS + LENGTH_SLOTS))
-    return CoTrained(x[has, :n], x[has, n:], y[has], x[~has, :n], x[~has, n:])
+    return map_batches(columns, run, f"doc_id {kind}, x array<float>, slots array<int>").join(marks, "doc_id", "left")
+
 
+def most_confident(free: DataFrame, model: CoTrained, counts: dict) -> DataFrame:
+    """The rows of ``free`` that each view is surest of: counts[label] for each view and label, over all rows.
 
-def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    A task keeps no more than these of what it reads, so the final choice sees little.
+    """
+    shared = free.sparkSession.sparkContext.broadcast(model)
+    most = max(counts.values())
+
+    def run(batches):
+        own, kept = shared.value, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, slots = stacked(batch.column("x"), float), stacked(batch.column("slots"), int)
+            for view, p in enumerate(own.score(x, one_hot(slots))[:2]):
+                for label in (0, 1):
+                    sure = p if label else 1 - p
+                    at = np.argsort(-sure, kind="stable")[:most]
+                    kept.append(pa.table({
+                        "row": batch.column("row").take(pa.array(at)), "view": np.full(len(at), view, np.int32), "label": np.full(len(at), label, np.int32), "sure": sure[at], "p": p[at],
+                        "x": batch.column("x").take(pa.array(at)), "slots": batch.column("slots").take(pa.array(at))}))
+            if len(kept) >= 64:
+                kept = best(kept)
+        for t in best(kept):
+            yield from t.to_batches()
+
+    def best(tables):
+        if not tables:
+            return []
+        own = pa.concat_tables(tables).sort_by([("view", "ascending"), ("label", "ascending"), ("sure", "descending"), ("row", "ascending")])
+        key = own["view"].to_numpy() * 2 + own["label"].to_numpy()
+        place = np.arange(len(key)) - np.searchsorted(key, key)
+        return [own.filter(pa.array(place < most))]
+
+    rows = map_batches(free, run, "row long, view int, label int, sure double, p double, x array<float>, slots array<int>")
+    by = Window.partitionBy("view", "label").orderBy(F.desc("sure"), "row")
+    limit = F.when(F.col("label") == 1, counts[1]).otherwise(counts[0])
+    return rows.withColumn("place", F.row_number().over(by)).where((F.col("place") <= most) & (F.col("place") <= limit))
+
+
+def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, rounds: int = ROUNDS) -> CoTrained:
+    """Co-trained classifiers. At most ``labelled_rows`` labelled rows are used; all rows without label are candidates.
+
+    In each round both views score every free row on Spark; the rows that a view is surest of, for each label in
+    proportion to its share, go with its calibrated probabilities to the other view. Only the labelled rows and the
+    chosen ones reach the driver.
+    """
+    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
+    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled_rows).select("doc_id", F.lit(True).alias("known"))
+    rows = materialize(described(docs, known.join(F.broadcast(sample), "doc_id", "left")).withColumn("row", F.monotonically_increasing_id()), "quality-views")
+    got = rows.where("known").select("doc_id", "row", "x", "slots", "quality").toArrow().sort_by([("doc_id", "ascending"), ("row", "ascending")])
+    n = len(text_view(""))
+    x = stacked(got["x"], float) if len(got) else np.zeros((0, n))
+    slots = stacked(got["slots"], int) if len(got) else np.zeros((0, 3), int)
+    model = CoTrained(x, one_hot(slots), np.array(got["quality"].to_pylist(), dtype=float))
+    if model.constant is not None:
+        return model
+    free, done = rows.where("quality IS NULL").select("row", "x", "slots"), []
+    n_taught, share = max(20, int(len(got) * TAUGHT)), float(np.mean(got["quality"].to_pylist()))
+    counts = {1: max(5, round(n_taught * share)), 0: max(5, round(n_taught * (1 - share)))}
+    for _ in range(rounds):
+        left = free.where(~F.col("row").isin(done)) if done else free
+        chosen = most_confident(left, model, counts).select("row", "view", "p", "x", "slots").toArrow().sort_by([("view", "ascending"), ("row", "ascending")])
+        if not len(chosen):
+            break
+        model.learn(stacked(chosen["x"], float), one_hot(stacked(chosen["slots"], int)), chosen["view"].to_numpy(), chosen["p"].to_numpy())
+        done += sorted(set(chosen["row"].to_pylist()))
+    return model
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, labelled_rows: int = LABELLED_ROWS, rounds: int = ROUNDS) -> DataFrame:
     """``docs`` (doc_id, text, source, lang, n_chars, ...) with p_text, p_meta, quality_score and quality_keep.
 
+    ``labelled_rows`` bounds the labelled rows that the classifiers are fitted on. The views are calibrated on every
+    fourth of them, which no view is fitted on.
+
     Defined cases: null texts count as empty, null metadata as their own class; repeated labels of a doc_id count
     once, the larger one; repeated rows are scored each; existing columns of the four result names are replaced;
     without labels of both kinds every row gets the share of good labels (1 if there are none); an empty table gives
@@ -154,12 +220,13 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) ->
     """
     names = ["p_text", "p_meta", "quality_score", "quality_keep"]
     rest = docs.drop(*names)
-    model = docs.sparkSession.sparkContext.broadcast(fit(rest, labels))
+    model = docs.sparkSession.sparkContext.broadcast(fit(rest, labels, labelled_rows, rounds))
 
     def run(batches):
         own = model.value
         for piece, rows in texts(batches):
-            p = own.score(*views(piece, rows))
+            x, slots = views(piece, rows)
+            p = own.score(x, one_hot(slots))
             yield pa.RecordBatch.from_arrays([*piece.columns, *map(pa.array, p), pa.array(p[2] >= threshold)], [*piece.schema.names, *names])
 
     schema = rest.selectExpr("*", "0D AS p_text", "0D AS p_meta", "0D AS quality_score", "true AS quality_keep").schema
