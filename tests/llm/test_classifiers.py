@@ -24,17 +24,35 @@ def test_toxicity_on_held_out_rows(spark):
     assert np.mean(flagged) > 0.9
 
 
-def test_pairs_beyond_linear_weights():
-    """Insult and group alone are clean, together toxic: only the interaction can tell."""
-    rng = np.random.default_rng(1)
+def insult_and_group(rng, n):
+    """Insult or group alone are clean, together toxic; some clean texts hold neither, 20 other terms stand around."""
     rows, y = [], []
-    for _ in range(2000):
+    for _ in range(n):
         a, b = rng.integers(0, 2, 2)
-        rows.append([*([5] * a), *([9] * b), 100 + int(rng.integers(0, 5))])
-        y.append(float(a and b))
-    machine = toxicity.FactorizationMachine.fit(np.array([5, 9]), rows, np.array(y))
-    a, b = machine.place[5], machine.place[9]
-    assert machine.factors[a] @ machine.factors[b] > 0.5
+        rows.append(np.array(sorted({toxicity.ALWAYS, *([5] if a else [6]), *([9] if b else [10]), *map(int, rng.integers(100, 400, 20))})))
+        y.append(float((a and b) or (not a and not b and rng.random() < 0.3)))
+    return rows, np.array(y)
+
+
+def test_factors_tell_what_weights_miss():
+    rng = np.random.default_rng(1)
+    machine = toxicity.FactorizationMachine.fit(*insult_and_group(rng, 3000))
+    rows, y = insult_and_group(rng, 1000)
+    full = auc(machine.score(rows), y)
+    machine.factors = machine.factors * 0
+    assert full > auc(machine.score(rows), y) + 0.03
+
+
+def test_factors_count_on_held_out_documents(spark):
+    """Without its factors the fitted machine orders held-out documents worse."""
+    docs, labels = spark.read.parquet(f"{BIG}/documents.parquet"), spark.read.parquet(f"{BIG}/labels.parquet")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    machine = toxicity.fit(docs, labels.where(fold != 1))
+    rows = docs.join(labels, "doc_id").where(fold == 1).select("text", "toxic").collect()
+    terms, y = [toxicity.hashed_terms(r["text"] or "") for r in rows], [r["toxic"] for r in rows]
+    full = machine.score(terms)
+    machine.factors = machine.factors * 0
+    assert auc(full, y) > 0.9 and np.abs(full - machine.score(terms)).max() > 0.05
 
 
 def test_toxicity_edge_cases(spark):
@@ -56,6 +74,31 @@ def test_quality_on_rows_left_out(spark):
     assert np.mean(good) > 0.95
 
 
+def test_both_views_teach(spark):
+    docs, labels = spark.read.parquet(f"{BIG}/documents.parquet"), spark.read.parquet(f"{BIG}/labels.parquet")
+    model = quality.fit(docs, labels)
+    assert len(model.taught) == quality.ROUNDS and all(to_text >= 20 and to_meta >= 20 for to_text, to_meta in model.taught)
+    assert len(np.concatenate(model.targets[0])) > len(model.targets[0][0]) and len(np.concatenate(model.targets[1])) > len(model.targets[1][0])
+
+
+def test_a_view_teaches_what_the_other_cannot_tell(spark):
+    """Sources tell the label; the few labelled texts do not show it, those that the metadata view labels do."""
+    rng = np.random.default_rng(3)
+    rows, marks = [], []
+    for k in range(1200):
+        good = int(rng.integers(0, 2))
+        plain = " ".join(["word", "other", "thing"][i] for i in rng.integers(0, 3, 30))
+        text = plain + ("" if k < 60 else " ~" * 20 if good else " ^" * 20)
+        rows.append((k, text, "good" if good else "bad", "en", 100))
+        if k < 60:
+            marks.append((k, good))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
+    labels = spark.createDataFrame(marks, "doc_id long, quality int")
+    truth = np.array([r[2] == "good" for r in rows[60:]], float)
+    score = lambda m: m.models[0].logit(np.array([quality.text_view(r[1]) for r in rows[60:]]))
+    assert auc(score(quality.fit(docs, labels)), truth) > auc(score(quality.fit(docs, labels, rounds=0)), truth) + 0.1
+
+
 def test_quality_edge_cases(spark):
     docs = spark.createDataFrame([(1, None, None, None, None, 7), (2, "", "s", "en", 0, 7), (2, "", "s", "en", 0, 7), (None, "a | b " * 40_000, "s", "en", 5, 7)], "doc_id long, text string, source string, lang string, n_chars long, p_text int")
     none = spark.createDataFrame([], "doc_id long, quality int")
