@@ -7,174 +7,200 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize, texts
+from .common import free_name, map_batches, materialize, texts
 
-#: Unused positions after each document, so that no phrase or near match runs into the next one.
+#: Unused positions before each document, so that no phrase or near match runs from one into another.
 GAP = 64
-#: Words of benchmark items in one broadcast block of queries.
-BLOCK_WORDS = 500_000
+#: Bytes of text of a shard, and windows that one task searches a shard for, about.
+SHARD_BYTES, CHUNK = 8 << 20, 100_000
 
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
-INDEX_SCHEMA = "shard string, doc_ids binary, nulls binary, doc_starts binary, n_words binary, terms binary, term_starts binary, positions binary"
-
-
 def words_of(text: str) -> list[bytes]:
     """Runs of digits, letters and non-ASCII characters after lower-casing A-Z, as UTF-8."""
     return text.encode("utf-8", "replace").translate(_TABLE).split()
 
 
-def windows_of(items: list[tuple], size: int) -> tuple[list[tuple[bytes, ...]], list[list[int]]]:
-    """The distinct windows of the items, and for each the numbers of the items that hold it."""
-    found: dict[tuple[bytes, ...], list[int]] = {}
-    for k, (_, text) in enumerate(items):
-        own = words_of(text or "")
-        for w in {tuple(own[i:i + size]) for i in range(max(1, len(own) - size + 1))} - {()}:
-            found.setdefault(w, []).append(k)
-    return list(found), list(found.values())
-
+def term_hash(term: bytes) -> int:
+    return xxhash.xxh64_intdigest(term) - (1 << 63)
 
-def query_blocks(benchmark: DataFrame, item_id: str, text: str) -> list[list[tuple]]:
-    """The items in blocks of bounded size; read block by block, so the driver holds no more than one more."""
-    blocks, own, n = [], [], 0
-    for row in benchmark.select(F.col(item_id).cast("string"), text).distinct().toLocalIterator():
-        own.append((row[0], row[1]))
-        if (n := n + len(words_of(row[1] or ""))) >= BLOCK_WORDS:
-            blocks.append(own)
-            own, n = [], 0
-    return blocks + [own] * bool(own)
 
+def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The positional index of ``docs``: a row per shard with the postings of all its terms.
 
-def build_index(docs: DataFrame, vocabulary, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Postings by shard: for each term of ``vocabulary`` (a broadcast dict of term to number) the sorted positions.
-
-    A shard is a bounded run of rows of one partition; all of its rows are in the index, with the number of all
-    their words, whether in the vocabulary or not. Postings of terms that no query holds are never read, so they
-    are not stored.
+    A shard is a bounded run of rows of one partition. It holds the ids and word counts of its rows, its terms in
+    order with the sorted positions of each, and for routing the hash and count of each term. The index knows nothing
+    of any benchmark: written once, it serves all.
     """
 
     def run(batches):
-        known = vocabulary.value.get
-        for piece, rows in texts(batches):
-            ids = piece.column("doc_id")
+        for piece, rows in texts(batches, most=SHARD_BYTES):
             each = [words_of(t) for t in rows]
             n = np.fromiter(map(len, each), np.int64, len(each))
-            begin = np.concatenate(([0], np.cumsum(n + GAP)[:-1]))
-            terms = np.fromiter((known(w, -1) for x in each for w in x), np.int32, int(n.sum()))
-            at = np.arange(len(terms), dtype=np.int64) + np.repeat(np.arange(len(n), dtype=np.int64) * GAP, n)
-            held = terms >= 0
-            terms, at = terms[held], at[held]
+            begin = GAP + np.concatenate(([0], np.cumsum(n + GAP)[:-1]))
+            number: dict[bytes, int] = {}
+            terms = np.fromiter((number.setdefault(w, len(number)) for x in each for w in x), np.int32, int(n.sum()))
+            at = np.repeat(begin - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(len(terms))
             order = np.argsort(terms, kind="stable")
-            terms, at = terms[order], at[order]
-            unique, first = np.unique(terms, return_index=True)
+            counts = np.bincount(terms, minlength=len(number))
             yield pa.RecordBatch.from_pydict({
-                "shard": [uuid.uuid4().hex], "doc_ids": [np.array(ids.fill_null(0).to_numpy(zero_copy_only=False), "<i8").tobytes()],
-                "nulls": [np.array(ids.is_null().to_numpy(zero_copy_only=False), bool).tobytes()],
-                "doc_starts": [begin.astype("<u4").tobytes()], "n_words": [n.astype("<u4").tobytes()], "terms": [unique.astype("<i4").tobytes()],
-                "term_starts": [first.astype("<u4").tobytes()], "positions": [at.astype("<u4").tobytes()]})
+                "shard": [uuid.uuid4().hex], "ids": pa.array([piece.column("doc_id").to_pylist()], pa.list_(piece.column("doc_id").type)), "n_words": [n.tolist()], "starts": [begin.astype("<u4").tobytes()],
+                "terms": [b" ".join(number)], "hashes": [[term_hash(w) for w in number]], "counts": pa.array([counts.tolist()], pa.list_(pa.int32())), "positions": [at[order].astype("<u4").tobytes()]})
 
-    return map_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), run, INDEX_SCHEMA)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return map_batches(rows, run, f"shard string, ids array<{kind}>, n_words array<long>, starts binary, terms binary, hashes array<long>, counts array<int>, positions binary")
 
 
 class Shard:
     """One row of the index, ready to be searched."""
 
-    def __init__(self, row: dict):
-        get = lambda k, kind: np.frombuffer(row[k], kind).astype(np.int64)
-        self.doc_ids, self.nulls = np.frombuffer(row["doc_ids"], "<i8"), np.frombuffer(row["nulls"], bool)
-        self.doc_starts, self.n_words = get("doc_starts", "<u4"), get("n_words", "<u4")
-        self.terms, self.term_starts, self.positions = get("terms", "<i4"), get("term_starts", "<u4"), get("positions", "<u4")
-        self.span = int((self.doc_starts + self.n_words)[-1]) + 2 * GAP
-        counts = np.diff(np.append(self.term_starts, len(self.positions)))
-        self.keys = np.repeat(np.arange(len(self.terms)), counts) * self.span + self.positions
-        self.counts = counts
-
-    def search(self, windows: np.ndarray, lengths: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
+    def __init__(self, starts: bytes, n_words: list, terms: bytes, counts: list, positions: bytes):
+        self.starts, self.n_words = np.frombuffer(starts, "<u4").astype(np.int64), np.array(n_words, np.int64)
+        self.number = {t: k for k, t in enumerate(terms.split(b" "))} if terms else {}
+        self.counts, self.positions = np.array(counts, np.int64), np.frombuffer(positions, "<u4").astype(np.int64)
+        self.first = np.cumsum(self.counts) - self.counts
+        self.span = int((self.starts + self.n_words).max(initial=0)) + 2 * GAP
+        self.keys = np.repeat(np.arange(len(self.counts)), self.counts) * self.span + self.positions
+
+    def table(self, windows: list[list[bytes]], size: int) -> np.ndarray:
+        """Term numbers, a row for each window, -1 beyond its length and -2 for terms that are not here."""
+        out = np.full((len(windows), size), -1, np.int64)
+        for k, w in enumerate(windows):
+            out[k, :len(w)] = [self.number.get(t, -2) for t in w]
+        return out
+
+    def search(self, table: np.ndarray, lengths: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
         """(window, start) of all places where each term stands within ``slop`` words of its place in the window.
 
-        windows: term numbers, one row for each window, -1 beyond its length. Lists are intersected from the
-        rarest term on, with all windows at once.
+        Lists are intersected from the rarest term on, with all windows at once.
         """
-        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if not len(self.terms):
-            return none
-        at = np.minimum(np.searchsorted(self.terms, windows), len(self.terms) - 1)
-        here = (self.terms[at] == windows) & (windows >= 0)
-        count = np.where(here, self.counts[at], np.where(windows >= 0, 0, np.iinfo(np.int64).max))
-        order = np.argsort(count, axis=1, kind="stable")
-        live = np.flatnonzero(count.min(axis=1) > 0)
+        live = np.flatnonzero((table != -2).all(axis=1)) if len(self.counts) else []
         if not len(live):
-            return none
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        count = np.where(table >= 0, self.counts[np.maximum(table, 0)], np.iinfo(np.int64).max)
+        order = np.argsort(count, axis=1, kind="stable")
         rare = order[live, 0]
         n = count[live, rare]
         which = np.repeat(live, n)
         offset = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        start = self.positions[np.repeat(self.term_starts[at[live, rare]], n) + offset] - np.repeat(rare, n)
+        start = self.positions[np.repeat(self.first[table[live, rare]], n) + offset] - np.repeat(rare, n)
         if slop:  # the rarest term may itself stand off its place
             shifts = np.arange(-slop, slop + 1)
             which, start = np.repeat(which, len(shifts)), (start[:, None] + shifts).ravel()
-        ok = start >= 0
-        which, start = which[ok], start[ok]
-        for k in range(1, windows.shape[1]):
+        for k in range(1, table.shape[1]):
             place = order[which, k]
             more = place < lengths[which]
-            base = at[which, place] * self.span + start + place
+            base = np.maximum(table[which, place], 0) * self.span + start + place
             low = np.searchsorted(self.keys, base - slop, "left")
-            high = np.searchsorted(self.keys, base + slop, "right") if slop else np.minimum(low, len(self.keys) - 1)
-            hit = high > low if slop else (low < len(self.keys)) & (self.keys[high] == base)
-            ok = hit | ~more
+            high = np.searchsorted(self.keys, base + slop, "right")
+            ok = (high > low) | ~more
             which, start = which[ok], start[ok]
         return which, start
 
 
-def search_index(index: DataFrame, blocks: list, size: int, slop: int) -> DataFrame:
-    """Per indexed row: n_words, words inside exact matches, items with exact matches and with near matches.
+def benchmark_windows(benchmark: DataFrame, size: int, item_id: str, text: str) -> DataFrame:
+    """(window, terms, items, number): the distinct windows of all items with the hashes of their terms."""
+
+    def run(batches):
+        for piece, rows in texts(batches):
+            out: dict[tuple, None] = {}
+            for key, t in zip(piece.column("item").to_pylist(), rows, strict=True):
+                own = words_of(t)
+                out |= {(b" ".join(own[i:i + size]), key): None for i in range(max(1, len(own) - size + 1)) if own}
+            hashes = [sorted({term_hash(t) for t in w.split(b" ")}) for w, _ in out]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in out], pa.binary()), pa.array(hashes, pa.list_(pa.int64())), pa.array([k for _, k in out], pa.string())], ["window", "terms", "item"])
 
-    blocks: broadcast (vocabulary, items) pairs; a task holds one block at a time.
+    rows = map_batches(benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("text")), run, "window binary, terms array<long>, item string")
+    items = F.array_distinct(F.collect_list(F.struct("item")))
+    return rows.groupBy("window").agg(F.any_value("terms").alias("terms"), items.alias("items")).withColumn("number", F.monotonically_increasing_id())
+
+
+def routed(index: DataFrame, windows: DataFrame) -> DataFrame:
+    """(shard, number): each window goes to the shards that hold its rarest term, if all its terms are indexed."""
+    asked = windows.select("number", F.explode("terms").alias("h"))
+    postings = index.select("shard", F.explode(F.arrays_zip("hashes", "counts")).alias("p")).select("shard", F.col("p.hashes").alias("h"), F.col("p.counts").alias("n"))
+    postings = materialize(postings.join(asked.select("h").distinct(), "h", "left_semi"), "positions-asked")
+    often = postings.groupBy("h").agg(F.sum("n").alias("often"))
+    rarest = asked.join(often, "h", "left").groupBy("number").agg(F.min(F.struct("often", "h"))["h"].alias("h"), F.bool_and(F.col("often").isNotNull()).alias("all_there")).where("all_there")
+    return rarest.select("number", "h").join(postings.select("h", "shard"), "h").select("shard", "number")
+
+
+def search_index(index: DataFrame, windows: DataFrame, size: int, slop: int) -> DataFrame:
+    """(shard, place, spans, items, near) of the documents with matches: merged spans of words and lists of items.
+
+    ``place`` is the number of the document in its shard, items and near hold structs of the item ids with exact and
+    with near matches. A task searches one shard for at most about CHUNK windows.
     """
+    pairs = materialize(routed(index, windows), "positions-routed")
+    parts = pairs.groupBy("shard").agg(F.ceil(F.count("*") / CHUNK).alias("parts"))
+    dealt = pairs.join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("number"), F.col("parts")))
+    lists = dealt.join(windows.select("number", "window", "items"), "number").groupBy("shard", "part").agg(F.collect_list(F.struct("window", "items")).alias("asked"))
+    lists = materialize(lists, "positions-lists")
 
     def run(batches):
-        prepared = {}
         for batch in batches:
-            for row in batch.to_pylist():
-                shard = Shard(row)
-                n = len(shard.doc_ids)
-                hit = np.zeros(shard.span + 1, np.int32)
-                exact, near = [set() for _ in range(n)], [set() for _ in range(n)]
-                for b, block in enumerate(blocks):
-                    if b not in prepared:
-                        if len(prepared) >= 8:
-                            prepared.pop(next(iter(prepared)))
-                        vocabulary, items = block.value
-                        windows, owners = windows_of(items, size)
-                        lengths = np.array([len(w) for w in windows], np.int64)
-                        table = np.full((len(windows), size), -1, np.int64)
-                        for k, w in enumerate(windows):
-                            table[k, :len(w)] = [vocabulary[t] for t in w]
-                        prepared[b] = table, lengths, owners, [i for i, _ in items]
-                    table, lengths, owners, names = prepared[b]
-                    if not len(table):
-                        continue
-                    which, start = shard.search(table, lengths, 0)
-                    np.add.at(hit, start, 1)
-                    np.add.at(hit, start + lengths[which], -1)
-                    for doc, w in set(zip((np.searchsorted(shard.doc_starts, start, "right") - 1).tolist(), which.tolist(), strict=True)):
-                        exact[doc].update(names[i] for i in owners[w])
-                    if slop:
-                        which, start = shard.search(table, lengths, slop)
-                        for doc, w in set(zip((np.searchsorted(shard.doc_starts, start + slop, "right") - 1).tolist(), which.tolist(), strict=True)):
-                            near[doc].update(names[i] for i in owners[w])
-                covered = np.concatenate(([0], np.cumsum(np.cumsum(hit) > 0)))
-                ends = np.minimum(shard.doc_starts + shard.n_words, shard.span)
+            for row in range(batch.num_rows):
+                get = lambda c: batch.column(c)[row].as_py()  # noqa: E731, B023
+                shard, asked = Shard(get("starts"), get("n_words"), get("terms"), get("counts"), get("positions")), get("asked")
+                words = [x["window"].split(b" ") for x in asked]
+                table, lengths = shard.table(words, size), np.array([len(w) for w in words], np.int64)
+                exact, near = {}, {}
+                which, start = shard.search(table, lengths, 0)
+                place = np.searchsorted(shard.starts, start, "right") - 1
+                for doc, w, a in zip(place.tolist(), which.tolist(), start.tolist(), strict=True):
+                    spans, items = exact.setdefault(doc, ([], set()))
+                    spans.append((a - int(shard.starts[doc]), a - int(shard.starts[doc]) + len(words[w])))
+                    items.update(x["item"] for x in asked[w]["items"])
+                if slop:
+                    which, start = shard.search(table, lengths, slop)
+                    for doc, w in set(zip((np.searchsorted(shard.starts, start + slop, "right") - 1).tolist(), which.tolist(), strict=True)):
+                        near.setdefault(doc, set()).update(x["item"] for x in asked[w]["items"])
+                own = sorted(exact.keys() | near.keys())
+                listed = lambda ids: [{"item": i} for i in sorted(ids, key=str)]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(shard.doc_ids, mask=shard.nulls), pa.array(shard.n_words), pa.array(covered[ends] - covered[shard.doc_starts]),
-                    pa.array([sorted(i for i in x if i is not None) for x in exact], pa.list_(pa.string())), pa.array([len(x) for x in exact], pa.int64()), pa.array([len(x) for x in near], pa.int64())],
-                    ["doc_id", "n_words", "n_hit", "items", "n_items", "n_near_items"])
-
-    return index.mapInArrow(run, "doc_id long, n_words long, n_hit long, items array<string>, n_items long, n_near_items long")
+                    pa.array([get("shard")] * len(own), pa.string()), pa.array(own, pa.int32()),
+                    pa.array([[{"a": a, "b": b} for a, b in union_of(exact[d][0])] if d in exact else [] for d in own], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))),
+                    *[pa.array([listed(x) for x in found], pa.list_(pa.struct([("item", pa.string())]))) for found in ([exact[d][1] if d in exact else () for d in own], [near.get(d, ()) for d in own])]],
+                    ["shard", "place", "spans", "items", "near"])
+
+    wanted = index.select("shard", "starts", "n_words", "terms", "counts", "positions").join(lists, "shard")
+    kind = "array<struct<item:string>>"
+    found = map_batches(wanted, run, f"shard string, place int, spans array<struct<a:bigint,b:bigint>>, items {kind}, near {kind}")
+    return found.groupBy("shard", "place").agg(*[F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("spans", "items", "near")])
+
+
+def union_of(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Half-open spans merged where they touch or overlap."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
+def covered(spans):
+    """Words inside an array of half-open spans (a, b), each counted once."""
+    start = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
+    step = lambda x, s: F.struct(F.greatest(x["end"], s["b"]).alias("end"), (x["n"] + F.greatest(F.lit(0), s["b"] - F.greatest(x["end"], s["a"]))).alias("n"))
+    return F.aggregate(F.array_sort(spans), start, step, lambda x: x["n"])
+
+
+def match_index(index: DataFrame, benchmark: DataFrame, size: int = 10, slop: int = 2, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(doc_id, n_words, n_hit, items, n_items, n_near_items, contaminated) per indexed row; see ``contamination``."""
+    windows = materialize(benchmark_windows(benchmark, size, item_id, item_text), "positions-windows")
+    found = materialize(search_index(index, windows, size, slop), "positions-found")
+    rows = index.select("shard", F.posexplode(F.arrays_zip("ids", "n_words")).alias("place", "d")).select("shard", "place", F.col("d.ids").alias("doc_id"), F.col("d.n_words").alias("n_words"))
+    count = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
+    items = F.coalesce(F.array_sort(F.filter(F.transform("items", lambda x: x["item"]), lambda x: x.isNotNull())), F.array().cast("array<string>"))
+    n_hit = F.coalesce(covered(F.col("spans")), F.lit(0).cast("long"))
+    return rows.join(found, ["shard", "place"], "left").select("doc_id", "n_words", n_hit.alias("n_hit"), items.alias("items"), count("items").alias("n_items"), count("near").alias("n_near_items"), (n_hit > 0).alias("contaminated"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, slop: int = 2, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -182,28 +208,29 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, slop: i
 
     A window is ``size`` consecutive words of an item (an item of fewer words, but not none, is one window). A word
     of a document is hit if it lies inside any occurrence of a window; items are those with occurring windows, and
-    n_near_items counts items with a window whose terms all stand within ``slop`` words of their places.
+    n_near_items counts items with a window whose terms all stand within ``slop`` words (at most 16) of their places.
+
+    Both tables stay distributed: windows are joined to the shards of the index that hold their rarest term.
 
     Defined cases: null and empty texts have no words and no hits; an item without words matches nothing; repeated
     rows of documents come out once each, repeated items count once; a null item_id counts in n_items but is not
     listed; a null doc_id keeps its row; other columns are ignored; an empty benchmark leaves every row clean.
     """
-    context = docs.sparkSession.sparkContext
-    blocks, vocabulary = [], {}
-    for items in query_blocks(benchmark, item_id, item_text):
-        for _, t in items:
-            for w in words_of(t or ""):
-                vocabulary.setdefault(w, len(vocabulary))
-        own = {w: vocabulary[w] for _, t in items for w in words_of(t or "")}
-        blocks.append(context.broadcast((own, items)))
-    index = materialize(build_index(docs, context.broadcast(vocabulary), doc_id, text), "positions")
-    return search_index(index, blocks, size, slop).withColumn("contaminated", F.col("n_hit") > 0)
+    if not 0 <= slop <= 16:
+        raise ValueError("slop must lie between 0 and 16")
+    return match_index(materialize(build_index(docs, doc_id, text), "positions"), benchmark, size, slop, item_id, item_text)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """The rows of ``docs`` without any word inside an occurrence of a benchmark window; all columns stay."""
-    bad = contamination(docs, benchmark, size, slop=0).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` (text, ...) without any word inside an occurrence of a benchmark window; all columns stay.
+
+    Defined cases: a row goes or stays by its own text, whatever its id, null or repeated; null and empty texts stay;
+    repeated rows stay or go together; an empty table stays empty.
+    """
+    key = free_name(docs, "text_key")
+    marked = docs.withColumn(key, F.md5("text"))
+    bad = contamination(marked, benchmark, size, slop=0, doc_id=key).where("contaminated").select(F.col("doc_id").alias(key)).distinct()
+    return marked.join(bad, key, "left_anti").select(*docs.columns)
 
 
 def items_sha256(items: list[str]) -> str:

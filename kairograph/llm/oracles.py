@@ -13,10 +13,17 @@ grams AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS g
           FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)),
 hits AS (SELECT doc_id, i, n, item_id FROM grams JOIN win USING (n, g)),
 covered AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY 1),
+freq AS (SELECT t, count(*) AS often FROM (SELECT unnest(w) AS t FROM d) GROUP BY 1),
+parts AS (SELECT *, string_split(g, ' ') AS ts FROM (SELECT DISTINCT n, g FROM win)),
+rare AS (SELECT n, g, ts, arg_min(k, (often, k)) AS k, arg_min(t, (often, k)) AS t FROM (SELECT n, g, ts, unnest(ts) AS t, unnest(range(0, n)) AS k FROM parts) JOIN freq USING (t) GROUP BY n, g, ts HAVING count(*) = n),
+places AS (SELECT doc_id, w, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS p FROM d),
+close AS (SELECT DISTINCT doc_id, n, g FROM (SELECT doc_id, w, n, g, ts, p - k + unnest(range(-2, 3)) AS s FROM places JOIN rare USING (t))
+          WHERE len(list_filter(range(0, n), lambda k: list_contains(w[greatest(1, s + k - 2):greatest(0, s + k + 2)], ts[k + 1]))) = n),
+near AS (SELECT doc_id, count(DISTINCT item_id) AS n_near_items FROM close JOIN win USING (n, g) GROUP BY 1),
 items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM hits) GROUP BY 1)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)"""
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near_items, 0)::BIGINT AS n_near_items
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN near USING (doc_id)"""
 
 OP4 = """
 WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from kairograph.llm import decontaminate, queries
@@ -49,4 +50,42 @@ def test_edge_cases(spark):
     assert not got[6, 5]["contaminated"] and not got[1, 0]["contaminated"]
     assert decontaminate.contamination(docs, bench.limit(0)).where("contaminated").count() == 0
     assert decontaminate.contamination(docs.limit(0), bench).count() == 0
-    assert decontaminate.drop_contaminated(docs, bench).columns == docs.columns
+    kept = decontaminate.drop_contaminated(docs.withColumnRenamed("item_id", "text_key"), bench)
+    assert kept.columns == ["doc_id", "text", "text_key"]
+    #: by their own texts: the contaminated row without id goes, the clean row that shares no text stays
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 5, 6, 7]
+    both = spark.createDataFrame([(1, item, 0), (1, "clean words", 0), (None, item, 0), (None, None, 0), (2, "clean words", 0)], docs.schema)
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in decontaminate.drop_contaminated(both, bench).collect()) == [(0, ""), (1, "clean words"), (2, "clean words")]
+
+
+def test_near_matches_equal_brute_force(spark):
+    rng = random.Random(2)
+    docs = [(k, " ".join(rng.choices("abcdefgh", k=rng.randint(1, 40)))) for k in range(60)]
+    items = [(k, " ".join(rng.choices("abcdefgh", k=rng.randint(2, 6)))) for k in range(8)]
+    want = {}
+    for key, text in docs:
+        own, n = text.split(), 0
+        for _, item in items:
+            w = item.split()
+            parts = [w[i:i + 4] for i in range(max(1, len(w) - 3))]
+            n += any(all(any(own[p] == t for p in range(max(0, s + k - 1), min(len(own), s + k + 2))) for k, t in enumerate(x)) for x in parts for s in range(-1, len(own) + 1))
+        want[key] = n
+    index = decontaminate.build_index(spark.createDataFrame(docs, "doc_id long, text string"))
+    found = decontaminate.match_index(decontaminate.materialize(index, "test"), spark.createDataFrame(items, "item_id long, text string"), size=4, slop=1)
+    assert {r["doc_id"]: r["n_near_items"] for r in found.collect()} == want and any(want.values())
+
+
+def test_one_index_serves_all_benchmarks(spark, monkeypatch):
+    """Small chunks and shards give the same result; the index holds all terms."""
+    docs = spark.createDataFrame([(k, f"x{k} a b c d e f{k % 2} z") for k in range(50)], "doc_id long, text string")
+    index = decontaminate.materialize(decontaminate.build_index(docs), "test")
+    assert sum(sum(r["counts"]) for r in index.select("counts").collect()) == 400
+    monkeypatch.setattr(decontaminate, "CHUNK", 1)
+    for words in ("a b c d e f0", "e f1 z", "b c d", "nowhere"):
+        got = {r["doc_id"]: r["n_hit"] for r in decontaminate.match_index(index, spark.createDataFrame([("i", words), ("j", "c d e")], "item_id string, text string"), size=3).collect()}
+        want = decontaminate_reference(docs, words)
+        assert got == want
+
+
+def decontaminate_reference(docs, words):
+    return {k: x[1] for k, x in reference([tuple(r) for r in docs.collect()], [("i", words), ("j", "c d e")], 3).items()}
