@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, WriterCommitMessage
 
-from .common import new_path
+from .common import materialize, new_path
 
 SCHEMA = "record_id string, warc_type string, target_uri string, warc_date string, refers_to string, payload_digest string, payload_bytes long, payload binary"
 #: Columns that predicates are pushed down for, and the header each is read from.
@@ -60,42 +60,45 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    """Writes files of bounded size per task under temporary names; the commit gives them their own."""
+    """Writes files of bounded size per task into a folder of the job; the commit moves them out, an abort drops it."""
 
     def __init__(self, options: dict):
-        self.path, self.level = options["path"], int(options.get("level", 1))
+        self.path, self.level, self.job = options["path"], int(options.get("level", 1)), uuid.uuid4().hex
         self.most = int(options.get("maxFileBytes", 128 << 20))
 
     def write(self, iterator):
         store, root = filesystem(self.path)
-        store.create_dir(root, recursive=True)
+        store.create_dir(f"{root}/_{self.job}", recursive=True)
         files, out, size = [], None, 0
         for batch in iterator:
-            for row in batch.to_pylist():
-                if out is None:
-                    files.append(f"part-{uuid.uuid4().hex}.warc.gz")
-                    out, size = store.open_output_stream(f"{root}/_{files[-1]}", compression=None), 0
-                member = gzip_member(record_bytes(row), self.level)
-                out.write(member)
-                if (size := size + len(member)) >= self.most:
-                    out.close()
-                    out = None
+            for at in range(0, batch.num_rows, 64):
+                for row in batch.slice(at, 64).to_pylist():
+                    if out is None:
+                        files.append(f"part-{uuid.uuid4().hex}.warc.gz")
+                        out, size = store.open_output_stream(f"{root}/_{self.job}/{files[-1]}", compression=None), 0
+                    member = gzip_member(record_bytes(row), self.level)
+                    out.write(member)
+                    if (size := size + len(member)) >= self.most:
+                        out.close()
+                        out = None
         if out is not None:
             out.close()
         return Written(files)
 
     def commit(self, messages):
         store, root = filesystem(self.path)
-        store.create_dir(root, recursive=True)
         for m in messages:
             for name in m.files if m else []:
-                store.move(f"{root}/_{name}", f"{root}/{name}")
+                store.move(f"{root}/_{self.job}/{name}", f"{root}/{name}")
+        self.drop(store, root)
 
     def abort(self, messages):
-        store, root = filesystem(self.path)
-        for m in messages:
-            for name in m.files if m else []:
-                store.delete_file(f"{root}/_{name}")
+        self.drop(*filesystem(self.path))
+
+    def drop(self, store, root) -> None:
+        """The folder of the job goes, with what tasks left there that died or ran twice."""
+        if store.get_file_info(f"{root}/_{self.job}").type != fs.FileType.NotFound:
+            store.delete_dir(f"{root}/_{self.job}")
 
 
 class Files(InputPartition):
@@ -130,7 +133,7 @@ class WarcReader(DataSourceReader):
     def partitions(self):
         store, root = filesystem(self.path)
         found = store.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True))
-        found = sorted((f for f in found if f.is_file and not f.base_name.startswith(("_", ".")) and f.base_name.endswith((".warc", ".warc.gz"))), key=lambda f: f.path)
+        found = sorted((f for f in found if f.is_file and not f.base_name.startswith(("_", ".")) and "/_" not in f.path[len(root):] and f.base_name.endswith((".warc", ".warc.gz"))), key=lambda f: f.path)
         groups, own, size = [], [], 0
         for f in found:
             if own and size + f.size > self.split:
@@ -149,7 +152,7 @@ class WarcReader(DataSourceReader):
             with store.open_input_file(path) as f:
                 for row in records(f, self.wanted, self.payloads, self.verify):
                     rows.append(row)
-                    if (size := size + len(row["payload"] or b"") + 300) >= 8 << 20 or len(rows) >= 10_000:
+                    if (size := size + len(row["payload"] or b"") + 300) >= 8 << 20 or len(rows) >= 1000:
                         yield pa.RecordBatch.from_pylist(rows, schema)
                         rows, size = [], 0
         if rows:
@@ -166,7 +169,7 @@ class Member:
         self.zipped = head[:2] == b"\x1f\x8b"
         self.end = at + struct.unpack("<I", head[16:20])[0] if head[:4] == b"\x1f\x8b\x08\x04" and head[12:14] == b"sl" else None
         f.seek(at)
-        self.raw, self.press = b"", zlib.decompressobj(31) if self.zipped else None
+        self.raw, self.press = bytearray(), zlib.decompressobj(31) if self.zipped else None
 
     def more(self, least: int) -> bool:
         """Read until ``least`` plain bytes are there; False at the end."""
@@ -174,22 +177,26 @@ class Member:
             data = (self.press.unconsumed_tail if self.zipped else b"") or self.f.read(65_536)
             if not data or self.zipped and self.press.eof:
                 return False
-            if self.zipped:
-                self.raw += self.press.decompress(data, max(4096, least - len(self.raw)))
-            else:
-                self.raw += data
+            self.raw += self.press.decompress(data, max(4096, least - len(self.raw))) if self.zipped else data
         return True
 
+    def find(self, mark: bytes, begin: int, end: int | None = None) -> int:
+        """The place of ``mark`` from ``begin`` on, reading on as needed; -1 if it does not come before ``end``."""
+        while (at := self.raw.find(mark, begin, end)) < 0:
+            begin = max(begin, len(self.raw) - len(mark) + 1)
+            if end is not None and len(self.raw) >= end or not self.more(len(self.raw) + 1):
+                return -1
+        return at
+
 
 def records(f, wanted: dict[str, set], payloads: bool, verify: bool):
     """Rows of one archive; records whose headers miss a predicate are skipped without decoding their payload."""
     at, total = 0, f.size()
     while at < total:
         m = Member(f, at)
-        while b"\r\n\r\n" not in m.raw and m.more(len(m.raw) + 1):
-            pass
-        head, mark, _ = m.raw.partition(b"\r\n\r\n")
-        if not mark or not head.startswith(b"WARC/"):
+        cut = m.find(b"\r\n\r\n", 0)
+        head = bytes(m.raw[:max(cut, 0)])
+        if not head.startswith(b"WARC/"):
             raise ValueError(f"no WARC record at byte {at}")
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])}
         length, begin = int(headers["content-length"]), len(head) + 4
@@ -202,14 +209,12 @@ def records(f, wanted: dict[str, set], payloads: bool, verify: bool):
             full = row["warc_type"] != "revisit"
             if full and (payloads or verify):
                 m.more(begin + length)
-            else:
-                while b"\r\n\r\n" not in m.raw[begin:] and m.more(len(m.raw) + 1):
-                    pass
             http = row["warc_type"] in ("response", "revisit") and "application/http" in headers.get("content-type", "")
-            inner, _, _ = m.raw[begin:begin + length].partition(b"\r\n\r\n") if http else (b"", b"", b"")
-            skip = len(inner) + 4 if http else 0
+            cut = m.find(b"\r\n\r\n", begin, begin + length) if http else -1
+            inner = bytes(m.raw[begin:cut]) if cut >= 0 else b""
+            skip = cut + 4 - begin if cut >= 0 else 0
             size = next((int(x[15:]) for x in inner.split(b"\r\n") if x.lower().startswith(b"content-length:")), length - skip)
-            body = m.raw[begin + skip:begin + length] if full and (payloads or verify) else None
+            body = bytes(memoryview(m.raw)[begin + skip:begin + length]) if full and (payloads or verify) else None
             if body is not None:
                 size = len(body)
                 if verify and row["payload_digest"] and bare_digest(body) != row["payload_digest"]:
@@ -253,23 +258,28 @@ def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
-def warc_records(pages: DataFrame, least: int = 0, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Rows to write: of equal payloads of at least ``least`` bytes the largest page_id responds, others revisit it."""
+def base32_of(digest):
+    """Base-32 form of a column of 40 hexadecimal digits: 5 digits give 4 letters."""
+    parts = [F.conv(F.substring(digest, 5 * k + 1, 5), 16, 10).cast("int") for k in range(8)]
+    letters = F.split(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), "")
+    return F.concat(*[F.get(letters, F.shiftright(p, 15 - 5 * k).bitwiseAND(F.lit(31))) for p in parts for k in range(4)])
 
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                own = [p or b"" for p in batch.column("payload").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([bare_digest(p) for p in own]), pa.array([len(p) for p in own], pa.int64())], [*batch.schema.names, "payload_digest", "payload_bytes"])
 
+def warc_records(pages: DataFrame, least: int = 0, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """Rows to write: of equal payloads of at least ``least`` bytes the largest page_id responds, others revisit it.
+
+    Digests that repeat are found over digests and ids alone and written down; payloads are then joined to them, which
+    moves no payload as long as Spark finds that table small enough to broadcast.
+    """
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("target_uri"), F.coalesce(F.col(html).cast("binary"), F.lit(b"")).alias("payload"))
-    rows = rows.mapInArrow(run, "page_id long, target_uri string, payload binary, payload_digest string, payload_bytes long")
-    top = rows.groupBy("payload_digest").agg(F.max("page_id").alias("top"))
-    again = (F.col("payload_bytes") >= least) & ~F.col("page_id").eqNullSafe(F.col("top")) & F.col("top").isNotNull()
+    rows = rows.withColumn("digest", F.sha1("payload"))
+    repeated = rows.groupBy("digest").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1 AND top IS NOT NULL").select("digest", "top")
+    repeated = materialize(repeated, "warc-repeated")
+    again = (F.octet_length("payload") >= least) & F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top"))
     name = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("none")))
-    return rows.join(top, "payload_digest").select(
+    return rows.join(repeated, "digest", "left").select(
         name("page_id").alias("record_id"), F.when(again, "revisit").otherwise("response").alias("warc_type"), "target_uri", F.lit(DATE).alias("warc_date"),
-        F.when(again, name("top")).alias("refers_to"), "payload_digest", "payload_bytes", F.when(~again, F.col("payload")).alias("payload"))
+        F.when(again, name("top")).alias("refers_to"), base32_of(F.col("digest")).alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.when(~again, F.col("payload")).alias("payload"))
 
 
 def archive(pages: DataFrame, path: str | None = None, least: int = 0) -> DataFrame:
