@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, materialize
 
-#: Vectors of a block (one row of the block table) and of a tile (one product), about.
-BLOCK, TILE = 4096, 1024
+#: Bytes of a block of vectors (one row of the block table) in double precision, about, and vectors of a tile.
+BLOCK_BYTES, TILE = 16 << 20, 1024
 #: Slack for rounding in the double-precision norms and products.
 SLACK = 1e-9
 
@@ -30,13 +30,16 @@ class Quantised:
         self.scale = np.abs(unit).max(axis=1) / 127
         codes = np.rint(unit / self.scale[:, None]).astype(np.int8)
         self.error = np.sqrt(((unit - codes * self.scale[:, None]) ** 2).sum(axis=1))
-        #: float32 holds sums of int8 products exactly below 2^24, which is over 1000 dimensions
-        self.codes = codes.astype(np.float32 if unit.shape[1] <= 1000 else np.float64)
+        self.codes = codes
+
+    def tile(self, rows: slice) -> np.ndarray:
+        """Codes of some rows, ready for a product: float32 holds sums of int8 products exactly up to 1000 dimensions."""
+        return self.codes[rows].astype(np.float32 if self.codes.shape[1] <= 1000 else np.float64)
 
 
 def links_of(a: Quantised, b: Quantised, rows: slice, cols: slice, least: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of one tile with cosine >= ``least``: int8 product first, full precision where its bound allows a link."""
-    near = (a.codes[rows] @ b.codes[cols].T) * (a.scale[rows, None] * b.scale[None, cols])
+    near = (a.tile(rows) @ b.tile(cols).T) * (a.scale[rows, None] * b.scale[None, cols])
     bound = a.error[rows, None] * (1 + b.error[None, cols]) + b.error[None, cols] + SLACK
     i, j = np.nonzero(near + bound >= least)
     i, j = i + rows.start, j + cols.start
@@ -98,27 +101,35 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, vec_id: str = "vec_id"
     rows = rows.select("vec_id", "label", F.when(whole & F.col("label").isNotNull(), e).alias("embedding")).withColumn("row", F.monotonically_increasing_id())
     rows = materialize(rows, "vectors")
     valid = rows.where("embedding IS NOT NULL").withColumn("size", F.size("embedding"))
-    counts = valid.groupBy("label", "size").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    room = F.greatest(F.lit(TILE), F.floor(BLOCK_BYTES / (8 * F.col("size"))))
+    counts = valid.groupBy("label", "size").agg(F.ceil(F.count("*") / room).alias("blocks"))
     dealt = valid.join(counts, ["label", "size"]).withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")))
-    packed = dealt.groupBy("label", "size", "block").agg(F.collect_list(F.struct("row", "embedding")).alias("rows"))
-    blocks = materialize(packed.mapInArrow(pack, "label string, size int, block long, ids binary, data binary"), "vector-blocks")
-    other = blocks.select("label", "size", F.col("block").alias("block2"), F.col("ids").alias("ids2"), F.col("data").alias("data2"))
-    pairs = blocks.join(other, ["label", "size"]).where("block <= block2")
+    packed = dealt.groupBy("label", "size", "blocks", "block").agg(F.collect_list(F.struct("row", "embedding")).alias("rows"))
+    blocks = materialize(packed.mapInArrow(pack, "label string, size int, blocks long, block long, ids binary, data binary"), "vector-blocks")
+    #: each block goes once to each of its pairs; the two sides of a pair stand next to each other in their task
+    others = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    pairs = blocks.select("*", F.explode(others).alias("other")).select(F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "label", "size", "block", "ids", "data")
+    pair = ["label", "size", "low", "high"]
 
     def run(batches):
+        first = None
         for batch in batches:
             for k in range(batch.num_rows):
                 p = {name: batch.column(name)[k].as_py() for name in batch.schema.names}
-                same = p["block"] == p["block2"]
-                left = Quantised(unit_rows(np.frombuffer(p["data"]).reshape(-1, p["size"])))
-                right = left if same else Quantised(unit_rows(np.frombuffer(p["data2"]).reshape(-1, p["size"])))
-                ids = np.frombuffer(p["ids"], np.int64)
+                own = Quantised(unit_rows(np.frombuffer(p["data"]).reshape(-1, p["size"]))), np.frombuffer(p["ids"], np.int64)
+                same = p["low"] == p["high"]
+                if not same and p["block"] == p["low"]:
+                    first = [p[c] for c in pair], own
+                    continue
+                if not same and (first is None or first[0] != [p[c] for c in pair]):
+                    continue  # the hash dealt nothing to the other block
+                (left, ids), (right, more) = own if same else first[1], own
                 count, low = block_pairs(left, right, same, least)
-                ids = np.concatenate([ids, ids if same else np.frombuffer(p["ids2"], np.int64)])
+                ids = np.concatenate([ids, more])
                 hit = np.flatnonzero(count)
                 yield pa.RecordBatch.from_pydict({"row": ids[hit], "root": ids[low[hit]], "n": count[hit]})
 
-    found = materialize(pairs.repartition(F.col("label"), F.col("size"), F.col("block"), F.col("block2")).mapInArrow(run, "row long, root long, n long"), "vector-links")
+    found = materialize(pairs.repartition(*pair).sortWithinPartitions(*pair, "block").mapInArrow(run, "row long, root long, n long"), "vector-links")
     links = found.groupBy("row").agg(F.sum("n").alias("n_links"))
     comps = connected_components(found.select(F.col("row").alias("src"), F.col("root").alias("dst")), "vector-cc").select(F.col("node").alias("row"), "component")
     named = rows.select("row", "vec_id").join(links, "row", "left").join(comps, "row", "left").select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component", "row").alias("c"))
@@ -132,5 +143,5 @@ def pack(batches):
         for k in range(batch.num_rows):
             rows = batch.column("rows")[k].as_py()
             yield pa.RecordBatch.from_pydict({
-                "label": [str(batch.column("label")[k].as_py())], "size": pa.array([batch.column("size")[k].as_py()], pa.int32()), "block": [batch.column("block")[k].as_py()],
+                "label": [str(batch.column("label")[k].as_py())], "size": pa.array([batch.column("size")[k].as_py()], pa.int32()), "blocks": [batch.column("blocks")[k].as_py()], "block": [batch.column("block")[k].as_py()],
                 "ids": [np.array([r["row"] for r in rows], np.int64).tobytes()], "data": [np.array([r["embedding"] for r in rows], np.float64).tobytes()]})
