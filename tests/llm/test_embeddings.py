@@ -34,9 +34,9 @@ def test_query_matches_brute_force(spark):
     assert got == want
 
 
-@pytest.mark.parametrize(("block", "tile"), [(16, 7), (1000, 10)])
+@pytest.mark.parametrize(("block", "tile"), [(16, 7), (3, 1), (1000, 10)])
 def test_blocks_and_tiles(spark, monkeypatch, block, tile):
-    monkeypatch.setattr(embeddings, "BLOCK", block)
+    monkeypatch.setattr(embeddings, "BLOCK_BYTES", block * 96)
     monkeypatch.setattr(embeddings, "TILE", tile)
     rng = np.random.default_rng(3)
     centre = rng.normal(0, 1, (4, 12))
@@ -48,7 +48,7 @@ def test_blocks_and_tiles(spark, monkeypatch, block, tile):
 def test_bounds_are_rigorous():
     x = embeddings.unit_rows(np.random.default_rng(0).normal(0, 1, (200, 64)).tolist())
     q = embeddings.Quantised(x)
-    near = (q.codes @ q.codes.T) * (q.scale[:, None] * q.scale[None, :])
+    near = (q.tile(slice(None)) @ q.tile(slice(None)).T) * (q.scale[:, None] * q.scale[None, :])
     bound = q.error[:, None] * (1 + q.error[None, :]) + q.error[None, :] + embeddings.SLACK
     assert (np.abs(near - x @ x.T) <= bound).all()
 

@@ -178,6 +178,26 @@ def test_warc_predicates_and_payloads(spark, odd_pages):
     assert list(reader.pushFilters([])) == []
 
 
+def test_warc_digests_and_big_payloads(tmp_path):
+    """A payload of 30 MB is read in time that grows with its length; headers alone leave it undecoded."""
+    body = bytes(range(256)) * 120_000
+    row = {"warc_type": "response", "record_id": "urn:x", "warc_date": None, "target_uri": "u", "refers_to": None, "payload": body, "payload_bytes": len(body), "payload_digest": warc.bare_digest(body)}
+    (tmp_path / "a.warc.gz").write_bytes(warc.gzip_member(warc.record_bytes(row), 1) * 2)
+    reader = warc.WarcReader({"path": str(tmp_path)})
+    rows = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+    assert len(rows) == 2 and all(r["payload"] == body for r in rows)
+
+
+def test_warc_leaves_no_folders_of_jobs(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "x"), (2, "v", "x"), (3, "w", "y")], "page_id long, url string, html string")
+    assert warc.archive(pages, f"file://{tmp_path}/w").count() == 3
+    assert not [p for p in (tmp_path / "w").iterdir() if p.name.startswith("_") and p.is_dir()]
+    writer = warc.WarcWriter({"path": f"file://{tmp_path}/v"})
+    (tmp_path / "v" / f"_{writer.job}").mkdir(parents=True)
+    writer.abort([None])
+    assert list((tmp_path / "v").iterdir()) == []
+
+
 def test_warc_reads_members_without_lengths(tmp_path):
     import gzip
 
