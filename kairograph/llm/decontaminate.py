@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +26,17 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(_TABLE).split()
 
 
+def squeezed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^32 as compressed byte planes of their differences, which are small inside a list of positions."""
+    planes = np.diff(numbers.astype("<u4"), prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unsqueezed(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1).T
+    return np.cumsum(np.ascontiguousarray(planes).view("<u4").ravel(), dtype=np.uint32).astype(np.int64)
+
+
 def term_hash(term: bytes) -> int:
     return xxhash.xxh64_intdigest(term) - (1 << 63)
 
@@ -48,21 +60,21 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             order = np.argsort(terms, kind="stable")
             counts = np.bincount(terms, minlength=len(number))
             yield pa.RecordBatch.from_pydict({
-                "shard": [uuid.uuid4().hex], "ids": pa.array([piece.column("doc_id").to_pylist()], pa.list_(piece.column("doc_id").type)), "n_words": [n.tolist()], "starts": [begin.astype("<u4").tobytes()],
-                "terms": [b" ".join(number)], "hashes": [[term_hash(w) for w in number]], "counts": pa.array([counts.tolist()], pa.list_(pa.int32())), "positions": [at[order].astype("<u4").tobytes()]})
+                "shard": [uuid.uuid4().hex], "ids": pa.array([piece.column("doc_id").to_pylist()], pa.list_(piece.column("doc_id").type)), "n_words": [n.tolist()], "starts": [squeezed(begin)],
+                "terms": [zstandard.ZstdCompressor(level=1).compress(b" ".join(number))], "hashes": [[term_hash(w) for w in number]], "counts": pa.array([counts.tolist()], pa.list_(pa.int32())), "own_counts": [squeezed(counts)], "positions": [squeezed(at[order])]})
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return map_batches(rows, run, f"shard string, ids array<{kind}>, n_words array<long>, starts binary, terms binary, hashes array<long>, counts array<int>, positions binary")
+    return map_batches(rows, run, f"shard string, ids array<{kind}>, n_words array<long>, starts binary, terms binary, hashes array<long>, counts array<int>, own_counts binary, positions binary")
 
 
 class Shard:
     """One row of the index, ready to be searched."""
 
-    def __init__(self, starts: bytes, n_words: list, terms: bytes, counts: list, positions: bytes):
-        self.starts, self.n_words = np.frombuffer(starts, "<u4").astype(np.int64), np.array(n_words, np.int64)
-        self.number = {t: k for k, t in enumerate(terms.split(b" "))} if terms else {}
-        self.counts, self.positions = np.array(counts, np.int64), np.frombuffer(positions, "<u4").astype(np.int64)
+    def __init__(self, starts: bytes, n_words: list, terms: bytes, counts: bytes, positions: bytes):
+        self.starts, self.n_words = unsqueezed(starts), np.array(n_words, np.int64)
+        self.counts, self.positions = unsqueezed(counts), unsqueezed(positions)
+        self.number = {t: k for k, t in enumerate(zstandard.ZstdDecompressor().decompress(terms).split(b" "))} if len(self.counts) else {}
         self.first = np.cumsum(self.counts) - self.counts
         self.span = int((self.starts + self.n_words).max(initial=0)) + 2 * GAP
         self.keys = np.repeat(np.arange(len(self.counts)), self.counts) * self.span + self.positions
@@ -146,7 +158,7 @@ def search_index(index: DataFrame, windows: DataFrame, size: int, slop: int) ->
         for batch in batches:
             for row in range(batch.num_rows):
                 get = lambda c: batch.column(c)[row].as_py()  # noqa: E731, B023
-                shard, asked = Shard(get("starts"), get("n_words"), get("terms"), get("counts"), get("positions")), get("asked")
+                shard, asked = Shard(get("starts"), get("n_words"), get("terms"), get("own_counts"), get("positions")), get("asked")
                 words = [x["window"].split(b" ") for x in asked]
                 table, lengths = shard.table(words, size), np.array([len(w) for w in words], np.int64)
                 exact, near = {}, {}
@@ -168,7 +180,7 @@ def search_index(index: DataFrame, windows: DataFrame, size: int, slop: int) ->
                     *[pa.array([listed(x) for x in found], pa.list_(pa.struct([("item", pa.string())]))) for found in ([exact[d][1] if d in exact else () for d in own], [near.get(d, ()) for d in own])]],
                     ["shard", "place", "spans", "items", "near"])
 
-    wanted = index.select("shard", "starts", "n_words", "terms", "counts", "positions").join(lists, "shard")
+    wanted = index.select("shard", "starts", "n_words", "terms", "own_counts", "positions").join(lists, "shard")
     kind = "array<struct<item:string>>"
     found = map_batches(wanted, run, f"shard string, place int, spans array<struct<a:bigint,b:bigint>>, items {kind}, near {kind}")
     return found.groupBy("shard", "place").agg(*[F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("spans", "items", "near")])
