@@ -11,14 +11,21 @@ from .license_texts import TEMPLATES
 
 #: Words of a window, words from one to the next, and the least cosine that names a license.
 WINDOW, STRIDE, LEAST = 40, 20, 0.6
-WORD = r"[^a-z0-9.+]+"
+#: What parts words: other characters, and dots at either end of a word.
+WORD = r"[^a-z0-9.+]+|\.++(?![a-z0-9+])|(?<![a-z0-9+.])\.+"
+#: Buckets of hashed terms outside the templates, whose counts bound the frequency of each from above.
+BUCKETS = 1 << 16
 #: Parts that the descendants of a directory are dealt to in the path join.
 SALTS = 16
 
 
 def tokens(c):
     """Lower-case terms; a dot at the end of a sentence belongs to no term."""
-    return F.filter(F.transform(F.split(F.lower(c), WORD), lambda t: F.regexp_replace(t, r"^\.+|\.+$", "")), lambda t: t != "")
+    return F.filter(F.split(F.lower(c), WORD), lambda t: t != "")
+
+
+def bucket_of(term):
+    return F.concat(F.lit("#"), F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("string"))
 
 
 def parent_of(path):
@@ -52,7 +59,7 @@ def best_license(files: DataFrame, least: float) -> DataFrame:
 
     The cosine is over all terms of a piece, with their frequencies over all files. What can't reach ``least`` is left
     out early, without loss: the light terms of a template that together weigh less than ``least`` of it don't suffice
-    alone, and terms outside the templates weigh at least 1 in the length of a piece.
+    alone, and terms outside the templates weigh in the length of a piece at least what the count of their bucket says.
     """
     spark = files.sparkSession
     names = [(name, k, t) for name, own in TEMPLATES.items() for k, t in enumerate(own)]
@@ -61,7 +68,8 @@ def best_license(files: DataFrame, least: float) -> DataFrame:
     vocabulary = sorted(r["term"] for r in shapes.select("term").distinct().collect())
     files = files.withColumn("w", tokens(F.col("text")))
     n = files.count()
-    counted = files.select(F.explode(F.array_intersect("w", F.lit(vocabulary))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    in_files = files.select(F.explode(F.array_distinct("w")).alias("term"))
+    counted = materialize(in_files.select(F.when(F.col("term").isin(vocabulary), F.col("term")).otherwise(bucket_of(F.col("term"))).alias("term")).groupBy("term").agg(F.count("*").alias("df")), "license-counts")
     known = materialize(shapes.select("term").distinct().join(counted, "term", "left").select("term", inverse(F.col("df"), F.lit(n)).alias("idf")), "license-known")
     shaped = shapes.join(known, "term").withColumn("y", F.col("tf") * F.col("idf"))
     by = Window.partitionBy("license", "k")
@@ -71,13 +79,15 @@ def best_license(files: DataFrame, least: float) -> DataFrame:
 
     own = ["key", "piece"]
     terms = pieces_of(files, heavy).select(*own, F.explode("w").alias("term")).groupBy(*own, "term").agg(weighted(F.count("*")).alias("tf"))
-    terms = materialize(terms.join(known, "term", "left"), "license-terms")
+    buckets = counted.where("startswith(term, '#')").select(F.col("term").alias("bucket"), inverse(F.col("df"), F.lit(n)).alias("least_idf"))
+    terms = terms.join(known, "term", "left").withColumn("bucket", F.when(F.col("idf").isNull(), bucket_of(F.col("term")))).join(buckets, "bucket", "left").drop("bucket")
+    terms = materialize(terms, "license-terms")
     dots = terms.join(shaped.select("license", "k", "term", "y", "norm"), "term").groupBy(*own, "license", "k").agg(F.sum(F.col("tf") * F.col("idf") * F.col("y")).alias("dot"), F.max("norm").alias("norm"))
-    shortest = terms.groupBy(*own).agg(F.sqrt(F.sum((F.col("tf") * F.coalesce("idf", F.lit(1.0))) ** 2)).alias("shortest"))
+    shortest = terms.groupBy(*own).agg(F.sqrt(F.sum((F.col("tf") * F.coalesce("idf", "least_idf")) ** 2)).alias("shortest"))
     open_ = materialize(dots.join(shortest, own).where(F.col("dot") >= (least - 1e-6) * F.col("norm") * F.col("shortest")).drop("shortest"), "license-open")
     terms = materialize(terms.join(open_.select(*own).distinct(), own, "left_semi"), "license-open-terms")
     rare = materialize(terms.where("idf IS NULL").select("term").distinct(), "license-rare")
-    seen = files.select(F.explode(F.array_distinct("w")).alias("term")).join(rare, "term").groupBy("term").agg(F.count("*").alias("df"))
+    seen = in_files.join(rare, "term").groupBy("term").agg(F.count("*").alias("df"))
     seen = seen.select("term", inverse(F.col("df"), F.lit(n)).alias("rare_idf"))
     lengths = terms.join(seen, "term", "left").groupBy(*own).agg(F.sqrt(F.sum((F.col("tf") * F.coalesce("idf", "rare_idf")) ** 2)).alias("own"))
     scored = open_.join(lengths, own).select("key", "license", F.round(F.col("dot") / (F.col("norm") * F.col("own")), 6).alias("score")).where(F.col("score") >= least)
