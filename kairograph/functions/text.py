@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+from ipaddress import ip_network
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def blank_to_null(c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
 
@@ -25,53 +34,156 @@ def name_parts(c: Column) -> Column:
     return F.struct(p[0].alias("first"), F.when(n > 2, F.array_join(F.slice(p, F.lit(2), F.greatest(n - 2, F.lit(0))), " ")).alias("middle"), F.element_at(p, -1).alias("last"))
 
 
-#: Titles that are files or fragments rather than papers.
-JUNK_TITLE = (
-    r"(?i)\.(do|r|py|m|ado|zip|csv|xlsx?|dta|tex)$|\.(pptx?|pdf|docx?|key)$|^(poster|slides|handout|abstract)[ _]|^readme(\.txt)?$|^header\.do$"
-    r"|^(app|appx)[ _](paper|fig|tab)|^(paper|appx)[ _](fig|tab)_|^mrc_|^supplemental|^online appendix|^chapter \d{1,2}$|^\d{1,2}\.? ?$")
+#: Titles that are files or fragments rather than papers, whatever the case.
+JUNK_TITLES = (
+    r"\.(do|tab|dta|r|sql|sas|m|py)$",
+    r"\.(pptx?|pdf|docx?|key|odp)$",
+    r"^(poster|slides|handout|abstract)[ _]",
+    r"^readme(\.txt)?$",
+    r"^header\.do$",
+    r"^(app|appx)_(paper|fig|tab)",
+    r"^(paper|appx)_(fig|tab)_",
+    r"^mrc_",
+    r"^supplemental\b",
+    r"^online appendix\b",
+    r"^\d{1,2}\.\s+\S",
+)
+#: What begins an acknowledgement that was glued to a title.
+THANKS = (" The authors thank ", " Acknowledgments ", " Acknowledgements ", " We thank ", " I thank ")
+#: Kinds of works that are no research output, and the digital identifiers of book chapters.
+SKIPPED_TYPES = ("book-chapter", "reference-entry", "paratext", "letter", "editorial", "erratum", "correction")
+CHAPTER_DOI = r"978\d{10}-\d{3,4}$"
+
+_ENTITY = r"(&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[A-Za-z][A-Za-z0-9]*;?|[^&]+|&)"
+
+
+def unescape(c: Column) -> Column:
+    """Character references decoded: numeric ones, and all named ones of the HTML standard."""
+    names = F.from_json(F.lit(json.dumps({"&" + k: v for k, v in html5.items()})), "map<string,string>")
+
+    def decoded(x: Column) -> Column:
+        digits = F.regexp_extract(x, r"^&#([0-9]+)", 1)
+        code = F.when(digits != "", digits.try_cast("bigint")).otherwise(F.conv(F.nullif(F.regexp_extract(x, r"^&#[xX]([0-9a-fA-F]+)", 1), F.lit("")), 16, 10).try_cast("bigint"))
+        odd = (code <= 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(odd, 0xFFFD).otherwise(code)), 8, "0")), "UTF-32")
+        return F.when(F.startswith(x, F.lit("&#")), F.coalesce(char, x)).when(F.startswith(x, F.lit("&")), F.coalesce(F.element_at(names, x), x)).otherwise(x)
+
+    parts = F.transform(F.regexp_extract_all(c, F.lit("(?s)" + _ENTITY), F.lit(1)), decoded)
+    return F.when(F.contains(c, F.lit("&")), F.array_join(parts, "")).otherwise(c)
 
 
 def clean_title(c: Column) -> Column:
-    """Entities of the common kinds decoded, white space collapsed, cut at a star mark."""
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return collapse(F.substring_index(F.replace(c, F.lit(" "), F.lit(" ")), "✶", 1))
+    """References decoded, white space collapsed, cut at a star mark or at the first acknowledgement beyond 15 characters."""
+    def cut(t: Column) -> Column:
+        out = None
+        for mark in THANKS:
+            at = F.locate(mark, t)
+            short = F.trim(F.substr(t, F.lit(1), at - 1))
+            out = F.when(at > 16, short) if out is None else out.when(at > 16, short)
+        return out.otherwise(t)
+
+    plain = collapse(F.replace(unescape(c), F.lit("\u00a0"), F.lit(" ")))
+    return let(F.trim(F.substring_index(plain, "✶", 1)), cut)
 
 
 def is_junk_title(c: Column) -> Column:
-    t = clean_title(c)
-    return (F.length(t) < 4) | t.rlike(JUNK_TITLE)
+    def junk(t: Column) -> Column:
+        out = F.length(t) < 4
+        for pattern in JUNK_TITLES:
+            out = out | t.rlike("(?i)" + pattern)
+        return out
+
+    return let(clean_title(c), junk)
+
+
+def is_chapter_doi(c: Column) -> Column:
+    return F.coalesce(F.trim(F.regexp_replace(c, "^https://doi.org/", "")).rlike(CHAPTER_DOI), F.lit(False))
+
+
+def skip_reason(title: Column, doi: Column, kind: Column) -> Column:
+    """Why a work is no research output: 'junk', 'chapter' or 'type'; null if it stays."""
+    return F.when(is_junk_title(F.trim(title)), "junk").when(is_chapter_doi(F.trim(doi)), "chapter").when(F.lower(kind).isin(*SKIPPED_TYPES), "type")
 
 
 def dedupe_title(c: Column) -> Column:
     """The form under which titles of one paper are equal."""
-    t = F.regexp_replace(F.lower(clean_title(c)), r"^replication [^:]*for: *", "")
-    t = F.regexp_replace(F.regexp_replace(t, r"\*+$", ""), r" *#\d+$", "")
+    t = F.regexp_replace(F.lower(clean_title(c)), r"^replication (data|materials|package) for:\s*", "")
+    t = F.trim(F.regexp_replace(t, r"\*+$", ""))
+    t = F.regexp_replace(F.regexp_replace(t, r"\.\s*nber working paper.*$", ""), r"\s+#\d+$", "")
     return F.trim(F.regexp_replace(t, r"(?U)[^\w]+", " "))
 
 
+def likely_same_paper(title: Column, year: Column, other: Column, then: Column) -> Column:
+    """Equivalent forms of both titles, and years at most two apart where both are known."""
+    same = let(dedupe_title(title), lambda a: let(dedupe_title(other), lambda b: (a != "") & (b != "") & titles_equivalent(a, b)))
+    return same & F.coalesce(F.abs(year - then) <= 2, F.lit(True))
+
+
 def titles_equivalent(a: Column, b: Column) -> Column:
     x, y = F.when(F.length(a) <= F.length(b), a).otherwise(b), F.when(F.length(a) <= F.length(b), b).otherwise(a)
     return (a == b) | ((F.length(x) >= 30) & F.startswith(y, x))
 
 
-#: Ordered rules of position ranks, first match wins.
+#: Ordered rules of position ranks, whatever the case; the first match wins.
 RANK_RULES = (
-    (r"emeritus|emerita", "emeritus_professor"), (r"adjunct", "adjunct_professor"), (r"assistant professor", "assistant_professor"), (r"associate professor", "associate_professor"),
-    (r"lecturer|instructor", "lecturer"), (r"post-?doc", "postdoc"), (r"predoc|research fellow|senior fellow", "research_fellow"), (r"research scientist", "research_scientist"),
-    (r"staff scientist", "staff_scientist"), (r"\b(professor|prof)\b", "full_professor"), (r"(phd|doctoral) student", "phd_student"), (r"visiting student", "visiting_student"),
-    (r"\bphd\b", "phd_student"), (r"\b(ma|masters)\b", "masters_student"), (r"\b(ba|bs|undergraduate)\b", "undergraduate"), (r"principal investigator|\bpi\b", "principal_investigator"),
-    (r"board member|advisory board", "board_member"), (r"\bdean\b", "dean"))
+    (r"emeritus|emerita", "emeritus_professor"),
+    (r"adjunct", "adjunct_professor"),
+    (r"assistant\s+professor", "assistant_professor"),
+    (r"associate\s+professor", "associate_professor"),
+    (r"lecturer|instructor", "lecturer"),
+    (r"post[-\s]?doc(toral)?|postdoctoral", "postdoc"),
+    (r"predoctoral|predoc|research\s+fellow|senior\s+fellow", "research_fellow"),
+    (r"research\s+scientist|staff\s+scientist", "research_scientist"),
+    (r"\bprofessor\b|\bprof\b", "full_professor"),
+    (r"ph\.?d\.?\s+student|doctoral\s+student", "phd_student"),
+    (r"visiting\s+student", "visiting_student"),
+    (r"\bph\.?d\.?\b", "phd_student"),
+    (r"\bm\.?a\.?\b|\bmasters?\b", "masters_student"),
+    (r"\bb\.?a\.?\b|\bb\.?s\.?\b|undergraduate", "undergraduate"),
+    (r"principal\s+investigator|\bpi\b", "principal_investigator"),
+    (r"board\s+member|advisory\s+board", "board_member"),
+    (r"\bdean\b", "dean"),
+)
+#: What makes a title one of education, outside a section of its own.
+EDUCATION_MARKS = ("ph.d", "phd", "m.a.", "m.s.", "b.a.", "b.s.", "degree", "student")
 
 
 def position_rank(c: Column, rules=RANK_RULES) -> Column:
     out = None
     for pattern, rank in rules:
-        hit = F.lower(c).rlike(pattern)
+        hit = c.rlike("(?i)" + pattern)
         out = F.when(hit, rank) if out is None else out.when(hit, rank)
     return out
 
 
+def affiliation_kind(title: Column, section: Column) -> Column:
+    has = lambda w: F.contains(F.lower(title), F.lit(w))
+    marks = has(EDUCATION_MARKS[0])
+    for mark in EDUCATION_MARKS[1:]:
+        marks = marks | has(mark)
+    return F.when(section == "education", "education").when(has("founder"), "founding").when(has("board") | (has("director") & ~has("managing")), "governance").when(has("visiting"), "visiting").when(marks, "education").otherwise("employment")
+
+
+#: Blocks of IPv4 addresses that are not public.
+PRIVATE_BLOCKS = (
+    "0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/29", "192.0.0.170/31", "192.0.2.0/24", "192.168.0.0/16",
+    "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4")
+
+
+def is_public_url(c: Column) -> Column:
+    """http or https, a host, no credentials, no control characters, a valid port, and no private or reserved address."""
+    form = r"^https?://([^/?#@\[\]:]+|\[[0-9A-Fa-f:.]+\])(?::([0-9]*))?(?:[/?#]|$)"
+    host, port = F.lower(F.regexp_extract(c, form, 1)), F.regexp_extract(c, form, 2)
+    quad = F.transform(F.split(F.when(host.rlike(r"^(25[0-5]|2[0-4]\d|1?\d?\d)(\.(25[0-5]|2[0-4]\d|1?\d?\d)){3}$"), host), r"\."), lambda x: x.cast("long"))
+    number = F.aggregate(quad, F.lit(0).cast("long"), lambda a, x: a * 256 + x)
+    private = F.lit(False)
+    for block in map(ip_network, PRIVATE_BLOCKS):
+        private = private | number.between(int(block.network_address), int(block.broadcast_address))
+    six = host.rlike(r"^\[(::|::1|::ffff:.*|fc.*|fd.*|fe[89a-f].*|ff.*|2001:db8:.*|100::.*)\]$")
+    in_range = (port == "") | F.coalesce(port.try_cast("int").between(1, 65535), F.lit(False))
+    return c.rlike(form) & ~c.rlike(r"[\r\n\t]") & in_range & ~F.coalesce(private, F.lit(False)) & ~six
+
+
 def orcid_check_digit(digits: Column) -> Column:
     """ISO 7064 mod 11-2 over the first 15 digits."""
     total = F.aggregate(F.sequence(F.lit(1), F.lit(15)), F.lit(0), lambda a, k: (a + F.substr(digits, k, F.lit(1)).cast("int")) * 2)
@@ -107,14 +219,8 @@ def redact_contacts(c: Column) -> Column:
 
 
 def strip_tags(c: Column) -> Column:
-    lines = F.split(F.regexp_replace(clean_entities(F.regexp_replace(c, r"(?s)<[^>]*>", " ")), r"[ \t ]+", " "), "\n")
-    return F.array_join(F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != ""), "\n")
-
-
-def clean_entities(c: Column) -> Column:
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return c
+    lines = F.split(F.replace(unescape(F.regexp_replace(c, r"(?s)<[^>]+>", " ")), F.lit("\u00a0"), F.lit(" ")), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
+    return F.array_join(F.filter(F.transform(lines, lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != ""), "\n")
 
 
 def palette_slot(c: Column, slots: int) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as X
+from ..operators.components import ranked
 from ..operators.core import coauthor_edges, doubled
 from .graph import ties_on_map
 from .registry import query
@@ -67,12 +68,7 @@ def c08(t):
 @query("c09_option_order", "SELECT id, row_number() OVER (ORDER BY k, label, id) AS place FROM (SELECT id, 0 AS k, name AS label FROM organizations UNION ALL SELECT -id, 1, lastname || ' ' || firstname FROM people)")
 def c09(t):
     rows = t.organizations.select("id", F.lit(0).alias("k"), F.col("name").alias("label")).union(t.people.select(-F.col("id"), F.lit(1), F.concat_ws(" ", "lastname", "firstname")))
-    ordered = rows.repartitionByRange("k", "label", "id")
-    part = F.spark_partition_id()
-    local = ordered.withColumn("part", part).withColumn("rank", F.row_number().over(W.partitionBy("part").orderBy("k", "label", "id")))
-    sizes = local.groupBy("part").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("part", "before")
-    return local.join(F.broadcast(before), "part").select("id", (F.col("rank") + F.col("before")).cast("long").alias("place"))
+    return ranked(rows, [F.asc("k"), F.asc("label"), F.asc("id")]).select("id", "place")
 
 
 @query("c13_name_backfill", "SELECT id, w[1] AS firstname, CASE WHEN len(w) > 1 THEN w[len(w)] ELSE w[1] END AS lastname FROM (SELECT p_partkey AS id, string_split(trim(p_name), ' ') AS w FROM part)")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..operators.components import connected_components, reachable
+from ..operators.components import connected_components, reachable, settled
 from ..operators.core import anchors, closure, coauthor_edges, doubled, live_org_links, org_tree, top_per, valid_on
 from .oracle import DAY, live
 from .registry import query
@@ -90,10 +90,10 @@ def g10(t):
 
 def hop2(t, least: int = 2):
     """(person_id, other_id, shared): people who share at least two coauthors but no publication."""
-    ties = doubled(coauthor_edges(t)).select("person_id", "other_id")
+    edges = settled(coauthor_edges(t).select("person_a", "person_b"))
+    ties = doubled(edges).select("person_id", "other_id")
     far = ties.toDF("person_id", "via").join(ties.toDF("via", "other_id"), "via").where("person_id < other_id").groupBy("person_id", "other_id").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
-    near = coauthor_edges(t).select(F.col("person_a").alias("person_id"), F.col("person_b").alias("other_id"))
-    one = far.join(near, ["person_id", "other_id"], "left_anti")
+    one = far.join(edges.toDF("person_id", "other_id"), ["person_id", "other_id"], "left_anti")
     return one.union(one.select("other_id", "person_id", "shared"))
 
 

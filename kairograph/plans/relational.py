@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..operators.components import ranked
 from ..operators.core import anchors, closure, coauthor_edges, coauthor_pairs, doubled, live_org_links, org_tree, top_per, valid_on
 from .oracle import DAY, live
 from .registry import query
@@ -431,8 +432,10 @@ def k04(t):
 
 
 def colleagues(t, n: int = 8):
+    """The first ``n`` colleagues of every person: all members of an organization share one order, so the first n + 1
+    of it hold the first n others of each, and an organization of m members makes m (n + 1) pairs rather than m * m."""
     home = anchors(t).where("active").select("person_id", "org_id")
-    mates = roster(t).select("org_id", F.col("person_id").alias("other_id"), "sort_key").distinct()
+    mates = top_per(roster(t).distinct(), ["org_id"], ["sort_key", "person_id"], n + 1).select("org_id", F.col("person_id").alias("other_id"), "sort_key")
     return top_per(home.join(mates, "org_id").where("person_id <> other_id"), ["person_id"], ["sort_key", "other_id"], n, "rank").select("person_id", "other_id", "rank")
 
 
@@ -448,8 +451,7 @@ def k05(t):
 def k06(t):
     score = F.when(F.startswith(F.lower("lastname"), F.lit("b")), 0.7).otherwise(0.55)
     rows = t.people.where(F.contains(F.lower("lastname"), F.lit("b"))).withColumn("score", score)
-    ahead = W.orderBy(F.desc("score"), "lastname", "firstname", "id")
-    return rows.select("id", F.row_number().over(ahead).cast("long").alias("place"))
+    return ranked(rows, [F.desc("score"), F.asc("lastname"), F.asc("firstname"), F.asc("id")]).select("id", "place")
 
 
 @query("k07_top40_alters", "SELECT person_id, other_id, importance FROM (SELECT b.person_id, other_id, round(least(1.0, paper_count / n), 6)::DOUBLE AS importance, row_number() OVER (PARTITION BY b.person_id ORDER BY least(1.0, paper_count / n) DESC, other_id) AS rn FROM ties b JOIN (SELECT person_id, count(*)::DOUBLE AS n FROM authors GROUP BY 1) c ON c.person_id = b.person_id) WHERE rn <= 40")

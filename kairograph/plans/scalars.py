@@ -84,7 +84,7 @@ def f10(t):
     return rows.select("id", org_kind(F.col("name"), F.col("parent_id").isNull(), F.col("inner").isNull()).alias("kind"))
 
 
-RANK_SQL = "CASE " + " ".join(f"WHEN regexp_matches(lower({{0}}), '{p}') THEN '{r}'" for p, r in X.RANK_RULES) + " END"
+RANK_SQL = "CASE " + " ".join(f"WHEN regexp_matches({{0}}, '{p}', 'i') THEN '{r}'" for p, r in X.RANK_RULES) + " END"
 ROLES = "(SELECT id, replace(position_rank, '_', ' ') AS role FROM affiliations)"
 
 
@@ -93,11 +93,10 @@ def f11(t):
     return t.affiliations.select("id", X.position_rank(F.replace("position_rank", F.lit("_"), F.lit(" "))).alias("rank"))
 
 
-@query("f12_affiliation_kind", f"SELECT id, CASE WHEN contains(role, 'founder') THEN 'founding' WHEN contains(role, 'board') OR (contains(role, 'director') AND NOT contains(role, 'managing')) THEN 'governance' WHEN contains(role, 'visiting') THEN 'visiting' WHEN contains(role, 'student') OR contains(role, 'phd') THEN 'education' ELSE 'employment' END AS kind FROM {ROLES}")
+@query("f12_affiliation_kind", f"SELECT id, CASE WHEN contains(role, 'founder') THEN 'founding' WHEN contains(role, 'board') OR (contains(role, 'director') AND NOT contains(role, 'managing')) THEN 'governance' WHEN contains(role, 'visiting') THEN 'visiting' WHEN regexp_matches(role, 'ph\\.d|phd|m\\.a\\.|m\\.s\\.|b\\.a\\.|b\\.s\\.|degree|student') THEN 'education' ELSE 'employment' END AS kind FROM {ROLES}")
 def f12(t):
-    has = lambda w: F.contains(F.replace("position_rank", F.lit("_"), F.lit(" ")), F.lit(w))
-    kind = F.when(has("founder"), "founding").when(has("board") | (has("director") & ~has("managing")), "governance").when(has("visiting"), "visiting").when(has("student") | has("phd"), "education").otherwise("employment")
-    return t.affiliations.select("id", kind.alias("kind"))
+    role = F.replace("position_rank", F.lit("_"), F.lit(" "))
+    return t.affiliations.select("id", X.affiliation_kind(role, F.lit("employment")).alias("kind"))
 
 
 @query("f13_client_rank_order", f"SELECT id, CASE WHEN regexp_matches(role, 'emerit') THEN 1 WHEN regexp_matches(role, 'assistant') THEN 3 WHEN regexp_matches(role, 'associate') THEN 2 WHEN regexp_matches(role, 'full professor|\\bprofessor\\b') THEN 0 WHEN regexp_matches(role, 'visiting') THEN 4 WHEN regexp_matches(role, 'lecturer') THEN 5 WHEN regexp_matches(role, 'postdoc') THEN 6 WHEN regexp_matches(role, 'phd') THEN 7 ELSE 99 END::BIGINT AS place FROM {ROLES}")
@@ -108,8 +107,8 @@ def f13(t):
     return t.affiliations.select("id", out.otherwise(F.lit(99).cast("long")).alias("place"))
 
 
-CLEAN = "trim(regexp_replace(split_part(replace(replace(replace(replace(replace(replace(replace({0}, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&'), chr(160), ' '), '✶', 1), '\\s+', ' ', 'g'))"
-JUNK = X.JUNK_TITLE.replace("(?i)", "")
+CLEAN = "trim(split_part(trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace({0}, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&'), chr(160), ' '), '\\s+', ' ', 'g')), '✶', 1))"
+JUNK = "(length({0}) < 4 OR " + " OR ".join(f"regexp_matches({{0}}, '{p}', 'i')" for p in (x.replace("{", "{{").replace("}", "}}") for x in X.JUNK_TITLES)) + ")"
 
 
 @query("f14_clean_title", f"SELECT id, {CLEAN.format('title')} AS title FROM titles")
@@ -117,17 +116,20 @@ def f14(t):
     return t.titles.select("id", X.clean_title(F.col("title")).alias("title"))
 
 
-@query("f15_junk_title", f"SELECT id, length({CLEAN.format('title')}) < 4 OR regexp_matches({CLEAN.format('title')}, '{JUNK}', 'i') AS junk FROM titles")
+@query("f15_junk_title", f"SELECT id, {JUNK.format(CLEAN.format('title'))} AS junk FROM titles")
 def f15(t):
     return t.titles.select("id", X.is_junk_title(F.col("title")).alias("junk"))
 
 
-@query("f16_displayable", f"SELECT id FROM titles WHERE NOT (length({CLEAN.format('title')}) < 4 OR regexp_matches({CLEAN.format('title')}, '{JUNK}', 'i')) AND NOT starts_with(lower(title), 'replication data for:')")
+@query("f16_displayable", f"SELECT id FROM titles WHERE NOT {JUNK.format(CLEAN.format('title'))} AND NOT starts_with(lower({CLEAN.format('title')}), 'replication data for:')")
 def f16(t):
-    return t.titles.where(~X.is_junk_title(F.col("title")) & ~F.startswith(F.lower("title"), F.lit("replication data for:"))).select("id")
+    return t.titles.where(~X.is_junk_title(F.col("title")) & ~F.startswith(F.lower(X.clean_title(F.col("title"))), F.lit("replication data for:"))).select("id")
 
 
-@query("f17_dedupe_title", f"SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({CLEAN.format('title')}), '^replication [^:]*for: *', ''), '\\*+$', ''), ' *#\\d+$', ''), '[^\\p{{L}}\\p{{M}}\\p{{N}}_]+', ' ', 'g')) AS title FROM titles")
+DEDUPE = "trim(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(lower(" + CLEAN + "), '^replication (data|materials|package) for:\\s*', ''), '\\*+$', '')), '\\.\\s*nber working paper.*$', ''), '\\s+#\\d+$', ''), '[^\\p{{L}}\\p{{M}}\\p{{N}}_]+', ' ', 'g'))"
+
+
+@query("f17_dedupe_title", f"SELECT id, {DEDUPE.format('title')} AS title FROM titles")
 def f17(t):
     return t.titles.select("id", X.dedupe_title(F.col("title")).alias("title"))
 
@@ -138,22 +140,40 @@ def f18(t):
     return t.titles.join(before, "id").select("id", X.titles_equivalent(F.col("title"), F.col("other")).alias("same"))
 
 
-@query("f19_likely_same_paper", "SELECT t.id, t.title = u.title AND abs(p.year - q.year) <= 2 AS same FROM titles t JOIN titles u ON u.id = t.id - 1 JOIN publications p ON p.id = t.id JOIN publications q ON q.id = u.id")
+SAME = "a <> '' AND b <> '' AND (a = b OR (least(length(a), length(b)) >= 30 AND CASE WHEN length(a) <= length(b) THEN starts_with(b, a) ELSE starts_with(a, b) END))"
+
+
+@query("f19_likely_same_paper", f"SELECT id, ({SAME}) AND coalesce(abs(y - z) <= 2, true) AS same FROM (SELECT t.id, {DEDUPE.format('t.title')} AS a, {DEDUPE.format('u.title')} AS b, CASE WHEN t.id % 6 > 0 THEN p.year END AS y, q.year AS z FROM titles t JOIN titles u ON u.id = t.id - 1 JOIN publications p ON p.id = t.id JOIN publications q ON q.id = u.id)")
 def f19(t):
+    """Neighbours by id; every sixth year is unknown."""
     rows = t.titles.join(t.publications.select("id", "year"), "id")
     before = rows.select((F.col("id") + 1).alias("id"), F.col("title").alias("other"), F.col("year").alias("then"))
-    return rows.join(before, "id").select("id", ((F.col("title") == F.col("other")) & (F.abs(F.col("year") - F.col("then")) <= 2)).alias("same"))
+    year = F.when(F.col("id") % 6 > 0, F.col("year"))
+    return rows.join(before, "id").select("id", X.likely_same_paper(F.col("title"), year, F.col("other"), F.col("then")).alias("same"))
+
+
+DOI = "'https://doi.org/10.1093/' || CASE WHEN id % 4 = 0 THEN '978' ELSE 'jep' END || lpad(id::VARCHAR, 10, '0') || CASE WHEN id % 8 < 5 THEN '-' || lpad((id % 10000)::VARCHAR, 3 + (id % 2)::INTEGER, '0') ELSE '' END"
+KINDS = "['article', 'Book-Chapter', 'dataset', 'letter', 'article', 'paratext', 'preprint'][(id % 7)::INTEGER + 1]"
+
+
+def dois(t):
+    """(id, doi, kind): made-up identifiers and kinds of the publications; every fourth stands in the space of books."""
+    n = F.col("id")
+    text = lambda c, size: F.lpad(c.cast("string"), size, "0")
+    tail = F.when(n % 8 < 5, F.concat(F.lit("-"), F.when(n % 2 == 0, text(n % 10000, 3)).otherwise(text(n % 10000, 4)))).otherwise("")
+    doi = F.concat(F.lit("https://doi.org/10.1093/"), F.when(n % 4 == 0, "978").otherwise("jep"), text(n, 10), tail)
+    kinds = F.array(*[F.lit(k) for k in ("article", "Book-Chapter", "dataset", "letter", "article", "paratext", "preprint")])
+    return t.publications.select("id", doi.alias("doi"), F.get(kinds, (n % 7).cast("int")).alias("kind"))
 
 
-@query("f20_book_chapter_doi", "SELECT page_id, regexp_matches(url, '97[89][0-9-]{10,}') AS chapter FROM pages")
+@query("f20_book_chapter_doi", f"SELECT id, regexp_matches(replace(doi, 'https://doi.org/', ''), '978\\d{{10}}-\\d{{3,4}}$') AS chapter FROM (SELECT id, {DOI} AS doi FROM publications)")
 def f20(t):
-    return t.raw("pages").select("page_id", F.col("url").rlike(r"97[89][0-9-]{10,}").alias("chapter"))
+    return dois(t).select("id", X.is_chapter_doi(F.col("doi")).alias("chapter"))
 
 
-@query("f21_should_skip", f"SELECT id, CASE WHEN length({CLEAN.format('title')}) < 4 THEN 'junk' WHEN lang = 'de' THEN 'type' END AS reason FROM titles JOIN documents ON doc_id = id")
+@query("f21_should_skip", f"SELECT id, CASE WHEN {JUNK.format(CLEAN.format('title'))} THEN 'junk' WHEN regexp_matches(doi, '978\\d{{10}}-\\d{{3,4}}$') THEN 'chapter' WHEN lower(kind) IN ('book-chapter', 'reference-entry', 'paratext', 'letter', 'editorial', 'erratum', 'correction') THEN 'type' END AS reason FROM titles JOIN (SELECT id, {DOI} AS doi, {KINDS} AS kind FROM publications) USING (id)")
 def f21(t):
-    lang = t.raw("documents").select(F.col("doc_id").alias("id"), "lang")
-    return t.titles.join(lang, "id").select("id", F.when(F.length(X.clean_title(F.col("title"))) < 4, "junk").when(F.col("lang") == "de", "type").alias("reason"))
+    return t.titles.join(dois(t), "id").select("id", X.skip_reason(F.col("title"), F.col("doi"), F.col("kind")).alias("reason"))
 
 
 ORCID = "printf('%04d-%04d-%04d-%03d%s', id % 10000, (id * 7) % 10000, (id * 13) % 10000, id % 1000, CASE WHEN id % 11 = 10 THEN 'x' ELSE (id % 11)::VARCHAR END)"
@@ -182,11 +202,10 @@ def f25(t):
     return t.raw("pages").select("page_id", F.substring_index(F.rtrim("url", F.lit("/")), "/", -1).alias("tail"))
 
 
-@query("f26_url_guard", "SELECT page_id, regexp_matches(url, '^https?://[^/@?#]+([/?#]|$)') AND NOT regexp_matches(url, '^https?://(localhost|127\\.|10\\.|192\\.168\\.)') AS safe, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM pages")
+@query("f26_url_guard", "SELECT page_id, regexp_matches(url, '^https?://[^/@?#:]+(:[0-9]+)?([/?#]|$)') AND NOT regexp_matches(url, '^https?://(0|10|127|169\\.254|172\\.(1[6-9]|2[0-9]|3[01])|192\\.168)\\.[0-9.]+([:/?#]|$)') AS safe, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM pages")
 def f26(t):
     url = F.col("url")
-    safe = url.rlike(r"^https?://[^/@?#]+([/?#]|$)") & ~url.rlike(r"^https?://(localhost|127\.|10\.|192\.168\.)")
-    return t.raw("pages").select("page_id", safe.alias("safe"), F.try_parse_url(url, F.lit("HOST")).alias("host"))
+    return t.raw("pages").select("page_id", X.is_public_url(url).alias("safe"), F.try_parse_url(url, F.lit("HOST")).alias("host"))
 
 
 GRAMS = "list_distinct(flatten([[substring('  ' || w || ' ', k, 3) FOR k IN range(1, length(w) + 2)] FOR w IN list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')]))"
