@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as X
+from ..operators.components import shared_dir
 from ..operators.core import anchors, coauthor_edges, doubled, org_tree, top_per, valid_on
+from ..operators.cv import cv_entries
 from .graph import paper_clusters
 from .oracle import DAY, live
 from .registry import query
@@ -75,30 +79,82 @@ def e07(t):
     return rows.select("author", F.coalesce("a", "b").alias("person_id"), F.when(F.col("a").isNotNull(), "id").when(F.col("b").isNotNull(), "name").otherwise("create").alias("how"))
 
 
+HINT = "'supplier#' || lpad((length(q) % 10 + 1)::VARCHAR, 9, '0')"
+PLACES = "SELECT DISTINCT person_id AS id, lower(name) AS place FROM affiliations a JOIN organizations o ON o.id = a.org_id"
+MATCHES = f"""SELECT q, id, round(CASE WHEN q = name THEN 20 WHEN contains(q, name) OR contains(name, q) THEN 8 ELSE 3 * shared END
+    + CASE WHEN EXISTS (SELECT 1 FROM ({PLACES}) x WHERE x.id = m.id AND contains(place, {HINT})) THEN 12 ELSE 0 END + least(coalesce(works, 0) / 50::DOUBLE, 4), 6)::DOUBLE AS score
+FROM (SELECT q, id, name, count(*) AS shared FROM (SELECT q, unnest(list_distinct(string_split(q, ' '))) AS w FROM (SELECT DISTINCT CASE WHEN length(name) % 2 = 0 THEN name ELSE name || ' jr' END AS q FROM known))
+      JOIN (SELECT id, name, unnest(list_distinct(string_split(name, ' '))) AS w FROM known) USING (w) GROUP BY 1, 2, 3) m LEFT JOIN (SELECT person_id AS id, count(*) AS works FROM authors GROUP BY 1) USING (id)"""
+KNOWN = "known AS (SELECT id, lower(concat_ws(' ', firstname, lastname)) AS name FROM people)"
+
+
+def hint_of(q):
+    """The institution that an incoming name comes from (made up: one of ten labs by the length of the name)."""
+    return F.concat(F.lit("supplier#"), F.lpad((F.length(q) % 10 + 1).cast("string"), 9, "0"))
+
+
+def places_of(t):
+    """(id, places): the lower-case names of the organizations of a person."""
+    names = t.organizations.select(F.col("id").alias("org_id"), F.lower("name").alias("place"))
+    return t.affiliations.select(F.col("person_id").alias("id"), "org_id").distinct().join(names, "org_id").groupBy("id").agg(F.collect_set("place").alias("places"))
+
+
 def name_matches(t):
-    """People and incoming names that share a word, so that scoring meets no cross product."""
-    words = lambda c: F.array_distinct(F.split(F.lower(c), " "))
-    known = t.people.select("id", F.concat_ws(" ", "firstname", "lastname").alias("name"))
-    incoming = known.select("name").distinct().withColumn("q", F.concat_ws(" ", "name", F.lit("jr")))
-    left = incoming.select("q", F.explode(words("q")).alias("w"))
-    right = known.select("id", "name", F.explode(words("name")).alias("w"))
+    """(q, id, score): people and incoming names that share a word, so that scoring meets no cross product.
+
+    Equal names weigh 20, one inside the other 8, else 3 for each common word; an institution that holds the hint adds
+    12, works add up to 4.
+    """
+    words = lambda c: F.array_distinct(F.split(c, " "))
+    known = t.people.select("id", F.lower(F.concat_ws(" ", "firstname", "lastname")).alias("name"))
+    incoming = known.select(F.when(F.length("name") % 2 == 0, F.col("name")).otherwise(F.concat("name", F.lit(" jr"))).alias("q")).distinct()
+    left = incoming.select("q", F.explode(words(F.col("q"))).alias("w"))
+    right = known.select("id", "name", F.explode(words(F.col("name"))).alias("w"))
     shared = left.join(right, "w").groupBy("q", "id", "name").agg(F.count("*").alias("shared"))
-    score = F.when(F.col("q") == F.col("name"), 20).when(F.contains("q", F.col("name")), 8).otherwise(3 * F.col("shared"))
+    score = F.when(F.col("q") == F.col("name"), 20).when(F.contains("q", F.col("name")) | F.contains("name", F.col("q")), 8).otherwise(3 * F.col("shared"))
     works = t.authors.groupBy(F.col("person_id").alias("id")).agg(F.count("*").alias("works"))
-    return shared.join(works, "id", "left").select("q", "id", F.round(score + F.least(F.coalesce("works", F.lit(0)) / 50, F.lit(4.0)), 6).alias("score"))
+    bonus = F.when(F.exists("places", lambda x: F.contains(x, hint_of(F.col("q")))), 12).otherwise(0)
+    rows = shared.join(works, "id", "left").join(places_of(t), "id", "left")
+    return rows.select("q", "id", F.round(score + bonus + F.least(F.coalesce("works", F.lit(0)) / 50, F.lit(4.0)), 6).alias("score"))
 
 
-@query("e08_best_author")
+@query("e08_best_author", f"WITH {KNOWN} SELECT q, id, score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rn FROM ({MATCHES})) WHERE rn = 1 AND score >= 8")
 def e08(t):
     return top_per(name_matches(t).where("score >= 8"), ["q"], [F.desc("score"), "id"])
 
 
-@query("e09_best_with_margin")
+RECORDS = "SELECT id, firstname || CASE WHEN id % 2 = 0 THEN ' q' ELSE '' END AS given, lastname || CASE WHEN id % 3 = 0 THEN '-smith' ELSE '' END AS family, firstname AS f, lastname AS l FROM people WHERE id % 20 = 1"
+RECORD_SCORES = f"""SELECT q, id, CASE WHEN family = last THEN 20 WHEN contains(family, last) THEN 8 ELSE 0 END + CASE WHEN given = first OR starts_with(given, first || ' ') THEN 15 ELSE 0 END + place AS score, place
+FROM (SELECT *, CASE WHEN EXISTS (SELECT 1 FROM ({PLACES}) x WHERE x.id = m.id AND (contains(place, {HINT}) OR contains({HINT}, place))) THEN 14 ELSE 0 END AS place
+      FROM (SELECT DISTINCT n.*, r.* FROM (SELECT DISTINCT lower(firstname || ' ' || lastname) AS q, lower(firstname) AS first, lower(lastname) AS last FROM people) n JOIN ({RECORDS}) r ON r.f = n.first OR r.l = n.last) m)"""
+
+
+def record_scores(t):
+    """(q, id, score, place): names and researcher records that share a given or a family name.
+
+    An equal family name weighs 20, one that holds it 8; an equal first given name 15; a known institution 14 (``place``).
+    """
+    n = F.col("id")
+    records = t.people.where("id % 20 = 1").select(
+        "id", F.concat("firstname", F.when(n % 2 == 0, " q").otherwise("")).alias("given"), F.concat("lastname", F.when(n % 3 == 0, "-smith").otherwise("")).alias("family"), F.array("firstname", "lastname").alias("names"))
+    targets = t.people.where("lastname IS NOT NULL").select(F.lower(F.concat_ws(" ", "firstname", "lastname")).alias("q"), F.lower("firstname").alias("first"), F.lower("lastname").alias("last")).distinct()
+    left = targets.select("*", F.posexplode(F.array("first", "last")).alias("side", "w"))
+    right = records.select("id", "given", "family", F.posexplode("names").alias("side", "w"))
+    pairs = left.join(right, ["side", "w"]).select("q", "first", "last", "id", "given", "family").distinct().join(places_of(t), "id", "left")
+    family = F.when(F.col("family") == F.col("last"), 20).when(F.contains("family", F.col("last")), 8).otherwise(0)
+    given = F.when((F.col("given") == F.col("first")) | F.startswith("given", F.concat("first", F.lit(" "))), 15).otherwise(0)
+    hint = hint_of(F.col("q"))
+    place = F.when(F.exists("places", lambda x: F.contains(x, hint) | F.contains(hint, x)), F.when(F.length(hint) > 10, 14).otherwise(10)).otherwise(0)
+    return pairs.withColumn("place", place).select("q", "id", (family + given + F.col("place")).alias("score"), "place")
+
+
+@query("e09_best_with_margin", f"SELECT q, id, best FROM (SELECT q, arg_max(id, (score, -id)) AS id, max(score)::INTEGER AS best, arg_max(place, (score, -id)) AS place, arg_max(score, (score, -id), 2)[2] AS second FROM ({RECORD_SCORES}) GROUP BY 1) WHERE best >= 20 AND (second IS NULL OR best - second >= 3 OR place > 0)")
 def e09(t):
-    """The best match if it leads the second by three points or is the only one."""
-    rows = top_per(name_matches(t), ["q"], [F.desc("score"), "id"], 2, "place")
-    two = rows.groupBy("q").agg(F.max_by("id", -F.col("place")).alias("id"), F.max("score").alias("best"), F.when(F.count("*") > 1, F.min("score")).alias("second"))
-    return two.where((F.col("best") >= 8) & (F.col("second").isNull() | (F.col("best") - F.col("second") >= 3))).select("q", "id", "best")
+    """The best record of 20 points or more, if it leads the second by three or its institution is known."""
+    rows = top_per(record_scores(t), ["q"], [F.desc("score"), "id"], 2, "rank")
+    first = lambda c: F.max_by(c, -F.col("rank"))
+    two = rows.groupBy("q").agg(first("id").alias("id"), F.max("score").alias("best"), first("place").alias("place"), F.when(F.count("*") > 1, F.min("score")).alias("second"))
+    return two.where((F.col("best") >= 20) & (F.col("second").isNull() | (F.col("best") - F.col("second") >= 3) | (F.col("place") > 0))).select("q", "id", "best")
 
 
 @query("e10_pick_institution", "SELECT person_id, arg_max(org_id, (org_id % 5 = 0, valid_from, -id)) AS org_id FROM affiliations GROUP BY 1")
@@ -150,13 +206,23 @@ def e16(t):
                                  F.regexp_extract(html, r'<html[^>]*lang="([a-z]+)"', 1).alias("lang"), X.clean_title(F.regexp_extract(html, r"(?s)<p>([^<]+)</p>", 1)).alias("first"))
 
 
+#: An anchor with its address, whatever stands beside it and however it is quoted, and its label with tags inside.
+ANCHOR = r"""(?is)(<a\b[^>]*?\bhref\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"']+)[^>]*>.*?</a\s*>)"""
+
+
+def anchors_of(pages):
+    """(page_id, place, href, label) of all anchors of pages, in order."""
+    rows = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(1))).alias("place", "a"))
+    href = F.regexp_extract("a", r"""(?is)^<a\b[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", 1)
+    return rows.select("page_id", "place", X.unescape(F.trim(F.regexp_replace(href, "^[\"']|[\"']$", ""))).alias("href"), F.trim(F.regexp_replace(X.strip_tags(F.col("a")), r"\s+", " ")).alias("label"))
+
+
 @query("e17_best_link")
 def e17(t):
     """The best anchor of each page: the best score, then the shortest address."""
-    links = F.regexp_extract_all("html", F.lit(r'<a href="([^"]*)"'), F.lit(1))
-    rows = t.raw("pages").select("page_id", F.explode(links).alias("href"))
-    score = F.when(F.contains("href", F.lit("cv")), 3).when(F.contains("href", F.lit("th")), 1).otherwise(0)
-    return top_per(rows.withColumn("score", score), ["page_id"], [F.desc("score"), F.length("href"), "href"]).select("page_id", "href", "score")
+    rows = anchors_of(t.raw("pages"))
+    score = F.when(F.lower("href").rlike(r"\bcv\b|vitae") | F.lower("label").rlike(r"\bcv\b|vitae"), 3).when(F.lower("href").rlike(r"\.pdf$"), 1).otherwise(0)
+    return top_per(rows.withColumn("score", score), ["page_id"], [F.desc("score"), F.length("href"), "href", "place"]).select("page_id", "href", "score")
 
 
 @query("e18_dated_lines")
@@ -167,6 +233,19 @@ def e18(t):
     return rows.where(year != "").select("conv_id", "turn", year.alias("first_year"), F.regexp_extract("line", r"\b(?:19|20)\d{2}\s*[-–]\s*((?:19|20)\d{2})\b", 1).alias("last_year"), F.trim("line").alias("line"))
 
 
+@query("e18_cv_entries")
+def e18_entries(t):
+    """Positions and degrees out of made-up curricula: a line for each affiliation, then a degree and a list of papers."""
+    names = t.organizations.select(F.col("id").alias("org_id"), "name")
+    rows = t.affiliations.join(names, "org_id").select("person_id", F.struct(
+        "valid_from", "id", F.concat(F.year("valid_from").cast("string"), F.lit("–"), F.coalesce(F.year("valid_to").cast("string"), F.lit("present")), F.lit(" "), "name", F.lit(" University, "), F.initcap(F.replace("position_rank", F.lit("_"), F.lit(" ")))).alias("line")).alias("x"))
+    jobs = rows.groupBy("person_id").agg(F.array_sort(F.collect_list("x"))["line"].alias("jobs"))
+    n = F.col("person_id").cast("string")
+    rest = F.array(F.lit("Education"), F.concat(F.lit("College "), n, F.lit(", Ph.D. in Economics, 1990")), F.lit("Publications"), F.lit("1999–2001 Journal of Nothing, Editor"))
+    lines = jobs.select(F.col("person_id").alias("doc"), F.posexplode(F.concat(F.array(F.lit("Academic Positions")), "jobs", rest)).alias("place", "line"))
+    return cv_entries(lines)
+
+
 @query("e19_record_flattening", "SELECT event_id, unnest(json_keys(props)) AS k, (props ->> ('$.' || unnest(json_keys(props))))::BIGINT AS v FROM events")
 def e19(t):
     return t.raw("events").select("event_id", F.explode(F.from_json("props", "map<string,bigint>")).alias("k", "v"))
@@ -221,8 +300,43 @@ def e26(t):
 @query("s08_roster_scrape")
 def s08(t):
     """Links and their labels out of every page."""
-    found = F.regexp_extract_all("html", F.lit(r'<a href="[^"]*">([^<]*)</a>'), F.lit(1))
-    return t.raw("pages").select("page_id", F.posexplode(found).alias("place", "label"))
+    return anchors_of(t.raw("pages")).select("page_id", "place", "label")
+
+
+@query("s05_json_source", "SELECT event_id, user_id, event_type, value FROM events")
+def s05(t):
+    """Records written as JSON lines in the shared folder and read back by a declared schema."""
+    return json_records(t).select("event_id", "user_id", "event_type", "value")
+
+
+def json_records(t):
+    rows = t.raw("events").select("event_id", "user_id", "event_type", "value", F.year("ts").alias("year"))
+    path = f"{shared_dir(t.spark)}/records-{uuid.uuid4().hex}"
+    rows.write.json(path)
+    return t.spark.read.schema(rows.schema).json(path)
+
+
+@query("s06_filtered_records", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events WHERE year(ts) >= 2000 AND event_type IN ('click', 'purchase', 'view') AND NOT coalesce(value > 90, false)) WHERE rn <= 20")
+def s06(t):
+    """Records of a user by pushed filters (first year, kinds, a flag), at most twenty each."""
+    rows = json_records(t).where((F.col("year") >= 2000) & F.col("event_type").isin("click", "purchase", "view") & ~F.coalesce(F.col("value") > 90, F.lit(False)))
+    return top_per(rows, ["user_id"], ["event_id"], 20).select("user_id", "event_id")
+
+
+@query("a26_pipeline_counters", "SELECT event_type, count(*) AS seen, count(*) FILTER (value > 50) AS kept, count(*) FILTER (value IS NULL OR value <= 50) AS skipped, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
+def a26(t):
+    """The counters of a run in one pass."""
+    kept = F.coalesce(F.col("value") > 50, F.lit(False))
+    return t.raw("events").groupBy("event_type").agg(F.count("*").alias("seen"), F.count_if(kept).alias("kept"), F.count_if(~kept).alias("skipped"), F.countDistinct("user_id").alias("users"))
+
+
+@query("p13_clamped_page", "SELECT event_id, greatest(0, least(50, coalesce(CASE WHEN event_id % 5 > 0 THEN event_id - 40 END, 10)))::BIGINT AS search_limit, greatest(0, least(100, event_id - 20))::BIGINT AS page_limit, greatest(0, event_id - 30)::BIGINT AS page_offset, trim(event_type) <> '' AND length(event_type) <= 200 AS asked FROM events")
+def p13(t):
+    """Limits and offsets of requests within their bounds, with the defaults; blank and overlong questions ask nothing."""
+    n = F.col("event_id")
+    clamp = lambda c, most: F.greatest(F.lit(0), F.least(F.lit(most), c)).cast("long")
+    return t.raw("events").select("event_id", clamp(F.coalesce(F.when(n % 5 > 0, n - 40), F.lit(10)), 50).alias("search_limit"), clamp(n - 20, 100).alias("page_limit"), F.greatest(F.lit(0), n - 30).cast("long").alias("page_offset"),
+                                    ((F.trim("event_type") != "") & (F.length("event_type") <= 200)).alias("asked"))
 
 
 @query("s09_text_values", "SELECT c_custkey, c_mktsegment AS first, c_name AS second FROM customer")
