@@ -11,8 +11,8 @@ from .license_texts import TEMPLATES
 
 #: Words of a window, words from one to the next, and the least cosine that names a license.
 WINDOW, STRIDE, LEAST = 40, 20, 0.6
-#: What parts words: other characters, and dots at either end of a word.
-WORD = r"[^a-z0-9.+]+|\.++(?![a-z0-9+])|(?<![a-z0-9+.])\.+"
+#: ASCII characters that part words: all but letters, digits, dots and plus signs.
+PARTING = "".join(chr(c) for c in range(128) if not chr(c).isalnum() and chr(c) not in ".+")
 #: Buckets of hashed terms outside the templates, whose counts bound the frequency of each from above.
 BUCKETS = 1 << 16
 #: Parts that the descendants of a directory are dealt to in the path join.
@@ -20,8 +20,9 @@ SALTS = 16
 
 
 def tokens(c):
-    """Lower-case terms; a dot at the end of a sentence belongs to no term."""
-    return F.filter(F.split(F.lower(c), WORD), lambda t: t != "")
+    """Lower-case terms; dots at either end belong to no term, letters of other scripts do."""
+    plain = F.translate(F.lower(c), PARTING, " " * len(PARTING))
+    return F.filter(F.transform(F.split(plain, " +"), lambda t: F.trim(t, F.lit("."))), lambda t: t != "")
 
 
 def bucket_of(term):
