@@ -58,7 +58,7 @@ class FactorizationMachine:
         rng = np.random.default_rng(7)
         w, v = np.zeros(BUCKETS), np.zeros((BUCKETS, FACTORS))
         lead, seen, moved = np.zeros(BUCKETS), np.zeros(BUCKETS), np.full((BUCKETS, FACTORS), 1e-8)
-        rows = [np.asarray(r, dtype=np.int64) for r in rows]
+        rows = [np.asarray(r, dtype=np.int32) for r in rows]
         for epoch in range(EPOCHS + PAIR_EPOCHS if n else 0):
             if epoch == EPOCHS:
                 told = np.flatnonzero(w)
