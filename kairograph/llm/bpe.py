@@ -37,6 +37,10 @@ class Codec:
 
     def __init__(self, source: str):
         spec = json.loads(source)
+        cut = spec.get("pre_tokenizer") or {}
+        odd_tokens = [t["content"] for t in spec["added_tokens"] if t.get("single_word") or t.get("lstrip") or t.get("rstrip") or t.get("normalized")]
+        if spec.get("normalizer") or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True) or odd_tokens:
+            raise ValueError("only byte-level vocabularies without normaliser, prefix space and options of added tokens are supported")
         letters = byte_letters()
         raw = lambda token: bytes(letters[c] for c in token)
         vocab = spec["model"]["vocab"]

@@ -1,3 +1,4 @@
+import json
 import hashlib
 
 import numpy as np
@@ -45,3 +46,10 @@ def test_edge_cases(spark):
     out = bpe.decode(bpe.encode(docs, queries.VOCABULARY), queries.VOCABULARY).collect()
     assert [r["decoded"] for r in out] == ["", "", "a b", "a b", "long " * 40_000]
     assert bpe.encode(docs.limit(0), queries.VOCABULARY).count() == 0
+
+
+def test_other_kinds_of_vocabularies_are_refused():
+    spec = json.loads(open(queries.VOCABULARY, encoding="utf-8").read())
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": None}, {"pre_tokenizer": spec["pre_tokenizer"] | {"add_prefix_space": True}}, {"added_tokens": [spec["added_tokens"][0] | {"lstrip": True}]}):
+        with pytest.raises(ValueError):
+            bpe.Codec(json.dumps(spec | change))

@@ -7,7 +7,7 @@ from kairograph.llm.license_texts import TEMPLATES
 
 
 def terms(text):
-    return [t for t in (re.sub(r"^\.+|\.+$", "", t) for t in re.split(r"[^a-z0-9.+]+", text.lower())) if t]
+    return [t for t in (re.sub(r"^\.+|\.+$", "", t) for t in re.split(r"[\x00-*,\-/:-@\[-`{-\x7f]+", text.lower())) if t]
 
 
 def reference(rows, least=licenses.LEAST):
