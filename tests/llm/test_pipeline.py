@@ -5,7 +5,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from kairograph.llm import queries
+from kairograph.llm import bpe, queries, simhash
 from kairograph.llm.common import materialize
 
 from .test_decontaminate import reference as contaminated
@@ -82,3 +82,17 @@ def test_tokens_equal_the_library(steps):
     for k, r in rows(before).items():
         ids = np.array(library.encode(r["text"], add_special_tokens=False).ids, "<u4").tobytes()
         assert bytes(new[k]["token_ids"]) == ids and new[k]["round_trip"] and new[k]["ids_sha256"] == hashlib.sha256(ids).hexdigest()
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls, empty and repeated rows, equal ids with other texts, clashing names and empty tables."""
+    text = " ".join(f"word{k}" for k in range(80))
+    rows = [(1, text, 0, 0), (2, text + " more", 0, 0), (1, "something else", 0, 0), (1, text, 0, 0), (None, text, 0, 0), (3, None, 0, 0), (4, "", 0, 0), (5, "x", 0, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, text_key int, place int")
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == [(0, text), (1, "something else"), (1, text), (3, ""), (5, "x")]
+    assert simhash.drop_near_duplicates(docs.limit(0)).count() == 0
+    coded = bpe.encode_and_check(docs, queries.VOCABULARY).collect()
+    assert len(coded) == len(rows) and all(r["round_trip"] for r in coded) and sum(r["n_tokens"] == 0 for r in coded) == 2
+    assert bpe.encode_and_check(docs.limit(0), queries.VOCABULARY).count() == 0
