@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..operators import layout
-from ..operators.core import coauthor_edges, doubled, top_per
+from ..operators.core import coauthor_edges, doubled
+from ..operators.spread import cluster_hulls, communities, remove_overlaps
 from .client import POINTS, points
 from .graph import perspective, ties_on_map
 from .oracle import oracle
@@ -57,7 +58,7 @@ def n03(t):
 
 
 def per_cluster(t, work, schema: str):
-    """``work`` on the points of each cluster and the ties inside it; clusters are groups of bounded size."""
+    """``work`` on the points of each cluster and the ties inside it, which must fit into one task."""
     p = points(t)
     label = p.select("id", "cluster")
     ties = ties_on_map(t).join(label.toDF("person_a", "cluster"), "person_a").join(label.toDF("person_b", "other"), "person_b").where("cluster = other")
@@ -72,23 +73,31 @@ def per_cluster(t, work, schema: str):
     return p.groupBy("cluster").cogroup(ties.select("cluster", "person_a", "person_b", "paper_count").groupBy("cluster")).applyInPandas(run, schema)
 
 
+def inner_ties(t, resolutions: tuple):
+    """(graph, resolution, a, b, w): the ties inside each cluster, once for each resolution."""
+    label = points(t).select("id", "cluster").distinct()
+    ties = ties_on_map(t).join(label.toDF("person_a", "graph"), "person_a").join(label.toDF("person_b", "other"), "person_b").where("graph = other")
+    steps = F.explode(F.array(*[F.lit(float(r)) for r in resolutions]))
+    return ties.select("graph", steps.alias("resolution"), F.col("person_a").alias("a"), F.col("person_b").alias("b"), F.col("paper_count").cast("double").alias("w"))
+
+
+def found_communities(t, resolutions: tuple):
+    """(id, cluster, resolution, community): every point; those without ties are a community each."""
+    own = points(t).select("id", "cluster").distinct().withColumn("resolution", F.explode(F.array(*[F.lit(float(r)) for r in resolutions])))
+    got = communities(inner_ties(t, resolutions)).toDF("cluster", "resolution", "id", "community")
+    return own.join(got, ["cluster", "resolution", "id"], "left").select("id", "cluster", "resolution", F.coalesce("community", "id").alias("community"))
+
+
 @query("n04_communities")
 def n04(t):
-    def work(left, a, b, w):
-        return pd.DataFrame({"id": left["id"], "community": layout.modularity_communities(len(left), a, b, w)})
-
-    return per_cluster(t, work, "id long, community long")
+    """Communities inside each cluster, named by their smallest member."""
+    return found_communities(t, (1.0,)).select("id", "community")
 
 
 @query("n05_resolution_sweep")
 def n05(t):
-    """The number of communities of each cluster at rising resolutions."""
-    def work(left, a, b, w):
-        steps = (0.2, 0.5, 1.0, 2.0, 4.0, 8.0)
-        found = [int(layout.modularity_communities(len(left), a, b, w, r).max(initial=-1)) + 1 for r in steps]
-        return pd.DataFrame({"cluster": int(left["cluster"].iloc[0]) if len(left) else -1, "resolution": steps, "communities": found})
-
-    return per_cluster(t, work, "cluster long, resolution double, communities long")
+    """The number of communities of each cluster at rising resolutions, all sought at once."""
+    return found_communities(t, (0.2, 0.5, 1.0, 2.0, 4.0, 8.0)).groupBy("cluster", "resolution").agg(F.countDistinct("community").alias("communities"))
 
 
 def placed(t, steps: int):
@@ -177,12 +186,8 @@ def n11(t):
 
 @query("n12_remove_overlaps")
 def n12(t):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        xy = layout.remove_overlaps(pdf[["x", "y"]].to_numpy(), 0.01)
-        return pd.DataFrame({"id": pdf["id"], "cluster": pdf["cluster"], "x": xy[:, 0], "y": xy[:, 1]})
-
-    return points(t).groupBy("cluster").applyInPandas(run, "id long, cluster long, x double, y double")
+    """Points of a cluster at least 0.05 apart, as far as eight rounds can push them."""
+    return remove_overlaps(points(t), 0.05)
 
 
 @query("n13_dominant_field", "SELECT person_id, arg_max(field, (s, -field)) AS field FROM (SELECT person_id, field, sum(score) AS s FROM person_topics GROUP BY 1, 2) GROUP BY 1")
@@ -288,11 +293,7 @@ def n20c(t):
 
 @query("n21_cluster_hulls")
 def n21(t):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        hull = layout.convex_hull(pdf[["x", "y"]].to_numpy())
-        return pd.DataFrame({"cluster": pdf["cluster"].iloc[0], "corner": range(len(hull)), "x": hull[:, 0], "y": hull[:, 1]})
-
-    return points(t).groupBy("cluster").applyInPandas(run, "cluster long, corner long, x double, y double")
+    return cluster_hulls(points(t))
 
 
 @query("a19_collaboration_matrix", f"SELECT least(p.cluster, q.cluster) AS a, greatest(p.cluster, q.cluster) AS b, sum(w)::DOUBLE AS weight FROM ({EDGES}) e JOIN ({POINTS}) p ON p.id = e.a JOIN ({POINTS}) q ON q.id = e.b GROUP BY 1, 2")
