@@ -195,8 +195,12 @@ def g21(t):
 
 def paper_clusters(t):
     """Papers of one key whose years form a chain with gaps of at most one year; ids of a chain share the smallest."""
+    return chained(t.publications)
+
+
+def chained(papers):
     by = W.partitionBy("venue").orderBy("year", "id")
-    rows = t.publications.withColumn("gap", F.when(F.col("year") - F.lag("year").over(by) <= 1, 0).otherwise(1)).withColumn("island", F.sum("gap").over(by))
+    rows = papers.withColumn("gap", F.when(F.col("year") - F.lag("year").over(by) <= 1, 0).otherwise(1)).withColumn("island", F.sum("gap").over(by))
     return rows.select("id", "venue", F.min("id").over(W.partitionBy("venue", "island")).alias("canonical"))
 
 

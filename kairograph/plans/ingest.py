@@ -11,7 +11,7 @@ from ..functions import text as X
 from ..operators.components import shared_dir
 from ..operators.core import anchors, coauthor_edges, doubled, org_tree, top_per, valid_on
 from ..operators.cv import cv_entries
-from .graph import paper_clusters
+from .graph import chained
 from .oracle import DAY, live
 from .registry import query
 from .relational import EVIDENCE, evidence, unique_names
@@ -258,6 +258,35 @@ def e20(t):
     return t.authors.join(small, "publication_id", "left_semi").where("position <= 4").groupBy("publication_id").agg(F.count("*").alias("authors"))
 
 
+#: Publications for the clean-up; every fiftieth is made up to be a file that no one wrote as a paper.
+KEPT_PAPERS = "SELECT id FROM publications WHERE id % 50 <> 0"
+MERGED = f"""WITH alive AS (SELECT * FROM authors WHERE position <= 4 AND publication_id IN ({KEPT_PAPERS}) AND publication_id IN (SELECT publication_id FROM authors GROUP BY 1 HAVING count(*) < 10)),
+    p AS (SELECT id, venue, year, CASE WHEN year - lag(year) OVER (PARTITION BY venue ORDER BY year, id) <= 1 THEN 0 ELSE 1 END AS gap FROM publications WHERE id IN (SELECT publication_id FROM alive)),
+    i AS (SELECT id, venue, sum(gap) OVER (PARTITION BY venue ORDER BY year, id) AS island FROM p), c AS (SELECT id, min(id) OVER (PARTITION BY venue, island) AS canonical FROM i),
+    r AS (SELECT canonical, id, person_id, position, max(CASE WHEN id = canonical THEN position ELSE 0 END) OVER (PARTITION BY canonical) AS own, row_number() OVER (PARTITION BY canonical, person_id ORDER BY id, position) AS k FROM alive JOIN c ON id = publication_id)
+SELECT canonical AS publication_id, person_id, CASE WHEN id = canonical THEN position ELSE own + row_number() OVER (PARTITION BY canonical, id = canonical ORDER BY id, position) END AS position FROM r WHERE k = 1"""
+
+
+@query("e20_merged_papers", MERGED)
+def e20_merged(t):
+    """The whole clean-up: mega papers, junk titles, late positions and papers left without authors go, then clusters merge.
+
+    The smallest id of a cluster keeps its authors at their positions; people whom only its duplicates name follow
+    behind them, in order of the duplicates and of the positions there.
+    """
+    made_up = F.when(F.col("id") % 50 == 0, "readme.txt").otherwise(F.col("title"))
+    papers = t.publications.where(~X.is_junk_title(made_up)).select(F.col("id").alias("publication_id"))
+    small = t.authors.groupBy("publication_id").agg(F.count("*").alias("n")).where("n < 10").select("publication_id")
+    alive = t.authors.where("position <= 4").join(small, "publication_id", "left_semi").join(papers, "publication_id", "left_semi")
+    left = t.publications.join(alive.select(F.col("publication_id").alias("id")).distinct(), "id", "left_semi")
+    rows = alive.join(chained(left).select(F.col("id").alias("publication_id"), "canonical"), "publication_id")
+    first = F.col("publication_id") == F.col("canonical")
+    rows = rows.withColumn("own", F.max(F.when(first, F.col("position")).otherwise(0)).over(W.partitionBy("canonical")))
+    rows = top_per(rows, ["canonical", "person_id"], ["publication_id", "position"]).withColumn("first", first)
+    place = F.row_number().over(W.partitionBy("canonical", "first").orderBy("publication_id", "position"))
+    return rows.select(F.col("canonical").alias("publication_id"), "person_id", F.when(F.col("first"), F.col("position")).otherwise(F.col("own") + place).cast("long").alias("position"))
+
+
 @query("e21_person_merge", "WITH m AS (SELECT id, min(id) OVER (PARTITION BY firstname, lastname) AS canonical FROM people) SELECT publication_id, canonical AS person_id, min(position) AS position FROM authors JOIN m ON id = person_id GROUP BY 1, 2")
 def e21(t):
     """Links move to the smallest id of a name; links that become equal collapse to the earliest position."""
@@ -274,6 +303,36 @@ def e22(t):
     return t.people.select("id").join(own, "id", "left").join(homes, "id", "left").fillna(0).select("id", "sole_papers", "links", "homes")
 
 
+GONE = "SELECT id FROM people WHERE id % 10 = 3"
+LEFT_AUTHORS = f"SELECT * FROM authors WHERE person_id NOT IN ({GONE})"
+LEFT_PAPERS = f"SELECT p.id, venue, (SELECT count(*) FROM authors a WHERE a.publication_id = p.id) AS before FROM publications p WHERE id IN (SELECT publication_id FROM ({LEFT_AUTHORS})) OR id NOT IN (SELECT publication_id FROM authors)"
+
+
+def erased(t, gone):
+    """The tables without the people of ``gone`` (id): each an anti-join; papers that only they wrote go with them."""
+    no = lambda df, c: df.join(gone.select(F.col("id").alias(c)), c, "left_anti")
+    authors = no(t.authors, "person_id")
+    written = t.authors.select(F.col("publication_id").alias("id")).distinct()
+    orphans = written.join(authors.select(F.col("publication_id").alias("id")), "id", "left_anti")
+    return {"people": no(t.people, "id"), "authors": authors, "publications": t.publications.join(orphans, "id", "left_anti"),
+            "affiliations": no(t.affiliations, "person_id"), "relations": no(no(t.relations, "from_id"), "to_id"), "topics": no(t.person_topics, "person_id")}
+
+
+@query("e22_erasure", f"""SELECT 'people' AS item, count(*) AS rows_left, sum(id)::BIGINT AS ids FROM people WHERE id NOT IN ({GONE})
+    UNION ALL SELECT 'authors', count(*), sum(person_id)::BIGINT FROM ({LEFT_AUTHORS}) UNION ALL SELECT 'publications', count(*), sum(id)::BIGINT FROM ({LEFT_PAPERS})
+    UNION ALL SELECT 'affiliations', count(*), sum(person_id)::BIGINT FROM affiliations WHERE person_id NOT IN ({GONE})
+    UNION ALL SELECT 'relations', count(*), sum(from_id)::BIGINT FROM relations WHERE from_id NOT IN ({GONE}) AND to_id NOT IN ({GONE})
+    UNION ALL SELECT 'topics', count(*), sum(person_id)::BIGINT FROM person_topics WHERE person_id NOT IN ({GONE})""")
+def e22_erasure(t):
+    """What every table holds after a tenth of the people was erased."""
+    keys = {"people": "id", "authors": "person_id", "publications": "id", "affiliations": "person_id", "relations": "from_id", "topics": "person_id"}
+    rows = None
+    for item, df in erased(t, t.people.where("id % 10 = 3").select("id")).items():
+        one = df.agg(F.lit(item).alias("item"), F.count("*").alias("rows_left"), F.sum(keys[item]).cast("long").alias("ids"))
+        rows = one if rows is None else rows.union(one)
+    return rows
+
+
 @query("e23_expired_snapshots", f"SELECT id, url FROM snapshots WHERE expires_at <= {DAY} AND id NOT IN (SELECT snapshot_id FROM ({EVIDENCE}) WHERE org_id % 2 = 0)")
 def e23(t):
     used = evidence(t).where("org_id % 2 = 0").select(F.col("snapshot_id").alias("id"))

@@ -78,6 +78,45 @@ def q04(t):
     return search_people(t, "blue").join(pubs, "id", "left").join(home, "id", "left").select("id", "score", F.coalesce("pubs", F.lit(0)).alias("pubs"), "org_id")
 
 
+def named(c, q: str, short=None):
+    """How well a lower-case name (or its short form) answers ``q``: equal, begins with it, holds it, by rules of search."""
+    both = [F.lower(x) for x in (c, short) if x is not None]
+    any_of = lambda rule: F.greatest(*[F.coalesce(rule(x), F.lit(False)).cast("int") for x in both]) == 1
+    return F.when(any_of(lambda x: x == q), 1.0).when(any_of(lambda x: F.startswith(x, F.lit(q))), 0.7).when(any_of(lambda x: F.contains(x, F.lit(q))), 0.55).otherwise(0.0)
+
+
+@query("q04_search_organizations", f"""SELECT id, round(greatest({SIM.format('a')}, CASE WHEN {SIM.format('b')} >= 0.3 THEN {SIM.format('b')} ELSE 0 END, CASE WHEN n = 'united' OR s = 'united' THEN 1.0 WHEN starts_with(n, 'united') OR starts_with(s, 'united') THEN 0.7 WHEN contains(n, 'united') OR contains(s, 'united') THEN 0.55 ELSE 0 END::DOUBLE), 6)::DOUBLE AS score
+    FROM (SELECT id, lower(name) AS n, lower(coalesce(short_name, '')) AS s, {GRAMS.format('name')} AS a, {GRAMS.format("coalesce(short_name, '')")} AS b, {GRAMS.format(chr(39) + 'united' + chr(39))} AS g FROM organizations WHERE NOT coalesce(is_context_only, false))
+    WHERE {SIM.format('a')} >= 0.3 OR {SIM.format('b')} >= 0.3 OR contains(n, 'united') OR contains(s, 'united')""")
+def q04_organizations(t):
+    return search_organizations(t, "united")
+
+
+def search_organizations(t, q: str):
+    """(id, score): organizations whose name or short name is like ``q`` or holds it; those for context alone stay out."""
+    grams = X.trigrams(F.lit(q))
+    sim = lambda c: X.trigram_similarity(X.trigrams(F.coalesce(c, F.lit(""))), grams)
+    rows = t.organizations.where(~F.coalesce("is_context_only", F.lit(False))).select("id", sim(F.col("name")).alias("a"), sim(F.col("short_name")).alias("b"), named(F.col("name"), q, F.col("short_name")).alias("rule"))
+    return rows.where("a >= 0.3 OR b >= 0.3 OR rule > 0").select("id", F.round(F.greatest("a", F.when(F.col("b") >= 0.3, F.col("b")).otherwise(0.0), "rule"), 6).alias("score"))
+
+
+def aliases(t):
+    """(person_id, alias): made-up other names, the last name with an initial and for some the first name twice."""
+    short = t.people.where("lastname IS NOT NULL").select(F.col("id").alias("person_id"), F.concat("lastname", F.lit(" "), F.substring("firstname", 1, 1)).alias("alias"))
+    return short.union(t.people.where("id % 3 = 0").select("id", F.concat("firstname", F.lit(" "), "firstname")))
+
+
+ALIASES = "SELECT id AS person_id, lastname || ' ' || substring(firstname, 1, 1) AS alias FROM people WHERE lastname IS NOT NULL UNION ALL SELECT id, firstname || ' ' || firstname FROM people WHERE id % 3 = 0"
+
+
+@query("q04_search_aliases", f"SELECT person_id, round(max(CASE WHEN sim >= 0.3 THEN sim ELSE 0.45 END), 6)::DOUBLE AS score FROM (SELECT person_id, alias, {SIM.format('a')} AS sim FROM (SELECT person_id, lower(alias) AS alias, {GRAMS.format('alias')} AS a, {GRAMS.format(chr(39) + 'blue' + chr(39))} AS g FROM ({ALIASES}))) WHERE sim >= 0.3 OR contains(alias, 'blue') GROUP BY 1")
+def q04_aliases(t):
+    """People by their best alias that is like the question or holds it."""
+    sim = X.trigram_similarity(X.trigrams(F.col("alias")), X.trigrams(F.lit("blue")))
+    rows = aliases(t).withColumn("sim", sim).where((F.col("sim") >= 0.3) | F.contains(F.lower("alias"), F.lit("blue")))
+    return rows.groupBy("person_id").agg(F.round(F.max(F.when(F.col("sim") >= 0.3, F.col("sim")).otherwise(0.45)), 6).alias("score"))
+
+
 @query("q05_universities", f"SELECT o.id, name, (SELECT count(*) FROM live_links l WHERE l.parent = o.id) AS children, coalesce(people, 0)::BIGINT AS people FROM organizations o LEFT JOIN (SELECT anc, count(DISTINCT person_id) AS people FROM (SELECT id, unnest(path) AS anc FROM tree) c JOIN affiliations a ON a.org_id = c.id WHERE {live('a.')} GROUP BY 1) ON anc = o.id WHERE kind = 'university' AND NOT coalesce(is_context_only, false)")
 def q05(t):
     rows = t.organizations.where("kind = 'university'").where(~F.coalesce("is_context_only", F.lit(False))).select("id", "name")
