@@ -11,6 +11,7 @@ from ..functions import text as X
 from ..operators.components import shared_dir
 from ..operators.core import anchors, coauthor_edges, doubled, org_tree, top_per, valid_on
 from ..operators.cv import cv_entries
+from ..operators.page_forms import FORMS, read_profiles
 from .graph import chained
 from .oracle import DAY, live
 from .registry import query
@@ -206,6 +207,27 @@ def e16(t):
                                  F.regexp_extract(html, r'<html[^>]*lang="([a-z]+)"', 1).alias("lang"), X.clean_title(F.regexp_extract(html, r"(?s)<p>([^<]+)</p>", 1)).alias("first"))
 
 
+LIFE = "' has written about markets and firms for many years.'"
+
+
+@query("e16_profile_fields", f"""SELECT id AS page_id, 'h' || id % 4 || '.example.org' AS host, CASE id % 4 WHEN 0 THEN 'Professor of ' || firstname || ' · Chair' WHEN 1 THEN 'Chair of ' || firstname || ' · Professor' WHEN 2 THEN 'Lecturer in ' || firstname ELSE 'Dean · Professor of ' || firstname END AS title,
+    firstname || ' ' || lastname || {LIFE} AS biography, CASE WHEN id % 4 < 3 THEN 'https://own.example.com/' || id END AS site, NULL::VARCHAR AS orcid FROM people WHERE length(firstname || ' ' || lastname || {LIFE}) >= 60""")
+def e16_fields(t):
+    """Fields of made-up profile pages of four hosts, a page for each person, read by the form of the host."""
+    n, first = F.col("id").cast("string"), F.col("firstname")
+    life = F.concat("firstname", F.lit(" "), "lastname", F.expr(LIFE))
+    site = F.concat(F.lit("https://own.example.com/"), n)
+    one = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    link = lambda label: one('<a href="https://twitter.com/x">', label, '</a><a href="', site, '">', label, "</a>")
+    kind = F.col("id") % 4
+    html = F.when(kind == 0, one('<div class="hs-font-lead field-hs-person-title"><div>Professor of ', first, '</div><div>Chair</div></div><div class="hb-three-column-w-image__main-body"><div class="body text-with-summary"><p>', life, "</p></div></div>", link("website")))
+    html = html.when(kind == 1, one('<div class="c-node-faculty__endowed-title">Chair of ', first, '</div><div class="c-node-faculty__jaorhfp-title">Professor</div><div class="bio-content"><div>', life, "</div></div>", link("Homepage")))
+    html = html.when(kind == 2, one('<div class="display-position">Lecturer in ', first, '</div><div class="display-homepage"><div><a href="', site, '">x</a></div></div><div class="field--name-field-bio"><div class="field__item">', life, "</div></div>"))
+    html = html.otherwise(one('<section class="post-content"><p class="intro-text"><strong>Dean | Professor of ', first, "</strong></p><p>Short.</p><p>", life, "</p></section>"))
+    pages = t.people.where(F.length(life) >= 60).select(F.col("id").alias("page_id"), one("https://h", kind.cast("string"), ".example.org/p").alias("url"), html.alias("html"))
+    return read_profiles(pages, {f"h{k}.example.org": form for k, form in enumerate(FORMS)})
+
+
 #: An anchor with its address, whatever stands beside it and however it is quoted, and its label with tags inside.
 ANCHOR = r"""(?is)(<a\b[^>]*?\bhref\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"']+)[^>]*>.*?</a\s*>)"""
 
