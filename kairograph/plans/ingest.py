@@ -366,6 +366,15 @@ def e24(t):
     return t.titles.select("id", "title", X.collapse(F.col("title")).alias("new")).where("title <> new").select("id", F.col("new").alias("title"))
 
 
+@query("e24_repaired_titles", "SELECT id, CASE id % 4 WHEN 1 THEN title || ' & more' WHEN 2 THEN 'A paper on ' || title ELSE title END AS title FROM publications WHERE id % 4 > 0")
+def e24_repaired(t):
+    """Titles that clean-up changes, with what they become; three of four are made up to need it (references, thanks, marks)."""
+    kind = F.col("id") % 4
+    dirty = F.when(kind == 1, F.concat("title", F.lit("  &amp;&nbsp;more "))).when(kind == 2, F.concat(F.lit("A paper on "), "title", F.lit(" We thank everyone."))).when(kind == 3, F.concat("title", F.lit("\u2736 Corresponding author"))).otherwise(F.col("title"))
+    rows = t.publications.select("id", dirty.alias("title"))
+    return rows.select("id", "title", X.clean_title(F.col("title")).alias("new")).where("new <> '' AND new <> title").select("id", F.col("new").alias("title"))
+
+
 @query("e25_topic_lineage", "SELECT id, path[1] AS domain, CASE WHEN len(path) >= 2 THEN path[2] END AS field, CASE WHEN len(path) >= 3 THEN path[3] END AS leaf FROM tree")
 def e25(t):
     return org_tree(t).select("id", F.get("path", F.lit(0)).alias("domain"), F.get("path", F.lit(1)).alias("field"), F.get("path", F.lit(2)).alias("leaf"))
