@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embeddings, html_extract, licenses, quality, secret_scan, simhash, toxicity, warc
+from . import bpe, decontaminate, embeddings, html_extract, language_id, licenses, merkle, quality, secret_scan, simhash, toxicity, warc
 from .oracles import ORACLES  # noqa: F401
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -62,6 +62,17 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth document by crc32 comes back with its text in lower case."""
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return merkle.merkle_manifest(table(spark, sf_dir, "documents"), received={"text": F.when(hit, lower).otherwise(F.col("text"))})
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict_held_out(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash_near_dedup, op2_quality_classifier, op3_benchmark_decontamination, op4_embedding_near_dedup, op5_html_extraction,
-    op6_warc, op7_bpe, op8_license_scan, op9_toxicity, op10_secret_scan)}
+    op6_warc, op7_bpe, op8_license_scan, op9_toxicity, op10_secret_scan, op11_merkle_manifest, op12_language_id)}
