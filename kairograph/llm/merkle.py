@@ -15,9 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from .common import materialize
+from .common import materialize, places
 
 FANOUT = 16
 #: Levels of a block: blocks of 4,096 leaves are 256 kB of digests.
@@ -35,21 +34,6 @@ def row_digest(columns: list[Column]) -> Column:
     return F.sha2(F.concat(*map(part, columns)), 256)
 
 
-def places(rows: DataFrame, tree: str, order: list[str]) -> DataFrame:
-    """``rows`` with ``pos`` (place in its tree, from 0, by ``order``) and ``n`` (rows of the tree).
-
-    Rows are dealt by ranges of tree and order, so a tree of any size spreads over tasks, and written once with their
-    number in the range; a range then only needs the counts of the ranges before it, one number for each tree in it.
-    """
-    dealt = rows.repartitionByRange(tree, *order).sortWithinPartitions(tree, *order).withColumn("number", F.monotonically_increasing_id())
-    dealt = materialize(dealt, "places")
-    part = F.shiftright("number", 33).alias("part")
-    runs = dealt.groupBy(tree, part).agg(F.min("number").alias("first"), F.count("*").alias("own"))
-    earlier = W.partitionBy(tree).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    runs = runs.select(tree, "part", (F.coalesce(F.sum("own").over(earlier), F.lit(0)) - F.col("first")).alias("shift"), F.sum("own").over(W.partitionBy(tree)).alias("n"))
-    return dealt.withColumn("part", part).join(runs, [tree, "part"]).withColumn("pos", F.col("number") + F.col("shift")).drop("part", "number", "shift")
-
-
 def levels_above(n: int) -> int:
     """Levels between ``n`` nodes and the one that remains of them."""
     found = 0

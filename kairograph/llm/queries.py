@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embeddings, html_extract, language_id, licenses, merkle, quality, secret_scan, simhash, toxicity, warc
+from . import bpe, collocations, decontaminate, embeddings, html_extract, language_id, licenses, merkle, quality, secret_scan, simhash, toxicity, warc
 from .oracles import ORACLES  # noqa: F401
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -73,6 +73,11 @@ def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict_held_out(table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash_near_dedup, op2_quality_classifier, op3_benchmark_decontamination, op4_embedding_near_dedup, op5_html_extraction,
-    op6_warc, op7_bpe, op8_license_scan, op9_toxicity, op10_secret_scan, op11_merkle_manifest, op12_language_id)}
+    op6_warc, op7_bpe, op8_license_scan, op9_toxicity, op10_secret_scan, op11_merkle_manifest, op12_language_id,
+    op13_collocations)}
