@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from .common import materialize, places, texts
 
 #: Words of a shard; a text is never cut, so a longer one is a longer shard.
-SHARD_WORDS = 1 << 21
+SHARD_WORDS = 1 << 20
 #: Words of the corpus for each bucket of phrases.
 BUCKET_WORDS = 1 << 19
 _LETTERS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
