@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..operators import layout
 from ..operators.core import coauthor_edges, doubled
-from ..operators.spread import cluster_hulls, communities, remove_overlaps
+from ..operators.community import communities, sweep_resolution
+from ..operators.components import ranked, settled
+from ..operators.force import linlog_layout, network_layout, scaled, spring_layout
+from ..operators.pairs import closest_pairs, overlap_rates, separation_ratios
+from ..operators.spread import cluster_hulls, remove_overlaps
+from ..operators.topic import landmark_mds, split_groups
 from .client import POINTS, points
 from .graph import perspective, ties_on_map
 from .oracle import oracle
@@ -57,22 +61,6 @@ def n03(t):
     return disparity(t, 0.4)
 
 
-def per_cluster(t, work, schema: str):
-    """``work`` on the points of each cluster and the ties inside it, which must fit into one task."""
-    p = points(t)
-    label = p.select("id", "cluster")
-    ties = ties_on_map(t).join(label.toDF("person_a", "cluster"), "person_a").join(label.toDF("person_b", "other"), "person_b").where("cluster = other")
-
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values("id").drop_duplicates("id")
-        place = {i: k for k, i in enumerate(left["id"])}
-        right = right.sort_values(["person_a", "person_b"])
-        a, b = (right[c].map(place).to_numpy(int) for c in ("person_a", "person_b"))
-        return work(left, a, b, right["paper_count"].to_numpy(float))
-
-    return p.groupBy("cluster").cogroup(ties.select("cluster", "person_a", "person_b", "paper_count").groupBy("cluster")).applyInPandas(run, schema)
-
-
 def inner_ties(t, resolutions: tuple):
     """(graph, resolution, a, b, w): the ties inside each cluster, once for each resolution."""
     label = points(t).select("id", "cluster").distinct()
@@ -94,77 +82,95 @@ def n04(t):
     return found_communities(t, (1.0,)).select("id", "community")
 
 
+def cluster_targets(n):
+    """The bounds of a readable number of clusters: about one for 40 people, 8 to 30, give or take two."""
+    k = F.greatest(F.lit(8), F.least(F.lit(30), F.bround(n / 40)))
+    return F.greatest(F.lit(2), k - 2).cast("long"), F.least(n, k + 2).cast("long")
+
+
+def bounds(nodes):
+    """(graph, n, least, most) of ``nodes`` (graph, id)."""
+    least, most = cluster_targets(F.col("n"))
+    return nodes.groupBy("graph").agg(F.count("*").alias("n")).select("graph", "n", least.alias("least"), most.alias("most"))
+
+
 @query("n05_resolution_sweep")
 def n05(t):
-    """The number of communities of each cluster at rising resolutions, all sought at once."""
-    return found_communities(t, (0.2, 0.5, 1.0, 2.0, 4.0, 8.0)).groupBy("cluster", "resolution").agg(F.countDistinct("community").alias("communities"))
+    """The resolution at which each cluster falls into a readable number of communities, all sought at once."""
+    nodes = points(t).select(F.col("cluster").alias("graph"), "id").distinct()
+    best, _ = sweep_resolution(inner_ties(t, (1.0,)).select("graph", "a", "b", "w"), bounds(nodes), sections=8, most_rounds=2)
+    return best.withColumnRenamed("graph", "cluster")
+
 
+#: Steps of the layouts of the registered plans: clusters, members. The operators default to 600 and 240.
+STEPS = (16, 8)
 
-def placed(t, steps: int):
-    def work(left, a, b, w):
-        xy = layout.spring_layout(len(left), a, b, w, steps)
-        return pd.DataFrame({"id": left["id"], "cluster": left["cluster"], "x": xy[:, 0], "y": xy[:, 1]})
 
-    return per_cluster(t, work, "id long, cluster long, x double, y double")
+def mapped_edges(t):
+    """(graph, a, b, w): the ties between people on the map, as one graph."""
+    return ties_on_map(t).select(F.lit(0).cast("long").alias("graph"), F.col("person_a").alias("a"), F.col("person_b").alias("b"), F.col("paper_count").cast("double").alias("w"))
+
+
+def one_graph(p):
+    return p.select(F.lit(0).cast("long").alias("graph"), "id", "cluster", "x", "y")
 
 
 @query("n06_cluster_layout")
 def n06(t):
     """Positions of the clusters themselves from the weights between them."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(set(pdf["a"]) | set(pdf["b"]))
-        place = {n: k for k, n in enumerate(names)}
-        pdf = pdf.sort_values(["a", "b"])
-        xy = layout.spring_layout(len(names), pdf["a"].map(place).to_numpy(), pdf["b"].map(place).to_numpy(), pdf["weight"].to_numpy() / pdf["weight"].max(), 300)
-        return pd.DataFrame({"cluster": names, "x": xy[:, 0], "y": xy[:, 1]})
-
-    return cluster_weights(t).where("a <> b").withColumn("all", F.lit(0)).groupBy("all").applyInPandas(run, "cluster long, x double, y double")
+    zero = F.lit(0).cast("long").alias("graph")
+    nodes = points(t).select(zero, F.col("cluster").alias("id")).distinct()
+    ties = cluster_weights(t).where("a <> b").select(zero, F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.col("weight").alias("w"))
+    return linlog_layout(nodes, ties, STEPS[0]).select(F.col("id").alias("cluster"), "x", "y")
 
 
 @query("n07_member_layout")
 def n07(t):
-    return placed(t, 60)
+    """Positions of the members of each cluster by the ties inside it."""
+    nodes = points(t).select(F.col("cluster").alias("graph"), "id").distinct()
+    return spring_layout(nodes, inner_ties(t, (1.0,)).select("graph", "a", "b", "w"), STEPS[1]).select("id", F.col("graph").alias("cluster"), "x", "y")
 
 
 @query("n08_classical_mds")
 def n08(t):
-    """Clusters placed by the distances of their mean profiles."""
-    cells = t.raw("embeddings").select("label", F.posexplode("embedding").alias("k", "x")).groupBy("label", "k").agg(F.avg("x").alias("x"))
-    means = cells.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("k", "x")))["x"].alias("m"))
+    """Clusters placed by the cosines of their mean profiles."""
+    means = centroids(t).groupBy(F.lit(0).cast("long").alias("grp"), F.col("label").cast("long").alias("id")).agg(profile_of("topic", "x"))
+    return landmark_mds(means).select(F.col("id").alias("cluster"), "x", "y")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("label")
-        x = np.array(pdf["m"].tolist(), float)
-        xy = layout.classical_mds(np.sqrt(((x[:, None] - x[None, :]) ** 2).sum(-1)))
-        return pd.DataFrame({"cluster": pdf["label"], "x": xy[:, 0], "y": xy[:, 1]})
 
-    return means.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(run, "cluster long, x double, y double")
-
-
-@query("n09_normalise_canvas", f"SELECT id, round((x - cx) * 0.88 / span, 6)::DOUBLE AS x, round((y - cy) * 0.88 / span, 6)::DOUBLE AS y FROM ({POINTS}) CROSS JOIN (SELECT (max(x) + min(x)) / 2 AS cx, (max(y) + min(y)) / 2 AS cy, greatest(max(x) - min(x), max(y) - min(y), 1e-9::DOUBLE) / 2 AS span FROM ({POINTS}))")
+@query("n09_normalise_canvas", f"SELECT id, round((x - cx) * 0.88 / span, 6)::DOUBLE AS x, round((y - cy) * 0.88 / span, 6)::DOUBLE AS y FROM ({POINTS}) CROSS JOIN (SELECT avg(x) AS cx, avg(y) AS cy, greatest(max(x) - min(x), max(y) - min(y), 1e-9::DOUBLE) / 2 AS span FROM ({POINTS}))")
 def n09(t):
     return normalised(points(t)).select("id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
 def normalised(p):
-    mid = lambda c: ((F.max(c) + F.min(c)) / 2)
-    box = p.agg(mid("x").alias("cx"), mid("y").alias("cy"), (F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.lit(1e-9)) / 2).alias("span"))
+    """Points around their mean, the larger extent on 0.88 of a canvas of side two."""
+    box = p.agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), (F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.lit(1e-9)) / 2).alias("span"))
     return p.join(F.broadcast(box)).withColumns({"x": (F.col("x") - F.col("cx")) * 0.88 / F.col("span"), "y": (F.col("y") - F.col("cy")) * 0.88 / F.col("span")}).drop("cx", "cy", "span")
 
 
-@query("n10_topic_clusters")
-def n10(t):
-    """People by dominant field; a field over the threshold is split by least rise of squares."""
-    field = dominant_field(t)
-    profiles = t.raw("embeddings").select(F.col("vec_id").alias("person_id"), F.col("embedding").alias("v")).join(field, "person_id")
+def profile_of(topic: str, x: str):
+    """A profile: (topic, x) by rising topic."""
+    return F.array_sort(F.collect_list(F.struct(F.col(topic).cast("long").alias("topic"), F.col(x).alias("x")))).alias("profile")
+
+
+def unit_profiles(t):
+    """(id, profile): TF-IDF topic profiles of length one."""
+    return n14(t).groupBy(F.col("person_id").alias("id")).agg(profile_of("topic", "x"))
+
+
+def topic_clusters(t):
+    """(id, grp, part): people by dominant field; a field of over max(20, n / 40) people falls into parts of about 40."""
+    n = t.raw("embeddings").count()
+    fields = all_fields(t).select(F.col("person_id").alias("id"), F.col("field").alias("grp"))
+    profiles = unit_profiles(t)
+    known = split_groups(fields.where("grp >= 0").join(profiles, "id"), least=max(20, round(n / 40)))
+    return known.union(fields.where("grp < 0").select("id", "grp", F.lit(0).cast("long").alias("part")))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("person_id")
-        parts = max(2, -(-len(pdf) // 40)) if len(pdf) > 60 else 1
-        labels = layout.ward_labels(np.array(pdf["v"].tolist(), float), parts) if parts > 1 else np.zeros(len(pdf), int)
-        return pd.DataFrame({"person_id": pdf["person_id"], "field": pdf["field"], "part": labels})
 
-    return profiles.groupBy("field").applyInPandas(run, "person_id long, field long, part long")
+@query("n10_topic_clusters")
+def n10(t):
+    return topic_clusters(t).select(F.col("id").alias("person_id"), F.col("grp").alias("field"), "part")
 
 
 BRIDGE = f"WITH e AS (SELECT person_a AS n, person_b AS o, paper_count::DOUBLE AS w FROM edges UNION ALL SELECT person_b, person_a, paper_count::DOUBLE FROM edges), p AS ({POINTS}), c AS (SELECT cluster, avg(x) AS cx, avg(y) AS cy FROM p GROUP BY 1), f AS (SELECT e.n, q.cluster AS k, q.cluster = p.cluster AS own, sum(w) AS w FROM e JOIN p ON p.id = e.n JOIN p q ON q.id = e.o GROUP BY 1, 2, 3), g AS (SELECT *, row_number() OVER (PARTITION BY n, own ORDER BY w DESC, k) AS rn FROM f), a AS (SELECT n, sum(w) AS total, coalesce(sum(w) FILTER (NOT own), 0) AS ext, coalesce(sum(w) FILTER (NOT own AND rn <= 2), 0) AS top, sum(w * cx) / sum(w) AS x, sum(w * cy) / sum(w) AS y FROM g JOIN c ON c.cluster = g.k GROUP BY 1) SELECT n AS id, round(x, 6)::DOUBLE AS x, round(y, 6)::DOUBLE AS y FROM a WHERE ext / total >= 0.5 AND top >= 0.8::DOUBLE * ext"
@@ -190,9 +196,14 @@ def n12(t):
     return remove_overlaps(points(t), 0.05)
 
 
-@query("n13_dominant_field", "SELECT person_id, arg_max(field, (s, -field)) AS field FROM (SELECT person_id, field, sum(score) AS s FROM person_topics GROUP BY 1, 2) GROUP BY 1")
+@query("n13_dominant_field", "SELECT vec_id AS person_id, coalesce(field, -1) AS field FROM embeddings LEFT JOIN (SELECT person_id, arg_max(field, (s, -field)) AS field FROM (SELECT person_id, field, sum(score) AS s FROM person_topics GROUP BY 1, 2) GROUP BY 1) ON person_id = vec_id")
 def n13(t):
-    return dominant_field(t)
+    return all_fields(t)
+
+
+def all_fields(t):
+    """Everybody's dominant field, -1 without any topic."""
+    return t.raw("embeddings").select(F.col("vec_id").alias("person_id")).join(dominant_field(t), "person_id", "left").select("person_id", F.coalesce("field", F.lit(-1).cast("long")).alias("field"))
 
 
 def dominant_field(t):
@@ -236,30 +247,71 @@ def n16(t):
 
 @query("n17_network_layout")
 def n17(t):
-    """Members around the centre of their cluster, scaled to its footprint, on one canvas."""
-    local = placed(t, 60)
-    by = W.partitionBy("cluster")
-    reach = F.greatest(F.max(F.greatest(F.abs("x"), F.abs("y"))).over(by), F.lit(1e-9))
-    scale = (0.03 + 0.002 * F.sqrt(F.count("*").over(by))) / reach
-    angle = F.col("cluster") * 0.61803398875 * 2 * F.pi()
-    rows = local.select("id", "cluster", (F.cos(angle) + F.col("x") * scale).alias("x"), (F.sin(angle) + F.col("y") * scale).alias("y"))
-    return normalised(rows)
+    """The map from given clusters: cluster and member layouts, bridges, orphans, canvas and gaps."""
+    labels = points(t).select(F.lit(0).cast("long").alias("graph"), "id", "cluster").distinct()
+    return network_layout(labels, mapped_edges(t), steps=STEPS)[0].select("id", "cluster", "x", "y")
+
+
+#: Levels of the backbone filter, in the order of preference; the strongest ties come last.
+LADDER = (0.05, 0.1, 0.2, 0.5)
+
+
+def backbones(edges, n: int):
+    """(graph, a, b, w): the filter of ``edges`` (a, b, w) at each level as a graph of its own, and the strongest 3 n ties."""
+    ends = doubled(edges, "a", "b").groupBy(F.col("person_id").alias("n")).agg(F.sum("w").alias("s"), F.count("*").alias("k"))
+    rows = edges.join(ends.toDF("a", "sa", "ka"), "a").join(ends.toDF("b", "sb", "kb"), "b")
+    p = lambda x: F.when(F.col("k" + x) > 1, F.pow(1 - F.col("w") / F.col("s" + x), F.col("k" + x) - 1)).otherwise(1.0)
+    p_value = F.when((F.col("ka") == 1) & (F.col("kb") == 1), -1.0).otherwise(F.least(p("a"), p("b")))
+    levels = F.explode(F.array(*[F.struct(F.lit(g).cast("long").alias("graph"), F.lit(alpha).alias("alpha")) for g, alpha in enumerate(LADDER)])).alias("l")
+    kept = rows.select("a", "b", "w", p_value.alias("p"), levels).where("p < l.alpha").select("l.graph", "a", "b", "w")
+    strong = ranked(rows.select("a", "b", (F.col("w") / (F.col("sa") * F.col("sb"))).alias("w")), [F.desc("w"), F.asc("a"), F.asc("b")]).where(F.col("place") <= 3 * n)
+    total = edges.agg((2 * F.sum("w")).alias("m2"))
+    strong = strong.join(F.broadcast(total)).select(F.lit(len(LADDER)).cast("long").alias("graph"), "a", "b", (F.col("w") * F.col("m2")).alias("w"))
+    return settled(kept.union(strong))
+
+
+def network_view(t):
+    """The best map: every backbone is searched for a readable number of communities; of those that have one, the map with the clearest clusters."""
+    nodes = settled(points(t).select("id").distinct())
+    edges = settled(mapped_edges(t))
+    n = nodes.count()
+    candidates = backbones(edges.select("a", "b", "w"), n)
+    graphs = candidates.select("graph").distinct()
+    best, labels = sweep_resolution(candidates, bounds(nodes.crossJoin(F.broadcast(graphs))), sections=8, most_rounds=2)
+    found = {r["graph"]: r for r in best.collect()}  # one row for each level of the ladder
+    fitting = [g for g in sorted(found) if found[g]["fits"]]
+    most = max(8, min(30, round(n / 40))) + 2
+    fallback = [g for g in sorted(found)]
+    chosen = fitting or (fallback[-1:] if fallback and found[fallback[0]]["communities"] > most else fallback[:1])
+    own = nodes.crossJoin(F.broadcast(graphs.where(F.col("graph").isin(chosen))))
+    own = own.join(labels.withColumnRenamed("node", "id"), ["graph", "id"], "left").select("graph", "id", F.coalesce("community", "id").alias("cluster"))
+    ties = edges.drop("graph").crossJoin(F.broadcast(graphs.where(F.col("graph").isin(chosen))))
+    placed, _ = network_layout(own, ties.select("graph", "a", "b", "w"), steps=STEPS)
+    ratio = separation_ratios(placed) if chosen else {}
+    top = min(ratio, key=lambda g: (-ratio[g], g), default=-1)
+    tag = "knn" if top == len(LADDER) else f"disparity{LADDER[top]}"
+    return placed.where(F.col("graph") == top).select("id", "cluster", "x", "y", F.lit(tag).alias("backbone"), F.lit(float(found[top]["resolution"]) if found else None).cast("double").alias("resolution"), F.lit(ratio.get(top)).cast("double").alias("separation"))
 
 
 @query("n18_backbone_ladder")
 def n18(t):
-    """Edges kept at each level of the filter."""
-    s = strengths(t)
-    rows = weighted(t).join(s.toDF("a", "sa", "ka"), "a").join(s.toDF("b", "sb", "kb"), "b")
-    p = lambda x: F.when(F.col("k" + x) > 1, F.pow(1 - F.col("w") / F.col("s" + x), F.col("k" + x) - 1)).otherwise(1.0)
-    level = rows.select(F.when((F.col("ka") == 1) & (F.col("kb") == 1), 0.0).otherwise(F.least(p("a"), p("b"))).alias("p"))
-    return level.agg(*[F.count_if(F.col("p") < a).alias(f"kept_{i}") for i, a in enumerate((0.05, 0.1, 0.2, 0.5))])
+    return network_view(t)
 
 
 @query("n19_topic_view")
 def n19(t):
-    parts = n10(t)
-    return parts.groupBy("field", "part").agg(F.count("*").alias("members"), F.min("person_id").alias("first"))
+    """The map by topics: clusters by the cosines of their mean profiles, members around them by their own."""
+    labels = topic_clusters(t).select("id", (F.col("grp") * 1_000_000 + F.col("part")).alias("cluster"))
+    members = settled(unit_profiles(t).join(labels, "id"))
+    mean = members.select("cluster", F.explode("profile").alias("c")).groupBy("cluster", "c.topic").agg(F.sum("c.x").alias("x"))
+    centres = landmark_mds(mean.groupBy(F.lit(0).cast("long").alias("grp"), F.col("cluster").alias("id")).agg(profile_of("topic", "x")))
+    local = landmark_mds(members.select("id", F.col("cluster").alias("grp"), "profile"))
+    size = local.groupBy("grp").agg(F.count("*").alias("n"), F.greatest(F.max(F.abs("x")), F.max(F.abs("y")), F.lit(1e-9)).alias("reach"))
+    by = F.when(F.col("n") > 1, (0.03 + 0.002 * F.sqrt("n")) / F.col("reach")).otherwise(0.0)
+    local = local.join(size, "grp").select(F.col("grp").alias("cluster"), "id", (F.col("x") * by).alias("lx"), (F.col("y") * by).alias("ly"))
+    at = local.join(centres.select(F.col("id").alias("cluster"), "x", "y"), "cluster").select(F.lit(0).cast("long").alias("graph"), "id", (F.col("x") + F.col("lx")).alias("x"), (F.col("y") + F.col("ly")).alias("y"))
+    apart = remove_overlaps(settled(scaled(at, 2.0 * 0.88).withColumnRenamed("graph", "cluster")), 0.02).drop("cluster")
+    return apart.join(labels, "id").select("id", F.expr("cluster div 1000000").alias("field"), (F.col("cluster") % 1_000_000).alias("part"), "x", "y")
 
 
 METRICS = f"SELECT round((SELECT sum(m) / sum(n) FROM (SELECT label, max(n) AS m, sum(n) AS n FROM (SELECT label, field, count(*) AS n FROM embeddings JOIN (SELECT person_id, arg_max(field, (s, -field)) AS field FROM (SELECT person_id, field, sum(score) AS s FROM person_topics GROUP BY 1, 2) GROUP BY 1) ON person_id = vec_id GROUP BY 1, 2) GROUP BY 1)), 6)::DOUBLE AS purity"
@@ -274,12 +326,27 @@ def n20(t):
 
 @query("n20_separation", f"SELECT round(median(d) FILTER (p.cluster <> q.cluster) / greatest(median(d) FILTER (p.cluster = q.cluster), 1e-9::DOUBLE), 5)::DOUBLE AS separation FROM (SELECT a.cluster AS c1, b.cluster AS c2, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM ({POINTS}) a JOIN ({POINTS}) b ON a.id < b.id)".replace("p.cluster", "c1").replace("q.cluster", "c2"))
 def n20b(t):
-    """Median distance between clusters over the median within them; the points of a map are few by design."""
-    p = points(t)
-    d = F.sqrt(F.pow(F.col("x") - F.col("x2"), 2) + F.pow(F.col("y") - F.col("y2"), 2))
-    pairs = p.join(p.toDF("id2", "x2", "y2", "cluster2"), F.col("id") < F.col("id2")).select((F.col("cluster") == F.col("cluster2")).alias("same"), d.alias("d"))
-    m = pairs.agg(F.median(F.when(~F.col("same"), F.col("d"))).alias("inter"), F.median(F.when(F.col("same"), F.col("d"))).alias("intra"))
-    return m.select(F.round(F.coalesce("inter", F.lit(0.0)) / F.greatest("intra", F.lit(1e-9)), 5).alias("separation"))
+    """Median distance between clusters over the median within them, by counting pairs of cells."""
+    ratio = separation_ratios(one_graph(points(t)))
+    return t.spark.createDataFrame([(round(v, 5),) for v in ratio.values()], "separation double")
+
+
+NEAR = f"SELECT count(*) AS n, count(*) FILTER (a.cluster <> b.cluster) AS far FROM ({POINTS}) a JOIN ({POINTS}) b ON a.id < b.id AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) < 0.02"
+
+
+@query("n20_overlap_rate", f"SELECT round(CASE WHEN n = 0 THEN 0 ELSE far / n END, 6)::DOUBLE AS overlap FROM ({NEAR})")
+def n20d(t):
+    """The share of pairs of different clusters among the pairs of points nearer than 0.02."""
+    rate = overlap_rates(one_graph(points(t)))
+    return t.spark.createDataFrame([(round(v, 6),) for v in rate.values()], "overlap double")
+
+
+@query("n20_gold_pairs", f"SELECT from_id, to_id, round(sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2), 6)::DOUBLE AS distance FROM relations JOIN ({POINTS}) p ON p.id = from_id JOIN ({POINTS}) q ON q.id = to_id")
+def n20e(t):
+    """The distance of pairs that are known to belong together, here advisors and advisees on the map."""
+    at = lambda k, x, y: points(t).select(F.col("id").alias(k), F.col("x").alias(x), F.col("y").alias(y))
+    rows = t.relations.select("from_id", "to_id").join(at("from_id", "x1", "y1"), "from_id").join(at("to_id", "x2", "y2"), "to_id")
+    return rows.select("from_id", "to_id", F.round(F.sqrt((F.col("x1") - F.col("x2")) ** 2 + (F.col("y1") - F.col("y2")) ** 2), 6).alias("distance"))
 
 
 @query("n20_fidelity", f"SELECT round(avg(d), 6)::DOUBLE AS fidelity FROM (SELECT d, row_number() OVER (ORDER BY w DESC, a, b) AS rn, count(*) OVER () AS n FROM (SELECT e.a, e.b, w, sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2) AS d FROM ({EDGES}) e JOIN ({POINTS}) p ON p.id = e.a JOIN ({POINTS}) q ON q.id = e.b)) WHERE rn <= greatest(1, n // 10)")
@@ -296,6 +363,12 @@ def n21(t):
     return cluster_hulls(points(t))
 
 
+@query("n21_closest_pair", f"SELECT c.cluster, round(min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)), 9)::DOUBLE AS d FROM (SELECT DISTINCT cluster FROM ({POINTS})) c LEFT JOIN ({POINTS}) a ON a.cluster = c.cluster LEFT JOIN ({POINTS}) b ON b.cluster = a.cluster AND a.id < b.id GROUP BY 1")
+def n21b(t):
+    """The smallest distance of two points of each cluster."""
+    return closest_pairs(points(t).select("cluster", "x", "y")).select("cluster", F.round("d", 9).alias("d"))
+
+
 @query("a19_collaboration_matrix", f"SELECT least(p.cluster, q.cluster) AS a, greatest(p.cluster, q.cluster) AS b, sum(w)::DOUBLE AS weight FROM ({EDGES}) e JOIN ({POINTS}) p ON p.id = e.a JOIN ({POINTS}) q ON q.id = e.b GROUP BY 1, 2")
 def a19(t):
     return cluster_weights(t).select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "weight")

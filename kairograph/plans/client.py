@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from ..functions import text as X
 from ..operators.components import ranked
 from ..operators.core import coauthor_edges, doubled
+from ..operators.pairs import closest_pairs
 from .graph import ties_on_map
 from .registry import query
 from .relational import all_links, top_coauthors
@@ -26,9 +27,27 @@ def c01(t):
     return points(t).groupBy("cluster").agg(F.min("x").alias("x0"), wide("x").alias("x1"), F.min("y").alias("y0"), wide("y").alias("y1"))
 
 
-@query("c02_fit_scale", f"SELECT cluster, round(least(3.0, 800 / greatest(max(x) - min(x), 0.001)), 6)::DOUBLE AS scale FROM ({POINTS}) GROUP BY 1")
+#: The screen, its margin, and the rule for small maps: so many pixels between the nearest points, so much closer at most.
+SCREEN = (800, 600)
+MARGIN, GAP, FEW, CLOSER = 24, 46, 250, 3
+
+FIT = f"SELECT cluster, count(*) AS n, avg(x) AS mx, avg(y) AS my, (min(x) + CASE WHEN max(x) > min(x) THEN max(x) ELSE min(x) + 1 END) / 2 AS cx, (min(y) + CASE WHEN max(y) > min(y) THEN max(y) ELSE min(y) + 1 END) / 2 AS cy, least({SCREEN[0] - 2 * MARGIN} / CASE WHEN max(x) > min(x) THEN max(x) - min(x) ELSE 1 END, {SCREEN[1] - 2 * MARGIN} / CASE WHEN max(y) > min(y) THEN max(y) - min(y) ELSE 1 END) AS fit FROM ({POINTS}) GROUP BY 1"
+CLOSEST = f"SELECT a.cluster, min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS d FROM ({POINTS}) a JOIN ({POINTS}) b ON a.cluster = b.cluster AND a.id < b.id GROUP BY 1"
+
+
+@query("c02_fit_scale", f"SELECT cluster, round(s, 4)::DOUBLE AS scale, round(CASE WHEN s > fit THEN {SCREEN[0] / 2} - s * mx ELSE {SCREEN[0] / 2} - s * cx END, 4)::DOUBLE AS tx, round(CASE WHEN s > fit THEN {SCREEN[1] / 2} + s * my ELSE {SCREEN[1] / 2} + s * cy END, 4)::DOUBLE AS ty FROM (SELECT *, CASE WHEN n BETWEEN 2 AND {FEW} AND d > 1e-9 THEN greatest(fit, least({GAP} / d, fit * {CLOSER})) ELSE fit END AS s FROM ({FIT}) LEFT JOIN ({CLOSEST}) USING (cluster))")
 def c02(t):
-    return points(t).groupBy("cluster").agg(F.round(F.least(F.lit(3.0), 800 / F.greatest(F.max("x") - F.min("x"), F.lit(0.001))), 6).alias("scale"))
+    """The view of each cluster: its box fits the screen; small maps come closer until their nearest points part."""
+    p = points(t)
+    wide = lambda c: F.when(F.max(c) > F.min(c), F.max(c) - F.min(c)).otherwise(1.0)
+    room = [SCREEN[k] - 2 * MARGIN for k in (0, 1)]
+    box = p.groupBy("cluster").agg(F.count("*").alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), *[(F.min(c) + wide(c) / 2).alias("c" + c) for c in "xy"], F.least(room[0] / wide("x"), room[1] / wide("y")).alias("fit"))
+    near = closest_pairs(p.join(box.where(F.col("n") <= FEW), "cluster", "left_semi").select("cluster", "x", "y"))
+    rows = box.join(near, "cluster", "left")
+    s = F.when(F.col("n").between(2, FEW) & (F.col("d") > 1e-9), F.greatest("fit", F.least(GAP / F.col("d"), F.col("fit") * CLOSER))).otherwise(F.col("fit"))
+    rows = rows.withColumn("s", s)
+    mid = lambda c: F.col("s") * F.when(F.col("s") > F.col("fit"), F.col("m" + c)).otherwise(F.col("c" + c))
+    return rows.select("cluster", F.round("s", 4).alias("scale"), F.round(SCREEN[0] / 2 - mid("x"), 4).alias("tx"), F.round(SCREEN[1] / 2 + mid("y"), 4).alias("ty"))
 
 
 @query("c03_focus_anchor", f"SELECT cluster, round(avg(x), 6)::DOUBLE AS x, round(avg(y), 6)::DOUBLE AS y FROM ({POINTS}) GROUP BY 1")
