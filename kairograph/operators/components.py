@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -43,16 +44,33 @@ def connected_components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
     raise RuntimeError("components not settled")
 
 
-def reachable(start: DataFrame, links: DataFrame, most: int) -> DataFrame:
-    """(id, distance) of what ``start`` (id) reaches over directed (a, b) within ``most`` steps, frontier by frontier."""
-    seen = settled(start.select("id", F.lit(0).cast("long").alias("distance")))
-    for d in range(1, most + 1):
-        new = seen.where(F.col("distance") == d - 1).join(links, F.col("id") == F.col("a")).select(F.col("b").alias("id")).distinct().join(seen, "id", "left_anti")
+def reachable(start: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, distance) of all that ``start`` (id) reaches over directed (a, b), frontier by frontier until nothing is new."""
+    seen = settled(start.select("id", F.lit(0).cast("long").alias("distance")).distinct())
+    d = 0
+    while True:
+        d += 1
+        new = seen.where(F.col("distance") == d - 1).join(links, F.col("id") == F.col("a")).select(F.col("b").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
         new = settled(new.withColumn("distance", F.lit(d).cast("long")))
         if new.isEmpty():
-            break
-        seen = seen.union(new)
-    return seen
+            return seen
+        seen = settled(seen.union(new)) if d % 16 == 0 else seen.union(new)
+
+
+def chains(links: DataFrame) -> DataFrame:
+    """(id, steps, top): the longest way up from each ``a`` of ``links`` (a, b) and where it ends, the smallest of several.
+
+    Ways are followed until none goes on; a way stops before it would come back to where it was.
+    """
+    links = settled(links.select("a", "b").distinct())
+    ends = links.select(F.col("a").alias("id")).distinct().select("id", F.lit(0).cast("long").alias("steps"), F.col("id").alias("top"), F.array("id").alias("way"))
+    found, walk = [], settled(ends)
+    while not walk.isEmpty():
+        found.append(walk.select("id", "steps", "top"))
+        on = walk.join(links, F.col("top") == F.col("a")).where(~F.array_contains("way", F.col("b")))
+        walk = settled(on.select("id", (F.col("steps") + 1).alias("steps"), F.col("b").alias("top"), F.array_append("way", F.col("b")).alias("way")))
+    rows = reduce(DataFrame.union, found) if found else walk.select("id", "steps", "top")
+    return rows.groupBy("id").agg(F.max("steps").alias("steps"), F.max_by("top", F.struct("steps", -F.col("top"))).alias("top"))
 
 
 def ranked(df: DataFrame, order: list) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..operators.components import connected_components, reachable, settled
+from ..operators.components import chains, connected_components, reachable, settled
 from ..operators.core import anchors, closure, coauthor_edges, doubled, live_org_links, org_tree, top_per, valid_on
 from .oracle import DAY, live
 from .registry import query
@@ -158,24 +158,22 @@ def g16(t):
     return t.affiliations.join(names, "org_id", "left").select("id", "person_id", "org", "valid_from", "valid_to", place.alias("place"))
 
 
-@query("g17_bfs_distances", "WITH RECURSIVE e AS (SELECT from_id AS a, to_id AS b FROM relations UNION SELECT to_id, from_id FROM relations), walk AS (SELECT 1::BIGINT AS id, 0 AS d UNION SELECT b, d + 1 FROM walk JOIN e ON a = id WHERE d < 8) SELECT id, min(d)::BIGINT AS distance FROM walk GROUP BY 1")
+@query("g17_bfs_distances", "WITH RECURSIVE e AS (SELECT from_id AS a, to_id AS b FROM relations UNION SELECT to_id, from_id FROM relations), walk AS (SELECT 1::BIGINT AS id, 0 AS d UNION SELECT b, d + 1 FROM walk JOIN e ON a = id WHERE d < (SELECT count(*) FROM relations)) SELECT id, min(d)::BIGINT AS distance FROM walk GROUP BY 1")
 def g17(t):
     ends = doubled(t.relations.select("from_id", "to_id"), "from_id", "to_id").select(F.col("person_id").alias("a"), F.col("other_id").alias("b"))
-    return reachable(t.spark.range(1, 2), ends, 8)
+    return reachable(t.spark.range(1, 2), ends)
 
 
 @query("g18_reach_without_hub")
 def g18(t):
     """What the first person reaches over advising links when person 2 is taken out."""
     ends = doubled(t.relations.where("from_id <> 2 AND to_id <> 2").select("from_id", "to_id"), "from_id", "to_id").select(F.col("person_id").alias("a"), F.col("other_id").alias("b"))
-    return reachable(t.spark.range(1, 2), ends, 8)
+    return reachable(t.spark.range(1, 2), ends)
 
 
-@query("g19_advisor_chains", "WITH RECURSIVE walk AS (SELECT from_id AS id, from_id AS cur, 0 AS d FROM relations UNION ALL SELECT w.id, r.to_id, d + 1 FROM walk w JOIN relations r ON r.from_id = w.cur WHERE d < 20) SELECT id, max(d)::BIGINT AS steps, arg_max(cur, d) AS top FROM walk GROUP BY 1")
+@query("g19_advisor_chains", "WITH RECURSIVE walk AS (SELECT from_id AS id, from_id AS cur, 0 AS d, [from_id] AS way FROM relations UNION ALL SELECT w.id, r.to_id, d + 1, list_append(way, r.to_id) FROM walk w JOIN relations r ON r.from_id = w.cur WHERE NOT list_contains(way, r.to_id)) SELECT id, max(d)::BIGINT AS steps, arg_max(cur, (d, -cur)) AS top FROM walk GROUP BY 1")
 def g19(t):
-    return t.spark.sql("""
-        WITH RECURSIVE walk AS (SELECT from_id AS id, from_id AS at, 0 AS d FROM {r} UNION ALL SELECT w.id, r.to_id, d + 1 FROM walk w JOIN {r} r ON r.from_id = w.at WHERE d < 20)
-        SELECT id, CAST(max(d) AS BIGINT) AS steps, max_by(at, d) AS top FROM walk GROUP BY id""", r=t.relations.select("from_id", "to_id"))
+    return chains(t.relations.select(F.col("from_id").alias("a"), F.col("to_id").alias("b")))
 
 
 @query("g20_neighbours", "SELECT a.id, string_agg(b.id || '', ',' ORDER BY b.label, b.id) AS neighbours FROM (SELECT person_id AS id, other_id FROM ties) a JOIN (SELECT id, lastname || ' ' || firstname AS label FROM people) b ON b.id = a.other_id GROUP BY 1")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators.grams import similar_names
 from .registry import query
 
 MASK = 0x1F3A5C7E9B2D4F60
@@ -218,6 +219,18 @@ def f27(t):
     return t.titles.select("id", F.round(X.trigram_similarity(X.trigrams(F.col("title")), q), 6).alias("similarity"))
 
 
+NAMED = f"SELECT id, firstname || ' ' || lastname AS name, {GRAMS.format(chr(40) + 'firstname || chr(32) || lastname' + chr(41))} AS g FROM people WHERE lastname IS NOT NULL"
+ASKED = f"SELECT question, {GRAMS.format('question')} AS q FROM (SELECT DISTINCT lastname AS question FROM people WHERE lastname IS NOT NULL)"
+
+
+@query("f27_similar_names", f"SELECT question, id, round({SIMILARITY.format('g', 'q')}, 6)::DOUBLE AS similarity FROM ({NAMED}) JOIN ({ASKED}) ON {SIMILARITY.format('g', 'q')} >= 0.3")
+def f27b(t):
+    """Every last name asked against all full names."""
+    asked = t.people.where("lastname IS NOT NULL").select(F.col("lastname").alias("question"))
+    names = t.people.where("lastname IS NOT NULL").select("id", F.concat_ws(" ", "firstname", "lastname").alias("name"))
+    return similar_names(asked, names).withColumn("similarity", F.round("similarity", 6))
+
+
 @query("f28_sort_key", "SELECT id, lower(lastname) || chr(9) || lower(firstname) AS sort_key FROM people")
 def f28(t):
     return t.people.select("id", F.concat(F.lower("lastname"), F.lit("\t"), F.lower("firstname")).alias("sort_key"))

@@ -26,7 +26,7 @@ def test_components_and_distances(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (7, 8), (9, 9)], "src long, dst long")
     assert dict(connected_components(links).collect()) == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 9}
     chain = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4)], "a long, b long")
-    assert dict(reachable(spark.range(1, 2), chain, 9).collect()) == {1: 0, 2: 1, 3: 2, 4: 3}
+    assert dict(reachable(spark.range(1, 2), chain).collect()) == {1: 0, 2: 1, 3: 2, 4: 3}
 
 
 def test_text_functions(spark):
