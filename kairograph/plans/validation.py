@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..operators.limiter import limit_table
 from .registry import query
 from .relational import evidence
 
@@ -56,20 +57,39 @@ def v05(t):
     return t.raw("lineitem").groupBy("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber")).agg(F.count("*").alias("n")).where("n > 1")
 
 
-@query("x01_rate_limit_window", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECONDS PRECEDING AND CURRENT ROW) AS recent FROM events")
+LIMIT, WINDOW = 1, 60_000_000
+FOLD = f"WITH RECURSIVE e AS (SELECT event_id, event_type, epoch_us(ts) AS stamp, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k FROM events), f AS (SELECT event_id, event_type, k, true AS allowed, [stamp] AS kept FROM e WHERE k = 1 UNION ALL SELECT event_id, event_type, k, len(old) < {LIMIT}, CASE WHEN len(old) < {LIMIT} THEN list_append(old, stamp) ELSE old END FROM (SELECT e.*, list_filter(f.kept, lambda s: s > e.stamp - {WINDOW}) AS old FROM f JOIN e ON e.event_type = f.event_type AND e.k = f.k + 1))"
+
+
+@query("x01_rate_limit_window", f"{FOLD} SELECT event_id, allowed FROM f")
 def x01(t):
-    """Requests of a key in the hour before each one, itself included."""
-    second = F.unix_micros(F.col("ts").cast("timestamp"))
-    recent = F.count("*").over(W.partitionBy("user_id").orderBy(second).rangeBetween(-3_600_000_000, 0))
-    return t.raw("events").select("event_id", recent.alias("recent"))
+    """Whether each event passes a limit of one a minute for its type; what is denied does not count."""
+    rows = t.raw("events").select(F.col("event_type").alias("key"), F.col("event_id").alias("id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return limit_table(rows, LIMIT, WINDOW).select(F.col("id").alias("event_id"), "allowed")
+
+
+#: A made-up forwarding chain for each event: the table has none.
+CHAIN = ["203.0.113.7", "2001:db8::{n}", "999.1.1.{n}", "10.0.0.{n}", "fe80:::1", "unknown", "::ffff:10.1.2.{n}", "1.2.3"]
+OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+FOUR = rf"{OCTET}(\.{OCTET}){{3}}"
+GROUP = "[0-9a-fA-F]{1,4}"
+#: An address of eight groups, or of at most seven around one double colon, the last two of which may be four octets.
+SIX = rf"(({GROUP}:){{7}}{GROUP}|({GROUP}:){{6}}{FOUR}|(?=[^:]*(:[^:]+)*::)(?!.*::.*::)(?!(:*+[0-9a-fA-F]++){{8}})({GROUP}(:{GROUP}){{0,6}})?::(({GROUP}:){{0,5}}{FOUR}|{GROUP}(:{GROUP}){{0,6}})?)"
+
+
+def last_address(chain):
+    """The last valid IPv4 or IPv6 address of a comma-separated chain, null without one."""
+    found = F.filter(F.transform(F.split(chain, ","), lambda a: F.trim(a)), lambda a: a.rlike(f"^({FOUR}|{SIX})$"))
+    return F.try_element_at(found, F.lit(-1))
 
 
 @query("c10_client_address")
 def c10(t):
-    """The last valid address of a forwarding chain."""
-    chain = F.concat_ws(", ", F.lit("203.0.113.7"), F.concat_ws(".", F.lit("10"), F.lit("0"), F.lit("0"), (F.col("user_id") % 256).cast("string")), F.lit("unknown"))
-    good = F.filter(F.split(chain, ", "), lambda a: a.rlike(r"^(\d{1,3}\.){3}\d{1,3}$"))
-    return t.raw("events").select("event_id", F.element_at(good, -1).alias("address"))
+    """The last valid address of a forwarding chain of one to eight entries."""
+    n = (F.col("user_id") % 256).cast("string")
+    entries = F.array(*[F.replace(F.lit(c), F.lit("{n}"), n) for c in CHAIN])
+    chain = F.array_join(F.slice(entries, 1, (F.col("event_id") % len(CHAIN) + 1).cast("int")), ", ")
+    return t.raw("events").select("event_id", last_address(chain).alias("address"))
 
 
 @query("c11_audit_hash", "SELECT event_id, substring(sha256(user_id || ''), 1, 12) AS hash FROM events")

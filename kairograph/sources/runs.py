@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,10 +22,10 @@ def activate_run(spark: SparkSession, root: str, run_id: int) -> None:
 
 
 def active_run(spark: SparkSession, root: str, view: str | None = None) -> DataFrame:
-    """The points of the run that was activated last; an unknown view means "topic"."""
+    """The points of the run that was activated last, none before the first one; an unknown view means "topic"."""
     last = spark.read.schema(POINTERS).parquet(f"{root}/pointer").where("active").orderBy(F.desc("at"), F.desc("run_id")).limit(1).first()
     view = view if view in ("topic", "network") else "topic"
-    return spark.read.parquet(f"{root}/points").where((F.col("run_id") == last["run_id"]) & (F.col("view") == view))
+    return spark.read.parquet(f"{root}/points").where((F.col("run_id") == (last["run_id"] if last else None)) & (F.col("view") == view))
 
 
 def refresh_view(df: DataFrame, path: str, keys: list[str]) -> DataFrame:
@@ -40,8 +41,8 @@ def append_snapshots(pages: DataFrame, path: str, ttl_days: int = 365) -> int:
     try:
         known = spark.read.parquet(path).select("url", "hash")
         rows = rows.join(known, ["url", "hash"], "left_anti")
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
     before = rows.count()
     rows.write.mode("append").parquet(path)

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.limiter import fold
+
 
 def limit_requests(requests: DataFrame, most: int, window_s: int = 60, late: str = "10 minutes") -> DataFrame:
     """(key, ts, allowed) for a stream of (key, ts): at most ``most`` allowed requests in any ``window_s`` seconds.
@@ -20,16 +22,10 @@ def limit_requests(requests: DataFrame, most: int, window_s: int = 60, late: str
         if state.hasTimedOut:
             state.remove()
             return
-        kept = list(state.get[0]) if state.exists else []
-        for pdf in batches:
-            pdf = pdf.sort_values("ts")
-            allowed = []
-            for now in pdf["ts"].astype("int64") // 1000:
-                kept = [s for s in kept if s > now - window_s * 1_000_000]
-                allowed.append(len(kept) < most)
-                if allowed[-1]:
-                    kept.append(int(now))
-            yield pd.DataFrame({"key": key[0], "ts": pdf["ts"], "allowed": allowed})
+        pdf = pd.concat(list(batches)).sort_values("ts")  # a key's requests of one trigger can come in several chunks
+        stamps = (pdf["ts"].astype("datetime64[us]").astype("int64")).tolist()
+        allowed, kept = fold(stamps, list(state.get[0]) if state.exists else [], most, window_s * 1_000_000)
+        yield pd.DataFrame({"key": key[0], "ts": pdf["ts"], "allowed": allowed})
         state.update((kept,))
         if kept:
             state.setTimeoutTimestamp(max(kept[-1] // 1000 + window_s * 1000, state.getCurrentWatermarkMs() + 1))

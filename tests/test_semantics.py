@@ -110,7 +110,7 @@ def test_profiles_count_in_all_components(spark, tmp_path):
     sizes = {}
     for field, part in parts[0].values():
         sizes.setdefault(field, []).append(part)
-    assert all((len(set(p)) > 1) == (len(p) > 60) for p in sizes.values())
+    assert all((len(set(p)) > 1) == (len(p) > max(20, round(len(parts[0]) / 40))) for p in sizes.values())
     at = [{r["cluster"]: (abs(r["x"]), abs(r["y"])) for r in QUERIES["n08_classical_mds"](spark, d).collect()} for d in (str(sf), str(tmp_path))]
     assert at[0].keys() == at[1].keys() and all(np.allclose(at[0][k], at[1][k], atol=1e-6) for k in at[0])
     assert len({tuple(np.round(v, 9)) for v in at[1].values()}) > 1
