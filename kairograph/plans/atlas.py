@@ -240,9 +240,12 @@ def n15(t):
     return field_profiles(t).withColumn("x", F.round("x", 6))
 
 
-@query("n16_cluster_targets", f"SELECT cluster, round(0.03 + 0.002::DOUBLE * sqrt(count(*)), 6)::DOUBLE AS footprint FROM ({POINTS}) GROUP BY 1")
+@query("n16_cluster_targets", f"SELECT cluster, round(0.03 + 0.002::DOUBLE * sqrt(n), 6)::DOUBLE AS footprint, greatest(2, k - 2)::BIGINT AS least, least(n, k + 2)::BIGINT AS most FROM (SELECT *, greatest(8, least(30, round_even(n / 40, 0))) AS k FROM (SELECT cluster, count(*) AS n FROM ({POINTS}) GROUP BY 1))")
 def n16(t):
-    return points(t).groupBy("cluster").agg(F.round(0.03 + 0.002 * F.sqrt(F.count("*")), 6).alias("footprint"))
+    """The radius of each cluster on the map, and how many clusters it should fall into as a map of its own."""
+    sizes = points(t).groupBy("cluster").agg(F.count("*").alias("n"))
+    least, most = cluster_targets(F.col("n"))
+    return sizes.select("cluster", F.round(0.03 + 0.002 * F.sqrt("n"), 6).alias("footprint"), least.alias("least"), most.alias("most"))
 
 
 @query("n17_network_layout")

@@ -78,10 +78,20 @@ def c07(t):
     return t.organizations.select("id", F.coalesce(exact, F.concat(F.lit("slot"), X.palette_slot(F.col("name"), 12).cast("string"))).alias("colour"))
 
 
-@query("c08_curved_path")
+SAG = 0.08
+ENDS = f"SELECT person_a, person_b, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS len FROM edges JOIN ({POINTS}) a ON a.id = person_a JOIN ({POINTS}) b ON b.id = person_b"
+
+
+@query("c08_curved_path", f"SELECT person_a, person_b, round(x0, 4)::DOUBLE AS x0, round(y0, 4)::DOUBLE AS y0, round(CASE WHEN len > 0 THEN (x0 + x1) / 2 - (y1 - y0) / len * {SAG}::DOUBLE END, 4)::DOUBLE AS qx, round(CASE WHEN len > 0 THEN (y0 + y1) / 2 + (x1 - x0) / len * {SAG}::DOUBLE END, 4)::DOUBLE AS qy, round(x1, 4)::DOUBLE AS x1, round(y1, 4)::DOUBLE AS y1 FROM ({ENDS})")
 def c08(t):
-    lines = c06(t)
-    return lines.select("person_a", "person_b", F.format_string("M%.3f,0 Q%.3f,1 %.3f,0", F.col("x0"), (F.col("x0") + F.col("x1")) / 2, F.col("x1")).alias("path"))
+    """Each tie as a curve: its ends and the point that bends it, set off the middle to one side; none for ends of one place."""
+    at = lambda k, n: points(t).select(F.col("id").alias(k), F.col("x").alias("x" + n), F.col("y").alias("y" + n))
+    rows = ties_on_map(t).join(at("person_a", "0"), "person_a").join(at("person_b", "1"), "person_b")
+    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    length = F.sqrt(dx**2 + dy**2)
+    bent = lambda mid, off: F.when(length > 0, mid / 2 + off / length * SAG)
+    rows = rows.withColumns({"qx": bent(F.col("x0") + F.col("x1"), -dy), "qy": bent(F.col("y0") + F.col("y1"), dx)})
+    return rows.select("person_a", "person_b", *[F.round(c, 4).alias(c) for c in ("x0", "y0", "qx", "qy", "x1", "y1")])
 
 
 @query("c09_option_order", "SELECT id, row_number() OVER (ORDER BY k, label, id) AS place FROM (SELECT id, 0 AS k, name AS label FROM organizations UNION ALL SELECT -id, 1, lastname || ' ' || firstname FROM people)")
