@@ -3,6 +3,7 @@ import hashlib
 import html
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -210,3 +211,62 @@ def test_warc_reads_members_without_lengths(tmp_path):
     assert len(rows) == 5 and all(r["payload"] == row["payload"] for r in rows)
     reader.wanted = {"warc_type": {"revisit"}}
     assert [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()] == []
+
+
+def extract(spark, sources):
+    rows = [(k, f"http://h/{k}", source) for k, source in enumerate(sources)]
+    got = html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return [r["text"] for r in sorted(got, key=lambda r: r["page_id"])]
+
+
+def test_each_place_is_decided_by_itself(spark):
+    """A constant block goes beside varying ones of its tag and however long it is; pages change by the template."""
+    same_tag = [f"<body><div>story {k} of the day</div><div><p>All rights reserved.</p></div></body>" for k in range(6)]
+    assert extract(spark, same_tag) == [f"story {k} of the day" for k in range(6)]
+    long = [f"<body><h1>Head {k}</h1><div>short {k}</div><section>{'Terms of this site. ' * 23}</section></body>" for k in range(6)]
+    assert extract(spark, long) == [f"Head {k}\nshort {k}" for k in range(6)]
+    assert sum(html_extract.main_text(x) != y for x, y in zip(same_tag + long, extract(spark, same_tag) + extract(spark, long), strict=True)) == 12
+
+
+def test_a_place_of_few_pages_is_content(spark):
+    """Four near copies with a longer story on a host of twelve pages: their last block is no template."""
+    story = [f"<body><div>a{k} b</div><div>c{k} d</div><div class=end>Imprint</div></body>" for k in range(8)]
+    story += [f"<body><div>x</div><div>y</div><div>z</div><div><p>only here</p></div><div class=end>Imprint</div><div>{k}</div></body>" for k in range(4)]
+    got = extract(spark, story)
+    assert all("only here" in t for t in got[8:]) and not any("Imprint" in t for t in got)
+
+
+def test_near_copies_are_one_page(spark):
+    pages = [f"<body><div>{'</div><div>'.join(f'part {k}' for k in range(40))}</div><p>version {v}</p></body>" for v in range(5)]
+    assert extract(spark, pages) == [html_extract.main_text(p) for p in pages]
+
+
+def test_inside_an_article(spark):
+    inner = '<h2 id="related">Related work {0}</h2><section id="sharing2"><p>On sharing</p></section><div class="search">search {0}</div><p><label>Note</label> <math><mi>x</mi></math></p><p>Fixed.</p>'
+    page = '<body><div>Shop</div><article><h1 id="comment">Title {0}</h1>' + inner + '<div class="comments">said</div><div class="ad">buy</div><form>f</form></article><article class="comment"><p>reader {0}</p></article></body>'
+    pages = [page.format(k) for k in range(6)]
+    assert extract(spark, pages) == [f"Title {k}\nRelated work {k}\nOn sharing\nsearch {k}\nNote x\nFixed." for k in range(6)]
+
+
+def test_matching_of_repeated_kinds_equals_the_textbook():
+    rng = random.Random(11)
+
+    def tree(depth=0):
+        return ("t" if depth == 0 else rng.choice("ab"), [tree(depth + 1) for _ in range(rng.randint(0, 5 if depth < 3 else 0))])
+
+    for _ in range(300):
+        a, b = tree(), tree()
+        size, pairs = html_extract.match(slots_of(a), slots_of(b))
+        assert size == len(pairs) == simple_tree_matching(a, b) and all(x.kind == y.kind for x, y in pairs)
+        place = {id(x): k for k, (x, _) in enumerate(pairs)}
+        assert all(x.parent is None or pairs[place[id(x.parent)]][1] is y.parent for x, y in pairs)
+        for (x, y), (u, v) in zip(pairs, pairs[1:], strict=False):
+            if x.parent is u.parent:
+                assert x.parent.children.index(x) < x.parent.children.index(u) and y.parent.children.index(y) < y.parent.children.index(v)
+
+
+@pytest.mark.parametrize("opener", ["<!", "<?", "<!--", "<a '>' ", "<a \"", "<b x='\">", "</", "<script>", "<p ", "&", "<"])
+def test_openers_that_never_close_take_linear_time(opener):
+    begun = time.perf_counter()
+    html_extract.main_text("<p>story</p>" + opener * (1_000_000 // len(opener)))
+    assert time.perf_counter() - begun < 20
