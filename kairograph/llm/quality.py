@@ -177,6 +177,12 @@ def most_confident(free: DataFrame, model: CoTrained, counts: dict) -> DataFrame
     return rows.withColumn("place", F.row_number().over(by)).where((F.col("place") <= most) & (F.col("place") <= limit))
 
 
+def one_of_each(rows: DataFrame) -> DataFrame:
+    """Of the labelled rows to fit on one for each doc_id, so repeated documents do not pass the bound of the sample."""
+    first = F.min(F.struct("row", "x", "slots", "quality")).alias("first")
+    return rows.where("known").groupBy("doc_id").agg(first).select("doc_id", "first.*")
+
+
 def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, rounds: int = ROUNDS) -> CoTrained:
     """Co-trained classifiers. At most ``labelled_rows`` labelled rows are used; all rows without label are candidates.
 
@@ -187,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS,
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled_rows).select("doc_id", F.lit(True).alias("known"))
     rows = materialize(described(docs, known.join(F.broadcast(sample), "doc_id", "left")).withColumn("row", F.monotonically_increasing_id()), "quality-views")
-    got = rows.where("known").select("doc_id", "row", "x", "slots", "quality").toArrow().sort_by([("doc_id", "ascending"), ("row", "ascending")])
+    got = one_of_each(rows).toArrow().sort_by([("doc_id", "ascending"), ("row", "ascending")])
     n = len(text_view(""))
     x = stacked(got["x"], float) if len(got) else np.zeros((0, n))
     slots = stacked(got["slots"], int) if len(got) else np.zeros((0, 3), int)

@@ -61,15 +61,21 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 def candidates(text: str) -> set[tuple[int, int]]:
     """(start, end) of runs of 16 or more characters that end within REACH before a sensitive word or begin within
-    REACH after it; of a run that holds the word, what stands on either side of it."""
+    REACH after it; of a run that holds such words, what stands before, between and behind them."""
     words = [m.span() for m in SENSITIVE.finditer(text)]
     if not words:
         return set()
     runs = [m.span() for m in CANDIDATE.finditer(text)]
     starts, ends, out = [s for s, _ in runs], [e for _, e in runs], set()
+    held: dict[tuple[int, int], int] = {}  # where the last word of a run ends
     for a, b in words:
         for s, e in runs[bisect_left(ends, a - REACH):bisect_right(starts, b + REACH)]:
-            out.update([(s, e)] if e <= a or s >= b else [(s, a), (b, e)])
+            if e <= a or s >= b:
+                out.add((s, e))
+            else:
+                out.add((held.get((s, e), s), a))
+                held[s, e] = b
+    out.update((b, e) for (_, e), b in held.items())
     return {(s, e) for s, e in out if e - s >= LEAST}
 
 

@@ -100,16 +100,22 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> FactorizationMachine:
-    """A machine fitted on at most ``train_rows`` rows of ``labels`` (doc_id, toxic), with all terms of their texts."""
+def training_texts(docs: DataFrame, labels: DataFrame, train_rows: int) -> DataFrame:
+    """(toxic, text) of at most ``train_rows`` labelled doc_ids, one row each: of repeated ones the smallest text."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min(F.struct("text", "toxic")).alias("first")).select("first.toxic", "first.text")
+
+
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> FactorizationMachine:
+    """A machine fitted on at most ``train_rows`` rows of ``labels`` (doc_id, toxic), with all terms of their texts."""
 
     def run(batches):
         for piece, rows in texts(batches):
             yield pa.RecordBatch.from_arrays([piece.column("toxic"), pa.array([hashed_terms(t) for t in rows], pa.list_(pa.int32()))], ["toxic", "terms"])
 
-    rows = map_batches(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("toxic", "text"), run, "toxic int, terms array<int>").toArrow()
+    rows = map_batches(training_texts(docs, labels, train_rows), run, "toxic int, terms array<int>").toArrow()
     ends = np.concatenate(([0], np.cumsum(rows["terms"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False)))) if len(rows) else [0]
     flat = rows["terms"].combine_chunks().flatten().to_numpy() if len(rows) else []
     own, toxic = [flat[a:b] for a, b in zip(ends, ends[1:], strict=False)], np.array(rows["toxic"].to_pylist(), dtype=float)

@@ -107,3 +107,11 @@ def test_quality_edge_cases(spark):
     some = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
     more = spark.createDataFrame([(k, "###" * 9 if k % 2 == 0 else "plain words here", "s", "en", 9, 7) for k in range(40)], docs.schema)
     assert quality.score_quality(docs.union(more), some).count() == 44
+
+
+def test_repeated_documents_do_not_pass_the_bound(spark):
+    docs = spark.range(600).select((F.col("id") % 3).alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(6).cast("long").alias("n_chars"))
+    labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(3)], "doc_id long, quality int, toxic int")
+    assert toxicity.training_texts(docs, labels, 2).count() == 2 and toxicity.training_texts(docs, labels, 3).count() == 3
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.array(F.lit(1.0)).alias("x"), F.array(F.lit(1)).alias("slots"), F.lit(1).alias("quality"), F.lit(True).alias("known"))
+    assert quality.one_of_each(rows).count() == 3

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from kairograph.llm import queries, secret_scan
 
@@ -63,3 +64,14 @@ def test_edge_cases(spark):
     assert secret_scan.scan_secrets(docs.limit(0)).count() == 0
     masked = secret_scan.redact_secrets(docs).collect()
     assert [r["text"] for r in masked][:4] == [None, "", "[SECRET]", "[SECRET]"] and masked[4]["text"].endswith("a [SECRET]")
+
+
+def test_a_run_of_many_words_takes_linear_time():
+    """One candidate for each gap between the words of a run; it was two whole sides for each word."""
+    text = "secret/" * 150_000 + "Zx81kQw0PvB3nM7tRy5L"
+    begun = time.perf_counter()
+    assert secret_scan.candidates(text) == {(len(text) - 21, len(text))}
+    secret_scan.novel_spans(text, secret_scan.base_spans(text), secret_scan.Novelty())
+    assert time.perf_counter() - begun < 10
+    one, two = "Zx81kQw0PvB3nM7tRy5L", "Ab92jDk4LsO0wQe7XcV6"
+    assert secret_scan.candidates(f"{one}token{two}secret{one}") == {(0, 20), (25, 45), (51, 71)}
