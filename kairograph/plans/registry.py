@@ -26,6 +26,6 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
-for _module in ("relational", "scalars", "graph", "atlas", "ingest", "validation", "profiles", "client", "readmodel"):
+for _module in ("relational", "scalars", "graph", "atlas", "ingest", "validation", "profiles", "client", "readmodel", "merges"):
     if importlib.util.find_spec(f"{__package__}.{_module}"):
         importlib.import_module(f"{__package__}.{_module}")
