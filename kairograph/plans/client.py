@@ -9,6 +9,7 @@ from ..functions import text as X
 from ..operators.components import ranked
 from ..operators.core import coauthor_edges, doubled
 from ..operators.pairs import closest_pairs
+from ..operators.session import replay
 from .graph import ties_on_map
 from .registry import query
 from .relational import all_links, top_coauthors
@@ -103,3 +104,19 @@ def c09(t):
 @query("c13_name_backfill", "SELECT id, w[1] AS firstname, CASE WHEN len(w) > 1 THEN w[len(w)] ELSE w[1] END AS lastname FROM (SELECT p_partkey AS id, string_split(trim(p_name), ' ') AS w FROM part)")
 def c13(t):
     return t.raw("part").select(F.col("p_partkey").alias("id"), X.name_parts(F.col("p_name")).alias("n")).select("id", F.col("n.first").alias("firstname"), F.col("n.last").alias("lastname"))
+
+
+def session_actions(t):
+    """Events as the actions of graph sessions: a visitor is a session, what an event is about stands in its props."""
+    k = F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(0)) % 24
+    own = F.when(F.col("event_type") == "view", F.when(k % 3 == 0, "expand").otherwise("merge")).when(F.col("event_type") == "click", F.when(k % 4 == 0, "select").otherwise("focus"))
+    own = own.when(F.col("event_type") == "purchase", F.when(k % 2 == 0, "page").otherwise("open")).when(F.col("event_type") == "error", F.when(k % 2 == 0, "prune").otherwise("collapse"))
+    others = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: (k * i + F.col("event_id")) % 24)
+    return t.raw("events").select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), F.col("ts").alias("at"), F.coalesce(own, F.lit("expand")).alias("action"),
+        k.alias("node"), others.alias("others"), F.concat(F.lit("c"), k % 2).alias("cohort"), (k % 3).cast("int").alias("place"))
+
+
+@query("x04_session_canvas")
+def x04(t):
+    """What each visitor's graph shows in the end: the actions folded in order, one task for each session."""
+    return replay(session_actions(t), idle_s=7 * 86_400)
