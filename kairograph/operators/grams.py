@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -46,3 +48,34 @@ def similar_names(questions: DataFrame, names: DataFrame, least: float = 0.3) ->
 
 def similarity(x: str, y: str) -> Column:
     return X.trigram_similarity(F.col(x), F.col(y))
+
+
+def runs_of(rows: DataFrame, text: str, lengths: list[int], *keep: str) -> DataFrame:
+    """``keep`` and gram: the different runs of characters of each text, of each of the ``lengths``."""
+    chars = rows.select(*keep, F.split(text, "").alias("chars"))
+
+    def run(n: int) -> Column:
+        return F.transform("chars", lambda c, i: F.concat(c, *[F.get("chars", i + k) for k in range(1, n)]))
+
+    return chars.select(*keep, F.explode(F.array_distinct(F.concat(*map(run, lengths)))).alias("gram")).where("gram IS NOT NULL")
+
+
+def contained(questions: DataFrame, names: DataFrame) -> DataFrame:
+    """(question, id): every question (question) with every row of names (id, name) that it stands in, as it is written.
+
+    A question meets the names that hold its rarest run of three characters (a shorter question: all of it), and each
+    pair is verified; a run is weighed by the names that hold it. Null and empty questions stand in nothing, repeated
+    ones count once; repeated names give a row each.
+    """
+    q = settled(questions.select("question").where("length(question) > 0").distinct().withColumn("size", F.least(F.lit(3), F.length("question"))))
+    sizes = sorted(r[0] for r in q.select("size").distinct().collect())
+    if not sizes:
+        return names.limit(0).select(F.lit("").alias("question"), "id")
+    runs = reduce(DataFrame.union, [runs_of(q.where(F.col("size") == n), "question", [n], "question") for n in sizes])
+    runs = settled(runs)
+    rows = settled(names.where("name IS NOT NULL").select(F.monotonically_increasing_id().alias("key"), "id", "name"))
+    postings = settled(runs_of(rows, "name", sizes, "key").join(runs.select("gram").distinct(), "gram", "left_semi"))
+    often = postings.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = runs.join(often, "gram", "left").groupBy("question").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).select("question", "r.gram")
+    pairs = postings.join(rarest, "gram").select("question", "key")
+    return pairs.join(rows, "key").where(F.contains("name", F.col("question"))).select("question", "id")

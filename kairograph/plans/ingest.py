@@ -11,6 +11,7 @@ from ..functions import text as X
 from ..operators.components import shared_dir
 from ..operators.core import anchors, coauthor_edges, doubled, org_tree, top_per, valid_on
 from ..operators.cv import cv_entries
+from ..operators.grams import contained
 from ..operators.page_forms import FORMS, read_profiles
 from .graph import chained
 from .oracle import DAY, live
@@ -174,8 +175,9 @@ def e11(t):
 def e12(t):
     """Free text to the best organization; the distinct texts are few, so they are resolved once and joined back."""
     q = t.raw("customer").join(t.raw("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.lower("n_name").alias("q"))
-    hits = q.select("q").distinct().join(t.organizations, F.contains(F.lower("name"), F.col("q")))
-    best = hits.groupBy("q").agg(F.min_by("id", F.struct(F.when(F.lower("name") == F.col("q"), 0).otherwise(1), "id")).alias("org_id"))
+    names = t.organizations.select("id", F.lower("name").alias("name"))
+    hits = contained(q.select(F.col("q").alias("question")), names).withColumnRenamed("question", "q").join(names, "id")
+    best = hits.groupBy("q").agg(F.min_by("id", F.struct(F.when(F.col("name") == F.col("q"), 0).otherwise(1), "id")).alias("org_id"))
     return q.join(best, "q").select("c_custkey", "org_id")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 
 from ..operators.components import ranked
 from ..operators.core import anchors, closure, coauthor_edges, coauthor_pairs, doubled, live_org_links, org_tree, top_per, valid_on
+from ..operators.grams import contained
 from .oracle import DAY, live
 from .registry import query
 
@@ -278,7 +279,9 @@ def p07(t):
 @query("p08_reverse_contains", "SELECT t.id, n.name FROM titles t JOIN (SELECT DISTINCT substring(p_type, 1, 3) AS name FROM part) n ON contains(lower(t.title), lower(n.name))")
 def p08(t):
     names = t.raw("part").select(F.substring("p_type", 1, 3).alias("name")).distinct()
-    return t.titles.join(names, F.contains(F.lower("title"), F.lower("name"))).select("id", "name")
+    titles = t.titles.select("id", F.lower("title").alias("name"))
+    found = contained(names.select(F.lower("name").alias("question")), titles)
+    return found.join(names.withColumn("question", F.lower("name")), "question").select("id", "name")
 
 
 @query("p09_year_window", "SELECT id, year FROM publications WHERE year BETWEEN 1996 AND 2000")

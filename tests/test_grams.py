@@ -29,3 +29,14 @@ def test_few_candidates(spark):
     """At a similarity of 0.8 a small share of all pairs is verified."""
     sets = [spark.createDataFrame([(t,) for t in set(drawn(s, 400))], "key string").withColumn("grams", X.trigrams(F.col("key"))) for s in (3, 4)]
     assert G.candidates(*sets, 0.8).count() < 0.05 * sets[0].count() * sets[1].count()
+
+
+def test_contained_equals_all_pairs(spark):
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcé 😀") for _ in range(n))
+    names = [(k % 50, word(rng.randint(0, 30))) for k in range(120)] + [(7, None), (8, "long " * 20_000 + "needle")]
+    questions = [word(rng.randint(1, 5)) for _ in range(60)] + ["needle", "", None, "missing"]
+    got = G.contained(spark.createDataFrame([(q,) for q in questions], "question string"), spark.createDataFrame(names, "id long, name string"))
+    want = [(q, i) for q in sorted({q for q in questions if q}) for i, n in names if n is not None and q in n]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert G.contained(spark.createDataFrame([], "question string"), spark.createDataFrame(names, "id long, name string")).count() == 0
