@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches, materialize, texts
@@ -44,12 +44,14 @@ HEADS = {"header", "site-header", "page-header", "topbar", "top-bar"}
 TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?>[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)", re.DOTALL)
 #: The same without quotes, from the first tag on whose quotes never close: no tag is read to the end of the page twice.
 PLAIN_TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*(?:>|\Z)|(?!)(())()|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)", re.DOTALL)
-#: Pages of a host that are looked at for seeds, those that share this part of their blocks being one page.
-LOOKED_AT, NEAR = 12, 0.8
+#: Pages that share this part of their blocks are near copies.
+NEAR = 0.8
 #: Part of the pages of a host that hold a place of its template.
 PRESENT = 0.75
-#: Pages of a host whose trees are merged to its template; pages that must agree on a text before it is template.
-SEEDS, AGREE = 3, 3
+#: Pages that must agree on a text before it is template, and pages that are no near copies on a host with a template.
+AGREE = 3
+#: Skeletons of a host that one task merges at once.
+MERGED = 32
 
 NAMES = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.IGNORECASE)
@@ -137,10 +139,10 @@ def parse(source: str) -> Node:
 class Slot:
     """A place in the skeleton of a page: one block element; siblings keep their order, equal kinds too."""
 
-    __slots__ = ("children", "kind", "number", "parent")
+    __slots__ = ("children", "held", "kind", "number", "parent")
 
     def __init__(self, kind: str, parent: Slot | None = None):
-        self.kind, self.parent, self.number = kind, parent, -1
+        self.kind, self.parent, self.number, self.held = kind, parent, -1, 0.0
         self.children: list[Slot] = []
 
     def child(self, kind: str) -> Slot:
@@ -308,40 +310,61 @@ def match(a: Slot, b: Slot) -> tuple[int, list[tuple[Slot, Slot]]]:
     return weight(*top), pairs
 
 
+def add(template: Slot, page: Slot) -> None:
+    """Merge a skeleton into ``template``: what matches is one place that sums ``held``, the rest stands beside it."""
+    work = match(template, page)[1]
+    known = {id(y): x for x, y in work}
+    while work:
+        x, y = work.pop()
+        x.held += y.held
+        old, x.children = iter(x.children), []
+        for c in y.children:
+            if (same := known.get(id(c))) is None:
+                work.append((x.child(c.kind), c))
+            else:
+                for other in old:
+                    x.children.append(other)
+                    if other is same:
+                        break
+        x.children.extend(old)
+
+
+def numbered(root: Slot) -> Slot:
+    for k, slot in enumerate(root.walk()):
+        slot.number = k
+    return root
+
+
 def merged(sources: list[str]) -> Slot:
     """The skeleton of several pages: what matches is one place, what one page has alone stands beside it."""
     template = Slot("#root")
     for source in sources:
-        page, _ = read_page(source)
-        work = match(template, page)[1]
-        known = {id(y): x for x, y in work}
-        while work:
-            x, y = work.pop()
-            old, x.children = iter(x.children), []
-            for c in y.children:
-                if (same := known.get(id(c))) is None:
-                    work.append((x.child(c.kind), c))
-                else:
-                    for other in old:
-                        x.children.append(other)
-                        if other is same:
-                            break
-            x.children.extend(old)
-    for k, slot in enumerate(template.walk()):
-        slot.number = k
-    return template
+        add(template, read_page(source)[0])
+    return numbered(template)
 
 
-def seeds_of(sources: list[str]) -> list[str]:
-    """The first SEEDS of ``sources`` of which no two share NEAR of their blocks; none if there are fewer than AGREE."""
-    found: list[tuple[set[str], str]] = []
-    for source in sources:
-        own = {text for _, text in read_page(source)[1]}
-        if own and all(len(own & other) < NEAR * len(own | other) for other, _ in found):
-            found.append((own, source))
-            if len(found) == SEEDS:
-                break
-    return [source for _, source in found] if len(found) >= AGREE else []
+def bound(level: int) -> float:
+    """Places on a smaller part of the pages are let go by the merges of a level; under PRESENT on every level."""
+    return PRESENT * (1 - 0.5 ** level)
+
+
+def merged_parts(parts: list[tuple[str, list[float] | None, int]], level: int) -> tuple[Slot, list[float], int]:
+    """The merged skeleton of packed ones (tree, held, pages), with the pages that can hold each of its places, and all.
+
+    ``held`` are such numbers of the level before, None for one skeleton of all its pages. A part that lacks a place
+    may have let it go on less than ``bound(level - 1)`` of its pages, which counts for the place; one that is let go
+    here is thus on less than ``bound(level)`` of the pages, and none that PRESENT of them hold is ever lost.
+    """
+    template, before, total = Slot("#root"), bound(level - 1), sum(n for *_, n in parts)
+    for tree, held, n in parts:
+        part = unpacked(tree)
+        for k, x in enumerate(part.walk()):
+            x.held = (n if held is None else held[k]) - before * n
+        add(template, part)
+    least = (bound(level) - before - 1e-9) * total
+    for x in template.walk():
+        x.children = [c for c in x.children if c.held >= least]
+    return numbered(template), [x.held + before * total for x in template.walk()], total
 
 
 def packed(template: Slot) -> str:
@@ -375,34 +398,100 @@ class Templates:
         return self.cache[key]
 
 
-def slot_statistics(pages: DataFrame) -> DataFrame:
-    """(host, slot, low, high, n, seen): how the pages (host, html, template) of a host fill the places of its template.
+def read_pages(pages: DataFrame) -> DataFrame:
+    """(host, mark, k, skeleton, slots, hashes, blocks, n): the different pages of ``pages`` (host, k, mark, html).
 
-    low and high are the extremes of a hash of the text, so they are equal if all texts are; n counts the pages that
-    hold the place, all of them for the root; seen has a bit for each of 63 classes of pages, so as many different
-    pages at least hold the place.
+    skeleton is packed; slots are its places with a text of their own, hashes those of the texts; blocks has a hash of
+    each different block, also within an article; k is the smallest, n the number of rows of the page.
     """
 
     def run(batches):
-        templates = Templates()
+        digest = lambda text: xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) >> 1
         for piece, rows in texts(batches, "html"):
-            sums: dict[tuple, list] = {}
-            for source, host, template in zip(rows, piece.column("host").to_pylist(), piece.column("template").to_pylist(), strict=True):
+            out: list[tuple] = []
+            for source in rows:
                 page, blocks = read_page(source)
+                numbered(page)
                 own: dict[int, list[str]] = {}
                 for slot, text in blocks:
-                    own.setdefault(id(slot), []).append(text)
-                bit = 1 << xxhash.xxh64_intdigest(source.encode("utf-8", "replace")) % 63
-                for a, b in match(templates.get(template), page)[1]:
-                    found = own.get(id(b))
-                    if found or a.number == 0:
-                        h = xxhash.xxh64_intdigest("\n".join(found or ()).encode("utf-8", "replace")) >> 1
-                        x = sums.setdefault((host, a.number), [h, h, 0, 0])
-                        x[:] = min(x[0], h), max(x[1], h), x[2] + 1, x[3] | bit
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.string()), *[pa.array([k[1] for k in sums], pa.int64())], *[pa.array([x[i] for x in sums.values()], pa.int64()) for i in range(4)]], ["host", "slot", "low", "high", "n", "seen"])
+                    if slot.number >= 0:
+                        own.setdefault(slot.number, []).append(text)
+                out.append((packed(page), list(own), [digest("\n".join(x)) for x in own.values()], sorted({digest(text) for _, text in blocks})))
+            kinds = [pa.string(), *[pa.list_(pa.int64())] * 3]
+            yield pa.RecordBatch.from_arrays([*[piece.column(c) for c in ("host", "mark", "k")], *[pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)]], ["host", "mark", "k", "skeleton", "slots", "hashes", "blocks"])
+
+    read = map_batches(pages.select("host", "mark", "k", "html"), run, f"host string, mark long, k {pages.schema['k'].dataType.simpleString()}, skeleton string, slots array<long>, hashes array<long>, blocks array<long>")
+    return read.groupBy("host", "mark").agg(F.min("k").alias("k"), F.count("*").alias("n"), *[F.any_value(c).alias(c) for c in ("skeleton", "slots", "hashes", "blocks")])
+
+
+def in_order(*last):
+    """Order of pages: by page_id, null last, then by a hash of the html."""
+    return F.struct(F.col("k").isNull().alias("none"), F.col("k").alias("k"), *last)
 
-    rows = map_batches(pages, run, "host string, slot long, low long, high long, n long, seen long")
-    return rows.groupBy("host", "slot").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"), F.bit_or("seen").alias("seen"))
+
+def hosts_with_template(pages: DataFrame) -> DataFrame:
+    """(host) with AGREE pages that are no near copies: the first, the first that is none of it, and so on, of all pages."""
+    rest = pages.where("size(blocks) > 0").select("host", in_order("mark").alias("at"), "blocks")
+    common = F.size(F.array_intersect("blocks", "first"))
+    for _ in range(AGREE - 1):
+        first = rest.groupBy("host").agg(F.min_by("blocks", "at").alias("first"))
+        rest = rest.join(first, "host").where(common < NEAR * (F.size("blocks") + F.size("first") - common)).drop("first")
+        rest = materialize(rest, "html-others")  # a join by itself, so Spark can split a large host
+    return rest.select("host").distinct()
+
+
+def merged_templates(pages: DataFrame) -> DataFrame:
+    """(host, template): the skeletons of all ``pages`` (host, k, skeleton, n) of a host merged, MERGED of them at once.
+
+    Every round deals the parts of a host to as few groups as that takes, so a host of any size spreads over tasks.
+    """
+    parts = pages.groupBy("host", "skeleton").agg(F.min(in_order()).alias("at"), F.sum("n").alias("n"))
+    parts = materialize(parts.select("host", F.col("skeleton").alias("tree"), F.lit(None).cast("array<double>").alias("held"), "n", "at"), "html-skeletons")
+    level = 0
+    while level == 0 or parts.groupBy("host").count().where("count > 1").limit(1).count():
+        level += 1
+
+        def merge(batches, level=level):
+            for batch in batches:
+                out = [merged_parts([(x["tree"], x["held"], x["n"]) for x in rows], level) for rows in batch.column("rows").to_pylist()]
+                columns = [batch.column("host"), pa.array([packed(x[0]) for x in out], pa.string()), pa.array([x[1] for x in out], pa.list_(pa.float64())), pa.array([x[2] for x in out], pa.int64()), batch.column("at")]
+                yield pa.RecordBatch.from_arrays(columns, ["host", "tree", "held", "n", "at"])
+
+        groups = F.ceil(F.col("count") / MERGED)
+        dealt = parts.join(parts.groupBy("host").count(), "host").withColumn("bucket", F.pmod(F.xxhash64("tree"), groups)).repartition("host", "bucket")
+        rows = dealt.groupBy("host", "bucket").agg(F.sort_array(F.collect_list(F.struct("at", "tree", "held", "n"))).alias("rows"), F.min("at").alias("at"))
+        parts = materialize(map_batches(rows.select("host", "rows", "at"), merge, parts.schema), "html-merged")
+    return parts.select("host", F.col("tree").alias("template"))
+
+
+def slot_statistics(pages: DataFrame) -> DataFrame:
+    """(host, slot, low, high, n, different): how the ``pages`` of a host (with its template) fill the template's places.
+
+    low and high are the extremes of a hash of the text, so they are equal if all texts are; n counts the pages that
+    hold the place, all of them for the root, and different the different ones.
+    """
+
+    def run(batches):
+        templates, places, kept = Templates(), {}, 0
+        for batch in batches:
+            sums: dict[tuple, list] = {}
+            for host, template, skeleton, slots, hashes, n in zip(*(batch.column(c).to_pylist() for c in ("host", "template", "skeleton", "slots", "hashes", "n")), strict=True):
+                if (template, skeleton) not in places:
+                    page = numbered(unpacked(skeleton))
+                    if kept > 200_000:
+                        places, kept = {}, 0
+                    own = {b.number: a.number for a, b in match(templates.get(template), page)[1]}
+                    places[template, skeleton], kept = own, kept + len(own) + 100
+                own, texts_of = places[template, skeleton], dict(zip(slots, hashes, strict=True))
+                texts_of.setdefault(0, 0)
+                for slot, h in texts_of.items():
+                    if slot in own:
+                        x = sums.setdefault((host, own[slot]), [h, h, 0, 0])
+                        x[:] = min(x[0], h), max(x[1], h), x[2] + n, x[3] + 1
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.int64()), *[pa.array([x[i] for x in sums.values()], pa.int64()) for i in range(4)]], ["host", "slot", "low", "high", "n", "different"])
+
+    rows = map_batches(pages.select("host", "template", "skeleton", "slots", "hashes", "n"), run, "host string, slot long, low long, high long, n long, different long")
+    return rows.groupBy("host", "slot").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"), F.sum("different").alias("different"))
 
 
 def constant_places(template: Slot, same: set[int], varying: set[int]) -> list[int]:
@@ -416,7 +505,7 @@ def constant_slots(slots: DataFrame, templates: DataFrame) -> DataFrame:
 
     Such a text is the same wherever it stands, on AGREE different pages and PRESENT of the pages of the host at least.
     """
-    agree = (F.col("low") == F.col("high")) & (F.bit_count("seen") >= AGREE)
+    agree = (F.col("low") == F.col("high")) & (F.col("different") >= AGREE)
     total = slots.where("slot = 0").select("host", F.col("n").alias("pages"))
     marked = slots.join(total, "host").withColumn("same", agree & (F.col("n") >= PRESENT * F.col("pages")))
     lists = marked.groupBy("host").agg(F.collect_list(F.when(F.col("same"), F.col("slot"))).alias("same"), F.collect_list(F.when(F.col("low") != F.col("high"), F.col("slot"))).alias("varying"))
@@ -440,10 +529,9 @@ def main_text(source: str, template: Slot | None = None, constant: set[int] = fr
 def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) for every row of ``pages``.
 
-    The skeletons of the SEEDS first pages of a host, of its LOOKED_AT first different ones, that are no near copies of
-    each other are merged to its template; all its pages are aligned with it by simple tree matching. Each place is
-    decided by itself: where the text never changes it is template, where it varies content, and so is what the
-    template does not know. What an <article> holds is content, but for adverts, comments, forms and asides; outside
+    The skeletons of all pages of a host are merged to its template, all its pages are aligned with it by simple tree
+    matching; only places that less than PRESENT of the pages hold are let go. Each place is decided by itself: where
+    the text never changes it is template, where it varies content, and so is what the template does not know. What an <article> holds is content, but for adverts, comments, forms and asides; outside
     one, elements, names and roles that are never an article (menus, adverts, forms and the like, which vary too) are
     left out. A constant paragraph or item beside varying ones of its kind is a passage that repeats, and stays.
 
@@ -454,20 +542,10 @@ def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "ur
     """
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"), F.col(source).cast("string").alias("html")).withColumn("host", F.coalesce(host_of(F.col("url")), F.lit("")))
     full = rows.where("length(html) > 0")
-    marked = full.withColumn("mark", F.xxhash64("html"))
-    different = marked.groupBy("host", "mark").agg(F.min("page_id").alias("k"))
-    by = Window.partitionBy("host").orderBy(F.col("k").asc_nulls_last(), "mark")
-    first = materialize(different.withColumn("place", F.row_number().over(by)).where(F.col("place") <= LOOKED_AT), "html-first")
-    seeds = marked.join(first, ["host", "mark"]).groupBy("host", "place").agg(F.min("html").alias("html"))
-    seeds = seeds.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("place", "html")))["html"].alias("sources"))
-
-    def induce(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array([packed(merged(seeds_of(x))) for x in batch.column("sources").to_pylist()], pa.string())], ["host", "template"])
-
-    templates = materialize(map_batches(seeds, induce, "host string, template string"), "html-templates")
-    known = templates.where(F.col("template") != packed(merged([])))
-    slots = materialize(slot_statistics(full.select("html", "host").join(known, "host")), "html-slots")
+    read = materialize(read_pages(full.select("host", F.col("page_id").alias("k"), F.xxhash64("html").alias("mark"), "html")), "html-read")
+    hosts = materialize(hosts_with_template(read), "html-hosts")
+    known = merged_templates(read.join(hosts, "host", "left_semi"))
+    slots = materialize(slot_statistics(read.join(known, "host")), "html-slots")
     wrappers = materialize(constant_slots(slots, known).where("size(constant) > 0"), "html-wrappers")
 
     def run(batches):

@@ -6,6 +6,7 @@ import re
 import time
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from kairograph.llm import html_extract, queries, warc
@@ -270,3 +271,32 @@ def test_openers_that_never_close_take_linear_time(opener):
     begun = time.perf_counter()
     html_extract.main_text("<p>story</p>" + opener * (1_000_000 // len(opener)))
     assert time.perf_counter() - begun < 20
+
+
+def test_all_pages_of_a_host_make_its_template(spark):
+    """A host that begins with near copies, or with pages that lack a block of its template, has one all the same."""
+    copies = [f"<body><div>{'</div><div>'.join(f'part {k}' for k in range(40))}</div><p>version {v}</p></body>" for v in range(13)]
+    pages = [f"<body><div>story {k}</div><section>Terms of use</section></body>" for k in range(60)]
+    assert extract(spark, copies + pages)[13:] == [f"story {k}" for k in range(60)]
+    early = [f"<body><h1>Head {k}</h1><div>short {k}</div></body>" for k in range(3)]
+    late = [f"<body><h1>Head {k}</h1><div>short {k}</div><section>Terms of use</section></body>" for k in range(3, 15)]
+    assert extract(spark, early + late) == [f"Head {k}\nshort {k}" for k in range(15)]
+
+
+def test_three_different_pages_are_enough(spark):
+    """Also if their hashes fall into one class of 63: different pages are counted exactly."""
+    every = (f"<body><div>story {k}</div><section>Terms of use</section></body>" for k in range(1000))
+    pages = [x for x in every if xxhash.xxh64_intdigest(x) % 63 == 7][:3]
+    assert all("Terms" not in t for t in extract(spark, pages))
+
+
+def test_merges_in_rounds_lose_no_place_and_stay_small(spark):
+    """Every page has kinds of its own between those of the template; three quarters of the pages hold the last block."""
+    letters = lambda k: "".join(chr(97 + k // 26 ** i % 26) for i in range(3))
+    pages = [f"<body><h1>Head {k}</h1><div class=x{letters(k)}>own {k}</div><p>text {k}</p>" + "<section>Terms of use</section>" * (k % 4 > 0) + "</body>" for k in range(1200)]
+    got = extract(spark, pages)
+    assert got == [f"Head {k}\nown {k}\ntext {k}" for k in range(1200)]
+    rows = spark.createDataFrame([("h", k, html_extract.packed(html_extract.numbered(html_extract.read_page(p)[0])), 1) for k, p in enumerate(pages)], "host string, k long, skeleton string, n long")
+    (found,) = html_extract.merged_templates(rows).collect()
+    kinds = [x.kind for x in html_extract.unpacked(found["template"]).walk()]
+    assert kinds == ["#root", "body", "h1", "p", "section"]
