@@ -88,6 +88,10 @@ class CoTrained:
         self.targets = [[y[~self.held]], [y[~self.held]]]
         self.refit()
 
+    def __getstate__(self) -> dict:
+        """What scoring needs: the rows that were fitted on stay on the driver."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("labelled", "rows", "targets", "held")}
+
     def refit(self) -> None:
         """Fit both views on what they were taught; calibrate each, then both together, on labelled rows held back."""
         views, y = self.labelled
@@ -120,8 +124,10 @@ def views(batch, rows: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def stacked(lists, kind) -> np.ndarray:
-    """A list column as a matrix."""
-    return np.array(lists.to_pylist(), dtype=kind).reshape(len(lists), -1)
+    """A list column, of equal lists without nulls, as a matrix."""
+    flat = pa.chunked_array([lists]) if isinstance(lists, pa.Array) else lists
+    flat = [c.flatten().to_numpy(zero_copy_only=False) for c in flat.chunks]
+    return np.concatenate(flat or [np.zeros(0)]).astype(kind).reshape(len(lists), -1 if len(lists) else 0)
 
 
 def described(docs: DataFrame, marks: DataFrame) -> DataFrame:
@@ -210,6 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS,
             break
         model.learn(stacked(chosen["x"], float), one_hot(stacked(chosen["slots"], int)), chosen["view"].to_numpy(), chosen["p"].to_numpy())
         done += sorted(set(chosen["row"].to_pylist()))
+    model.labelled = model.rows = None  # fitted: what was fitted on need not stay on the driver
     return model
 
 

@@ -1,3 +1,5 @@
+import pickle
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -115,3 +117,16 @@ def test_repeated_documents_do_not_pass_the_bound(spark):
     assert toxicity.training_texts(docs, labels, 2).count() == 2 and toxicity.training_texts(docs, labels, 3).count() == 3
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.array(F.lit(1.0)).alias("x"), F.array(F.lit(1)).alias("slots"), F.lit(1).alias("quality"), F.lit(True).alias("known"))
     assert quality.one_of_each(rows).count() == 3
+
+
+def test_what_is_sent_to_score_holds_no_rows():
+    """The broadcast of a quality model does not grow with the rows it was fitted on, and scores the same."""
+    rng, sizes = np.random.default_rng(3), []
+    for n in (1000, 8000):
+        text, slots = rng.random((n, 5)), np.column_stack([rng.integers(0, 64, n), 64 + rng.integers(0, 16, n), 80 + rng.integers(0, 12, n)])
+        model = quality.CoTrained(text, quality.one_hot(slots), (rng.random(n) < 0.5).astype(float))
+        data = pickle.dumps(model)
+        sizes.append(len(data))
+        for x, y in zip(model.score(text, quality.one_hot(slots)), pickle.loads(data).score(text, quality.one_hot(slots)), strict=True):
+            assert np.array_equal(x, y)
+    assert max(sizes) < 50_000
