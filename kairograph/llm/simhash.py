@@ -145,12 +145,12 @@ def mask_of(bits) -> int:
     return signed(sum(1 << b for b in bits))
 
 
-def near_components(groups: DataFrame, most: int) -> DataFrame:
-    """(fp, low, c, component) over distinct fingerprints ``groups`` (fp, low, n), linked within ``most`` bits.
+def near_pairs(groups: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """(fp, low, c) of distinct fingerprints ``groups`` (fp, low, n), and (a, b, ca, cb) of those near across centres.
 
-    First each fingerprint that is near the most copied one of a bucket of equal bits takes it as its centre, which
+    By generalised pigeonhole search within ``most`` bits: c is the centre, itself if there is none. First each fingerprint that is near the most copied one of a bucket of equal bits takes it as its centre, which
     leaves linear work for a bucket of near copies; the probe join then looks only for links between fingerprints of
-    different centres, and components are formed over centres.
+    different centres.
     """
     parts = plan(groups, most)
     differ = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
@@ -163,7 +163,12 @@ def near_components(groups: DataFrame, most: int) -> DataFrame:
     data = known.select(F.col("fp").alias("b"), F.col("c").alias("cb"), F.explode(masks).alias("p")).select("b", "cb", F.col("p.part").alias("part"), F.col("b").bitwiseAND(F.col("p.mask")).alias("key"))
     probes = known.select(F.col("fp").alias("a"), F.col("c").alias("ca"), F.explode(masks).alias("p")).select("a", "ca", F.col("p.part").alias("part"), F.explode("p.flips").alias("flip"), F.col("a").bitwiseAND(F.col("p.mask")).alias("key"))
     probes = probes.select("a", "ca", "part", F.col("key").bitwiseXOR(F.col("flip")).alias("key"))
-    across = probes.join(data, ["part", "key"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (differ("a", "b") <= most))
+    return known, probes.join(data, ["part", "key"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (differ("a", "b") <= most))
+
+
+def near_components(groups: DataFrame, most: int) -> DataFrame:
+    """(fp, component_id) over distinct fingerprints ``groups`` (fp, low, n), linked within ``most`` bits over centres."""
+    known, across = near_pairs(groups, most)
     comps = connected_components(across.select(F.col("ca").alias("src"), F.col("cb").alias("dst")), "simhash-components")
     lows = known.groupBy("c").agg(F.min("low").alias("low")).join(comps, F.col("c") == F.col("node"), "left").select("c", "low", F.coalesce("component", "c").alias("component"))
     named = lows.groupBy("component").agg(F.min("low").alias("component_id")).join(lows.select("c", "component"), "component")
@@ -189,6 +194,8 @@ def simhash_components(docs: DataFrame, words: int = 5, max_bits: int = 4, doc_i
 
 #: Words of the long signature that similarity search works on, and its bits.
 WORDS, LONG_BITS = 4, 256
+#: Bits of the first word that may differ for the pigeonhole search; what is similar beyond them the minima find.
+NEAR_BITS = 4
 #: Bits that may differ at a Jaccard similarity of s: the share acos(2s / (1 + s)) / pi of all, and so many standard
 #: deviations. Sets of fewer than SMALL shingles are too uneven for that and go to the exact check in any case.
 ROOM, SMALL = 5, 64
@@ -276,6 +283,21 @@ def compared(pairs: DataFrame, groups: DataFrame, docs: DataFrame, words: int, l
     return map_batches(pairs.join(own.toDF("b", "y"), "b").join(own.toDF("a", "x"), "a").select("a", "b", "x", "y"), run, "a long, b long, sim double, gone long, new array<long>")
 
 
+def near_sets(groups: DataFrame, most: int) -> DataFrame:
+    """(a, b): sets (node, n, x) whose fingerprints s0 are within ``most`` bits, each linked to its centre at least.
+
+    Sets of one fingerprint are linked to the first of them.
+    """
+    own = groups.where("x.size > 0").select("node", "n", F.col("x.s0").alias("fp"))
+    fps = materialize(own.groupBy("fp").agg(F.min("node").alias("low"), F.sum("n").alias("n")), "simhash-set-fps")
+    known, across = near_pairs(fps, most)
+    first = fps.select("fp", "low")
+    same = own.join(first, "fp").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    centre = known.where("fp <> c").select(F.col("low").alias("a"), "c").join(first.toDF("c", "b"), "c").select("a", "b")
+    ends = across.select("a", "b").distinct().toDF("p", "q").join(first.toDF("p", "a"), "p").join(first.toDF("q", "b"), "q").select("a", "b")
+    return same.where("a <> b").union(centre).union(ends)
+
+
 def hubs_of(rows: DataFrame) -> DataFrame:
     """(node, hub): for each node of ``rows`` (node, n, key) the most central one within two steps over shared keys.
 
@@ -327,9 +349,11 @@ def similar_rows(docs: DataFrame, words: int, similarity: float) -> tuple[DataFr
     groups = materialize(groups.select("name", "node", "first.*", "n", own, "keys"), "simhash-sets")
     rows = groups.where("x.size > 0").select("node", "n", F.explode("keys").alias("key"))
     hubs = hubs_of(rows)
-    beside = compared(hubs.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")), groups, docs, words, BESIDE, "simhash-hub-pairs")
-    beside = materialize(beside, "simhash-beside")
-    stars = connected_components(beside.where(F.col("sim") >= similarity - SLIP).select(F.col("a").alias("src"), F.col("b").alias("dst")), "simhash-stars")
+    to_hub = hubs.where("node <> hub").toDF("a", "b")
+    met = compared(near_sets(groups, NEAR_BITS).union(to_hub).distinct(), groups, docs, words, BESIDE, "simhash-first-pairs")
+    met = materialize(met, "simhash-met")
+    beside = met.join(to_hub, ["a", "b"], "left_semi")
+    stars = connected_components(met.where(F.col("sim") >= similarity - SLIP).select(F.col("a").alias("src"), F.col("b").alias("dst")), "simhash-stars")
     size = F.col("x.size")
     hub_size = size - F.size("new") + F.col("gone")
     over = F.col("gone") + similarity * F.size("new") - (1 - similarity) * hub_size
@@ -353,8 +377,9 @@ def similar_rows(docs: DataFrame, words: int, similarity: float) -> tuple[DataFr
 def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id): components of documents whose sets of word shingles have this Jaccard similarity or more.
 
-    Sets that share a key of minima first meet the most central of them, their hub, which is linear work for a group of
-    near copies; what can still link across the components so far is proposed by ``open_pairs``. All similarities are
+    Sets whose SimHash fingerprints are within NEAR_BITS bits are found by generalised pigeonhole search. For similar sets
+    beyond these bits, sets that share a key of minima meet the most central of them, their hub, which is linear work for
+    a group of near copies; what can still link across the components so far is proposed by ``open_pairs``. All similarities are
     exact, on whole texts. Only pairs that share none of KEYS keys (1 in 14,000 at 0.8) or differ by ROOM standard
     deviations of the signature can be missed.
 

@@ -106,3 +106,17 @@ def test_repeats_inside_a_text_do_not_hide_a_link(spark):
     sets = [set(simhash.shingle_hashes(t, 5).tolist()) for _, t in rows]
     assert len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1])
     assert {r["component_id"] for r in simhash.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {1}
+
+
+def test_the_pigeonhole_search_finds_near_copies(spark, monkeypatch):
+    """Of texts of 2,000 words and copies with one other word; minima find nothing here."""
+    rng, rows = np.random.default_rng(2), []
+    for k in range(60):
+        words = rng.integers(10**12, size=2000).astype(str).tolist()
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[:900], "other", *words[901:]]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(simhash, "hubs_of", lambda rows: rows.selectExpr("node", "node AS hub").distinct())
+    monkeypatch.setattr(simhash, "open_pairs", lambda *_: spark.createDataFrame([], "a long, b long"))
+    of = {r["doc_id"]: r["component_id"] for r in simhash.similar_components(docs).collect()}
+    assert np.mean([of[2 * k + 1] == of[2 * k] for k in range(60)]) > 0.9
+    assert all(of[2 * k] == 2 * k for k in range(60))
