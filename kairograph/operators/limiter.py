@@ -40,7 +40,7 @@ def limit_table(requests: DataFrame, most: int, window_us: int = 60_000_000) ->
 
     def run(own: pd.DataFrame, begun: pd.DataFrame) -> pd.DataFrame:
         if not len(own) or not len(begun):
-            return pd.DataFrame({"key": [], "part": [], "first": [], "given": [], "left": []})
+            return pd.DataFrame({c: [] for c in ("key", "part", "first", "given", "left")}, dtype=object)  # Arrow makes no lists of empty columns of floats
         given = list(begun["given"].iloc[0])
         stamps = sorted(own["at"].tolist())
         return pd.DataFrame({"key": own["key"].iloc[:1], "part": own["part"].iloc[:1], "first": stamps[0], "given": [given], "left": [fold(stamps, given, most, window_us)[1]]})

@@ -27,6 +27,20 @@ def test_equals_one_run(spark, most, window):
     assert got == sequential(rows, most, window)
 
 
+def test_parts_that_are_not_folded_again(spark):
+    """Far more parts than keys: most fit at once, so that a later fold finds groups without a new state, alone in their task too."""
+    rows = [(k, i, 10 * i + k) for k in range(5) for i in range(400)]
+    old = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 61)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = {(r["key"], r["id"]): r["allowed"] for r in limiter.limit_table(spark.createDataFrame(rows, "key long, id long, at long"), 1, 95).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old[1])
+    assert got == sequential(rows, 1, 95)
+
+
 def test_empty_and_null_times(spark):
     schema = "key string, id long, at long"
     assert limiter.limit_table(spark.createDataFrame([], schema), 2).count() == 0
